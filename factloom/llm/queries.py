@@ -72,3 +72,60 @@ def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         feature.alias("feature"),
     )
+
+
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+URL_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS k FROM u),
+r(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m AS (SELECT k, ARG_MAX(h || r.p, length(h || r.p)) AS rule, ARG_MAX(v, length(h || r.p)) AS verdict
+      FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(p.path, r.p) GROUP BY k)
+SELECT page_id, host, path, rule, COALESCE(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (k)
+"""
+
+
+@query(URL_SQL)
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.urlfilter import judge
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge(table(spark, sf_dir, "pages", "page_id", "url"), rules)
+
+
+TOPK_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: floor(v::DOUBLE * 64)::BIGINT) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]))::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query(TOPK_SQL)
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.topk import scaled, top_k
+
+    vectors = scaled(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
+def _sql_spans(name: str, kind: str, pattern: str, value: str = "m") -> str:
+    """SQL of a table `name` of (k, kind, s, e, v): the matches of a pattern in the texts of d(k, text)."""
+    return f"""{name} AS (SELECT k, '{kind}' AS kind, s, s + length(m) AS e, {value} AS v FROM (
+  SELECT k, m[i] AS m, (list_sum([length(x) for x in g[1:i]]) + COALESCE(list_sum([length(x) for x in m[1:i - 1]]), 0))::BIGINT AS s
+  FROM (SELECT k, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM d) z, unnest(range(1, len(m) + 1)) y(i)))"""
+
+
+SECRET_ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+SECRET_VALUE = f"regexp_extract(m, '{SECRET_ASSIGN}', 1)"
+
+
+@query()
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.secrets import scan, summary
+
+    return summary(scan(table(spark, sf_dir, "documents", "doc_id", "text")))
