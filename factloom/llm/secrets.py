@@ -59,8 +59,9 @@ def labelled(docs: DataFrame) -> DataFrame:
 def train(sample: DataFrame, smoothing: float = 0.5) -> list[float]:
     """Log-likelihood ratios of steps, at 128 * code + next code; at most 128 * 128 counts of each model are gathered."""
     token = F.regexp_replace("token", r"[^\x21-\x7e]", "")
-    steps = sample.where(F.length(token) > 1).select("secret", F.explode(F.sequence(F.lit(1), F.length(token) - 1)).alias("i"), token.alias("t"))
-    counts = steps.groupBy("secret", F.ascii(F.expr("substring(t, i, 1)")).alias("a"), F.ascii(F.expr("substring(t, i + 1, 1)")).alias("b")).agg(F.count("*").alias("n"))
+    codes = sample.where(F.length(token) > 1).select("secret", F.transform(F.split(token, ""), lambda c: F.ascii(c)).alias("c"))
+    steps = codes.select("secret", F.explode(F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 1).alias("a"), F.slice("c", F.lit(2), F.size("c") - 1).alias("b"))).alias("s"))
+    counts = steps.groupBy("secret", "s.a", "s.b").agg(F.count("*").alias("n"))
     n = {(r.secret, r.a, r.b): r["n"] for r in counts.collect()}
     alphabet = [c for c in range(33, 127) if chr(c).isalnum() or chr(c) in "+/_=-"]
     table = [0.0] * CODES * CODES
@@ -76,9 +77,11 @@ def ratio(token: Column, table: list[float]) -> Column:
     """The mean log-likelihood ratio of a token's steps."""
     # a foldable split: the optimizer makes it one array, looked up by place
     steps = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")
-    code = lambda i: F.ascii(F.substring(token, i, F.lit(1)))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(steps, code(i) * CODES + code(i + 1)))
-    return total / (F.length(token) - 1)
+    # characters as an array, once: a substring for each step would be quadratic in the token's length
+    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("before"), F.lit(0).alias("n"))
+    step = lambda acc, c: F.struct((acc["sum"] + F.when(acc["before"] >= 0, F.get(steps, acc["before"] * CODES + c)).otherwise(0.0)).alias("sum"), c.alias("before"), (acc["n"] + 1).alias("n"))
+    return F.aggregate(codes, start, step, lambda acc: acc["sum"] / (acc["n"] - 1))
 
 
 def scan(docs: DataFrame, sample: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -87,7 +90,7 @@ def scan(docs: DataFrame, sample: DataFrame | None = None, threshold: float = TH
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumn("base", base_spans(text)).withColumn("_tokens", find(text, TOKEN, "markov"))
     apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    added = F.when(F.size("_tokens") > 0, F.filter("_tokens", lambda t: (ratio(t["value"], table) >= threshold) & apart(t))).otherwise(none())
+    added = F.when(F.size("_tokens") > 0, F.filter("_tokens", lambda t: F.when(apart(t), ratio(t["value"], table) >= threshold).otherwise(False))).otherwise(none())
     return found.withColumn("spans", by_start(F.concat("base", added), KINDS)).drop("_tokens")
 
 
