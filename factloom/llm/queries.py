@@ -129,3 +129,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.secrets import scan, summary
 
     return summary(scan(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.langid import held_out, predict, train
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    prototypes = train(docs.where(~held_out(F.col("doc_id"))))
+    judged = predict(docs.select("doc_id", "text"), prototypes)
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+#: The model file; any SentencePiece model with scores will do.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query()
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.sentencepiece import Codec
+
+    codec = Codec(spark, PIECES)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    coded = docs.withColumn("ids", codec.encode(F.col("text"))).withColumn("back", codec.decode(F.col("ids")))
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.length("back").cast("long").alias("n_decoded"), F.sha2("back", 256).alias("decoded_sha256"))
