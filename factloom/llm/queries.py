@@ -153,3 +153,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     coded = docs.withColumn("ids", codec.encode(F.col("text"))).withColumn("back", codec.decode(F.col("ids")))
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.length("back").cast("long").alias("n_decoded"), F.sha2("back", 256).alias("decoded_sha256"))
+
+
+@query()
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.neardup import classes
+
+    return classes(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id")
