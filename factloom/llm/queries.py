@@ -160,3 +160,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.neardup import classes
 
     return classes(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id")
+
+
+@query()
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.sitetree import extract
+
+    texts = extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
