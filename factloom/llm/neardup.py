@@ -239,7 +239,10 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each class: that with the smallest doc_id."""
+    """`docs` with one row of each class: that with the smallest doc_id.
+
+    `docs` is read twice and must give the same rows in the same order, as a stored table does.
+    """
     gone = cut(classes(docs).where("not is_first").select("row"))
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     return numbered.join(gone.withColumnRenamed("row", "_row"), "_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -168,3 +168,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     texts = extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query()
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.pii import detect, summary
+
+    return summary(detect(table(spark, sf_dir, "documents", "doc_id", "text")))
