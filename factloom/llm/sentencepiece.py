@@ -28,8 +28,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 
-#: Parts of more bytes than this are encoded alone; so many new parts go together; so many are remembered.
-LONG, TOGETHER, REMEMBERED = 64, 20_000, 400_000
+#: Parts of more characters than this are encoded alone; so many new parts go together; so many are remembered;
+#: texts are taken together up to so many characters.
+LONG, TOGETHER, REMEMBERED, CHARS = 64, 20_000, 200_000, 1_000_000
 
 
 def _fields(data: bytes):
@@ -156,6 +157,17 @@ class Unigram:
         return self.parts.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHARS):
+                size += len(texts[end] or "")
+                end += 1
+            out += self._encode_some(texts[at:end])
+            at = end
+        return out
+
+    def _encode_some(self, texts: list[str | None]) -> list[np.ndarray | None]:
         parts = [None if t is None else self.cut(t) for t in texts]
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
