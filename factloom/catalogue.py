@@ -1,4 +1,17 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables, and the same in SQL where SQL can say it."""
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factloom.demos import deduction, predictive, puzzle, qbf
+from factloom.functions.scalar import expression, tanh_prime
+from factloom.operators import aggregate, guard, mining, order, tensor
+from factloom.operators.tabling import Prepared, Tables
+from factloom.plans import fixpoint
+from factloom.plans.rules import Program, rewrite
+from factloom.session import cut
+from factloom.space import Space, natural_join
+from factloom.terms import parse
 
 QUERIES, SQL = {}, {}
 
@@ -7,12 +20,524 @@ def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            used = [text for name, text in VIEWS.items() if f" {name} " in f"{sql} ".replace("\n", " ").replace(",", " , ").replace(")", " )")]
+            SQL[f.__name__] = (f"WITH RECURSIVE {', '.join(used)} " if used else "") + sql if "RECURSIVE" not in sql else sql.replace("WITH RECURSIVE", "WITH RECURSIVE " + "".join(u + ", " for u in used))
         return f
 
     return register
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- relations that stand in for the facts of a space
+VIEWS = {
+    "edge": "edge AS (SELECT a, b FROM (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) WHERE b IS NOT NULL)",
+    "supplies": "supplies AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem)",
+    "trade": "trade AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 49.5)",
+    "cellv": "cellv AS (SELECT vec_id AS i, u.d AS d, embedding[u.d + 1]::DOUBLE AS v FROM embeddings, unnest(range(64)) u(d) WHERE vec_id < 64)",
+}
+
+
+def edge(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b")).where("b is not null")
+
+
+def supplies(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+
+
+def trade(spark, d):
+    lines = table(spark, d, "lineitem").where("l_quantity > 49.5").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return lines.select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).distinct()
+
+
+def cells(spark, d):
+    e = table(spark, d, "embeddings").where("vec_id < 64")
+    return e.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("d", "v")).withColumn("v", F.col("v").cast("double"))
+
+
+def relation(df: DataFrame, *variables: str) -> DataFrame:
+    """A promoted relation matched by a flat pattern: columns named by variables."""
+    return df.toDF(*variables)
+
+
+# ---- patterns
+@query("SELECT o_custkey AS cust, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey = 7")
+def q_point_query(spark, d):
+    return table(spark, d, "orders").where("o_orderkey = 7").select(F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+
+
+@query("SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE o_custkey = 11 AND o_orderstatus = 'O'")
+def q_column_seek(spark, d):
+    return table(spark, d, "orders").where("o_custkey = 11 and o_orderstatus = 'O'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS x FROM lineitem WHERE l_partkey = l_suppkey")
+def q_repeated_var(spark, d):
+    return table(spark, d, "lineitem").where("l_partkey = l_suppkey").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("x"))
+
+
+@query("SELECT 1 AS hit WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 3 AND n_regionkey = 1)")
+def q_ground_membership(spark, d):
+    wanted = spark.range(1).select(F.lit(1).alias("hit"), F.lit(3).alias("n_nationkey"), F.lit(1).alias("n_regionkey"))
+    return wanted.join(table(spark, d, "nation"), ["n_nationkey", "n_regionkey"], "left_semi").select("hit")
+
+
+@query("SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 2")
+def q_space_query(spark, d):
+    """The same through terms: facts, a conjunction, canonical strings."""
+    nations = Space.from_columns("nation", table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("n"), "n_regionkey"))
+    regions = Space.from_columns("region", table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("n")))
+    found = nations.union(regions).query("(, (region 2 $region) (nation $k $name 2))")
+    return found.select("name", "region")
+
+
+@query("SELECT o_orderkey::VARCHAR AS k FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 10 = 0 AND o_custkey % 7 = 3")
+def q_nested_pattern(spark, d):
+    """Compound terms: (order key (owner (mod r) status)), matched inside."""
+    o = table(spark, d, "orders").where("o_orderkey % 10 = 0")
+    text = F.format_string("(order %d (owner (mod %d) %s))", "o_orderkey", (F.col("o_custkey") % 7).cast("long"), "o_orderstatus")
+    return Space.from_texts(o.select(text.alias("text"))).query("(order $k (owner (mod 3) F))")
+
+
+@query("SELECT n_name AS x, 'nation' AS f FROM nation WHERE n_regionkey = 1 UNION ALL SELECT r_name, 'region' FROM region WHERE r_regionkey = 1")
+def q_variable_functor(spark, d):
+    """A variable in the place of the functor: all relations of that arity."""
+    n = Space.from_columns("nation", table(spark, d, "nation").select("n_regionkey", "n_name"))
+    r = Space.from_columns("region", table(spark, d, "region").select("r_regionkey", "r_name"))
+    return n.union(r).query("($f 1 $x)").select("x", "f")
+
+
+@query("SELECT DISTINCT '(status ' || o_orderstatus || ')' AS x FROM orders")
+def q_bare_variable(spark, d):
+    return Space.from_columns("status", table(spark, d, "orders").select("o_orderstatus")).query("$x")
+
+
+@query("SELECT n_nationkey::VARCHAR AS k FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey::VARCHAR FROM nation")
+def q_schematic(spark, d):
+    """Facts with variables match by unification: (any $x) for each nation, beside ground facts."""
+    n = table(spark, d, "nation")
+    texts = n.select(F.format_string("(of %d %d)", "n_nationkey", "n_regionkey").alias("text")).unionByName(n.select(F.format_string("(of %d $r)", "n_nationkey").alias("text")))
+    return Space.from_texts(texts).query("(of $k 1)")
+
+
+@query("SELECT user_id AS u, v FROM (SELECT user_id, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY user_id) WHERE v > 50")
+def q_live_cells(spark, d):
+    """Cells match by their current value."""
+    now = table(spark, d, "events").groupBy(F.col("user_id").alias("u")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("v"))
+    return now.where("v > 50")
+
+
+@query("SELECT p_partkey AS k FROM part WHERE p_brand = 'Brand#11' OR p_brand LIKE 'Brand#1%' AND p_size = 10")
+def q_restrict_predicate(spark, d):
+    return table(spark, d, "part").where("p_brand = 'Brand#11' or p_brand like 'Brand#1%' and p_size = 10").select(F.col("p_partkey").alias("k"))
+
+
+@query("SELECT '(part ' || replace(p_brand, ' ', '_') || ' ' || p_size || ' ' || p_partkey || ')' AS term FROM part WHERE p_size = 10 AND p_brand = (SELECT MIN(p_brand) FROM part)")
+def q_restrict(spark, d):
+    """Terms under the ground beginning of a pattern; what follows its first variable doesn't count."""
+    p = table(spark, d, "part").select(F.regexp_replace("p_brand", " ", "_").alias("b"), "p_size", "p_partkey")
+    least = p.agg(F.min("b")).first()[0]
+    return Space.from_columns("part", p).restrict(f"(part {least} 10 $k)").atoms.select("term")
+
+
+@query("SELECT count(*) AS n FROM documents WHERE octet_length(encode(text)) NOT BETWEEN 1 AND 63")
+def q_rejected(spark, d):
+    size = F.octet_length("text")
+    return table(spark, d, "documents").agg(F.count(F.when(~size.between(1, 63), 1)).alias("n"))
+
+
+# ---- joins
 @query("SELECT e1.a, e1.b, e2.b AS c FROM edge e1 JOIN edge e2 ON e1.b = e2.a")
-def q_two_hop(spark, sf_dir):
-    raise NotImplementedError
+def q_two_hop(spark, d):
+    e = edge(spark, d)
+    return natural_join([relation(e, "a", "b"), relation(e, "b", "c")]).select("a", "b", "c")
+
+
+@query("SELECT r_name, n_name, s_name FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey")
+def q_three_way(spark, d):
+    r = table(spark, d, "region").toDF("r", "r_name")
+    n = table(spark, d, "nation").toDF("n", "n_name", "r")
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n"), "s_name")
+    return natural_join([s, n, r]).select("r_name", "n_name", "s_name")
+
+
+@query("SELECT r_name, st FROM region CROSS JOIN (SELECT DISTINCT o_orderstatus AS st FROM orders)")
+def q_cross(spark, d):
+    return natural_join([table(spark, d, "region").select("r_name"), table(spark, d, "orders").select(F.col("o_orderstatus").alias("st")).distinct()])
+
+
+@query("SELECT 1 AS one")
+def q_empty_conj(spark, d):
+    return Space.from_columns("x", table(spark, d, "region").select("r_regionkey")).query("(,)").select(F.lit(1).alias("one"))
+
+
+@query("SELECT x.a, x.b, y.b AS c FROM trade x JOIN trade y ON x.b = y.a JOIN trade z ON y.b = z.a AND z.b = x.a")
+def q_triangle(spark, d):
+    t = cut(trade(spark, d))
+    return natural_join([relation(t, "a", "b"), relation(t, "b", "c"), relation(t, "c", "a")]).select("a", "b", "c")
+
+
+@query("SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def q_theta(spark, d):
+    n = table(spark, d, "nation")
+    return natural_join([n.select(F.col("n_nationkey").alias("x"), "n_regionkey"), n.select(F.col("n_nationkey").alias("y"), "n_regionkey")]).where("x < y").select("x", "y")
+
+
+@query("SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+def q_guard_negation(spark, d):
+    big = table(spark, d, "orders").where("o_totalprice > 200000")
+    return table(spark, d, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("k"))
+
+
+@query("SELECT p_brand AS b, p_partkey AS w FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r = 1")
+def q_choose(spark, d):
+    return guard.choose(table(spark, d, "part"), ["p_brand"], [F.col("p_retailprice").desc(), F.col("p_partkey")]).select(F.col("p_brand").alias("b"), F.col("p_partkey").alias("w"))
+
+
+@query("""SELECT x.k AS k1, y.k AS k2, CASE WHEN x.c = 'u' THEN y.c WHEN y.c = 'u' THEN x.c WHEN x.c = y.c THEN x.c END AS m
+FROM (SELECT p_partkey AS k, p_size AS g, CASE p_partkey % 3 WHEN 0 THEN 'u' WHEN 1 THEN '0' ELSE '1' END AS c FROM part WHERE p_partkey <= 300) x
+JOIN (SELECT p_partkey AS k, p_size AS g, CASE p_partkey % 5 WHEN 0 THEN 'u' WHEN 1 THEN '0' ELSE '1' END AS c FROM part WHERE p_partkey <= 300) y ON x.g = y.g
+WHERE x.c = 'u' OR y.c = 'u' OR x.c = y.c""")
+def q_merge_cells(spark, d):
+    p = table(spark, d, "part").where("p_partkey <= 300")
+    cell = lambda n: F.when(F.col("p_partkey") % n == 0, "u").when(F.col("p_partkey") % n == 1, "0").otherwise("1")
+    x, y = p.select(F.col("p_partkey").alias("k1"), "p_size", cell(3).alias("c1")), p.select(F.col("p_partkey").alias("k2"), "p_size", cell(5).alias("c2"))
+    return x.join(y, "p_size").withColumn("m", guard.merge_cells(F.col("c1"), F.col("c2"))).where("m is not null").select("k1", "k2", "m")
+
+
+# ---- aggregates
+@query("SELECT count(*) AS n FROM supplies x JOIN supplies y ON x.p = y.p")
+def q_count_enum(spark, d):
+    s = supplies(spark, d)
+    return natural_join([s.toDF("x", "p"), s.toDF("y", "p")]).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM supplies x JOIN supplies y ON x.p = y.p")
+def q_count_factorized(spark, d):
+    s = supplies(spark, d)
+    return aggregate.fold([s.toDF("x", "p"), s.toDF("y", "p")])
+
+
+@query("SELECT count(*) AS n FROM edge x JOIN edge y ON x.b = y.a JOIN edge z ON y.b = z.a")
+def q_count_chain(spark, d):
+    e = edge(spark, d)
+    return aggregate.fold([e.toDF("a", "b"), e.toDF("b", "c"), e.toDF("c", "d")])
+
+
+@query("SELECT count(*) AS n FROM trade x JOIN trade y ON x.b = y.a JOIN trade z ON y.b = z.a AND z.b = x.a")
+def q_count_cyclic(spark, d):
+    t = trade(spark, d)
+    return aggregate.fold([t.toDF("a", "b"), t.toDF("b", "c"), t.toDF("c", "a")])
+
+
+@query("SELECT count(*) AS n, sum(l.s)::DOUBLE AS total, min(l.s)::DOUBLE AS least, max(l.s)::DOUBLE AS most FROM supplies l JOIN supplies r ON l.p = r.p")
+def q_fact_sum_min(spark, d):
+    s = supplies(spark, d)
+    return aggregate.fold([s.toDF("s", "p"), s.toDF("t", "p")], "s")
+
+
+@query("SELECT bool_and(l_quantity <= 50) AS holds FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def q_fact_and(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_quantity") <= 50).alias("ok"))
+    return aggregate.all_hold([lines, table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))], "ok")
+
+
+@query("SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY 1")
+def q_layer_counts(spark, d):
+    return table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT s FROM (SELECT DISTINCT l_suppkey AS s, l_returnflag AS f FROM lineitem) GROUP BY s HAVING count(*) = (SELECT count(DISTINCT l_returnflag) FROM lineitem)")
+def q_forall(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f"))
+    return guard.divide(lines, "s", "f", lines)
+
+
+@query("""SELECT b, t, n, len, gain FROM (SELECT b, t, n, len, ((n - 1) * len - n * 9)::BIGINT AS gain FROM (
+SELECT p_brand AS b, p_type AS t, count(*) AS n, (6 + COALESCE(strlen(p_brand) + 1, 0) + COALESCE(strlen(p_type) + 1, 0))::BIGINT AS len, grouping(p_type) AS g
+FROM part GROUP BY ROLLUP (p_brand, p_type, p_size) HAVING grouping(p_size) = 1)) WHERE n >= 2 AND gain > 0""")
+def q_prefix_gain(spark, d):
+    rows = table(spark, d, "part").select("p_brand", "p_type", "p_size")
+    return mining.relation_gains(rows, "part", 9).select(F.col("p_brand").alias("b"), F.col("p_type").alias("t"), "n", F.col("length").alias("len"), "gain")
+
+
+@query("SELECT COALESCE(p_brand, '*') AS b, COALESCE(p_size, -1) AS s, count(*) AS n FROM part GROUP BY ROLLUP (p_brand, p_size)")
+def q_rollup(spark, d):
+    return table(spark, d, "part").rollup("p_brand", "p_size").agg(F.count("*").alias("n")).select(F.coalesce("p_brand", F.lit("*")).alias("b"), F.coalesce("p_size", F.lit(-1)).alias("s"), "n")
+
+
+@query()
+def q_topk_maximal(spark, d):
+    space = Space.from_columns("part", table(spark, d, "part").select(F.regexp_replace("p_brand", " ", "_").alias("b"), F.regexp_replace("p_type", " ", "_").alias("t"), "p_size"))
+    top = mining.top_maximal(cut(mining.prefix_gains(space.atoms, 9)), 5)
+    return spark.createDataFrame([(r.shown, r.gain) for r in top], "pattern string, gain long")
+
+
+# ---- set algebra, storage
+@query("SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders")
+def q_union(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).union(table(spark, d, "orders").select("o_custkey")).distinct()
+
+
+@query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice > 50000")
+def q_intersect(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).intersect(table(spark, d, "orders").where("o_totalprice > 50000").select("o_custkey"))
+
+
+@query("SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+def q_subtract(spark, d):
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("k")).subtract(table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey"))
+
+
+def _nations(spark, d) -> Space:
+    return Space.from_columns("of", table(spark, d, "nation").select("n_nationkey", "n_regionkey"))
+
+
+@query("SELECT '(of ' || n_nationkey || ' ' || n_regionkey || ')' AS term FROM nation WHERE n_nationkey <> 4")
+def q_remove(spark, d):
+    n = table(spark, d, "nation").where("n_nationkey = 4").first()
+    return _nations(spark, d).remove(f"(of 4 {n.n_regionkey})")[0].atoms.select("term")
+
+
+@query("SELECT '(of ' || n_nationkey || ' ' || CASE WHEN n_nationkey = 4 THEN 99 ELSE n_regionkey END || ')' AS term FROM nation")
+def q_replace(spark, d):
+    n = table(spark, d, "nation").where("n_nationkey = 4").first()
+    return _nations(spark, d).replace(f"(of 4 {n.n_regionkey})", "(of 4 99)")[0].atoms.select("term")
+
+
+@query("SELECT '(of ' || n_nationkey || ' ' || n_regionkey || ')' AS term FROM nation WHERE n_regionkey IN (1, 2)")
+def q_space_algebra(spark, d):
+    all_, one = _nations(spark, d), _nations(spark, d).restrict("(of $k $r)")
+    some = Space(one.atoms.where(F.element_at("node", F.lit("2"))["sym"].isin("1", "2", "3")))
+    rest = Space(one.atoms.where(F.element_at("node", F.lit("2"))["sym"] == "3"))
+    return all_.intersect(some).subtract(rest).union(some.subtract(rest)).atoms.select("term")
+
+
+@query("SELECT count(DISTINCT (l_suppkey, l_partkey)) AS n FROM lineitem")
+def q_space_count(spark, d):
+    return supplies(spark, d).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM edge WHERE a % 2 = 0")
+def q_sharded_count(spark, d):
+    """Each shard counts its own; the sum is exact for any pattern, since joins cross shards."""
+    return edge(spark, d).repartition(16, "a").where("a % 2 = 0").agg(F.count("*").alias("n"))
+
+
+# ---- rewriting
+@query("SELECT DISTINCT x.a, y.b FROM edge x JOIN edge y ON x.b = y.a EXCEPT SELECT a, b FROM edge")
+def q_transform(spark, d):
+    e = cut(edge(spark, d))
+    made = natural_join([e.toDF("a", "m"), e.toDF("m", "b")]).select("a", "b").distinct()
+    return made.join(e, ["a", "b"], "left_anti")
+
+
+@query("SELECT '(hop ' || x.n_regionkey || ' ' || y.n_nationkey || ')' AS term FROM nation x JOIN nation y ON x.n_nationkey = y.n_regionkey GROUP BY 1")
+def q_space_transform(spark, d):
+    return _nations(spark, d).transform("(, (of $n $r) (of $m $n))", "(, (hop $r $m))")[0].atoms.where("functor = 'hop'").select("term")
+
+
+@query("WITH RECURSIVE p(a, b) AS (SELECT a, b FROM edge UNION SELECT p.a, e.b FROM p JOIN edge e ON p.b = e.a) SELECT a, b FROM p")
+def q_closure(spark, d):
+    return fixpoint.closure(edge(spark, d))
+
+
+@query("WITH RECURSIVE p(a, b) AS (SELECT a, b FROM edge UNION SELECT p.a, e.b FROM p JOIN edge e ON p.b = e.a) SELECT a, b FROM p")
+def q_closure_recursive(spark, d):
+    return fixpoint.recursive_closure(cut(edge(spark, d)))
+
+
+@query("WITH RECURSIVE p(a, b) AS (SELECT a, b FROM trade UNION SELECT p.a, e.b FROM p JOIN trade e ON p.b = e.a) SELECT a, b FROM p")
+def q_closure_cyclic(spark, d):
+    return fixpoint.closure(trade(spark, d))
+
+
+@query("WITH RECURSIVE p(term, normal) AS (SELECT a, b FROM edge UNION SELECT p.term, e.b FROM p JOIN edge e ON p.normal = e.a) SELECT term, normal FROM p WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.a = normal)")
+def q_reduce(spark, d):
+    """Chains as equations, doubled up each round: a term's normal form is where no equation applies."""
+    e = cut(edge(spark, d))
+    reach = fixpoint.closure(e)
+    return reach.join(e.select(F.col("a").alias("b")), "b", "left_anti").select(F.col("a").alias("term"), F.col("b").alias("normal"))
+
+
+@query("SELECT * FROM (VALUES ('(S (S (S (S (S Z)))))')) t(normal)")
+def q_reduce_terms(spark, d):
+    """2 + 3 by equations with variables."""
+    rules = "(= (add Z $y) $y) (= (add (S $x) $y) (add $x (S $y)))"
+    return spark.createDataFrame([(x,) for x in rewrite(Space.from_text(spark, rules), "(add (S (S Z)) (S (S (S Z))))")], "normal string")
+
+
+@query("SELECT '(path ' || x.n_regionkey || ' ' || y.n_nationkey || ')' AS term FROM nation x JOIN nation y ON x.n_nationkey = y.n_regionkey GROUP BY 1")
+def q_rule_step(spark, d):
+    rule = "(exec (1 hop) (, (of $n $r) (of $m $n)) (, (path $r $m)))"
+    program = Program(_nations(spark, d).add(rule))
+    program.run(5)
+    return program.space.atoms.where("functor = 'path'").select("term")
+
+
+@query("SELECT '(total ' || n_regionkey || ' ' || sum(n_nationkey) || ')' AS term FROM nation GROUP BY n_regionkey UNION ALL SELECT '(double ' || n_nationkey || ' ' || 2 * n_nationkey || ')' FROM nation")
+def q_rule_sinks(spark, d):
+    """Folding and pure sinks."""
+    rules = (
+        "(exec (1 a) (, (of $n $r)) (O (sum (total $r $s) $s $n)))"
+        "(exec (1 b) (, (of $n $r)) (O (pure (double $n $v) $v (i64_to_string (product_i64 (i64_from_string $n) (i64_from_string 2))))))"
+    )
+    program = Program(_nations(spark, d).union(Space.from_text(spark, rules)))
+    program.run(5)
+    return program.space.atoms.where("functor in ('total', 'double')").select("term")
+
+
+@query("WITH RECURSIVE p(node, depth) AS (SELECT a, 0 FROM edge WHERE a <= 20 UNION SELECT e.b, p.depth + 1 FROM p JOIN edge e ON p.node = e.a) SELECT node, min(depth)::INT AS depth FROM p GROUP BY node")
+def q_bfs_layers(spark, d):
+    e = cut(edge(spark, d))
+    return fixpoint.layers(e, e.where("a <= 20").select(F.col("a").alias("node")))
+
+
+@query("SELECT x.a, m.b AS mid, z.b FROM edge x JOIN edge m ON x.b = m.a JOIN edge y ON m.b = y.a JOIN edge z ON y.b = z.a")
+def q_mitm(spark, d):
+    """Paths of four by their middles: two forward meet two backward."""
+    e = cut(edge(spark, d))
+    half = cut(natural_join([e.toDF("a", "x"), e.toDF("x", "mid")]).select("a", "mid"))
+    return natural_join([half, half.toDF("mid", "b")]).select("a", "mid", "b")
+
+
+# ---- guards and covers
+PATTERNS = "SELECT DISTINCT CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand END AS b, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size END AS s, CASE WHEN p_partkey % 5 = 0 THEN p_type END AS t FROM part WHERE p_partkey % 11 < 7 AND NOT (p_partkey % 12 = 0 AND p_partkey % 5 <> 0)"
+
+
+def _patterns(spark, d):
+    p = table(spark, d, "part").where("p_partkey % 11 < 7 and not (p_partkey % 12 = 0 and p_partkey % 5 <> 0)")
+    k = F.col("p_partkey")
+    return p.select(F.when(k % 4 != 0, F.col("p_brand")).alias("b"), F.when(k % 3 != 0, F.col("p_size")).alias("s"), F.when(k % 5 == 0, F.col("p_type")).alias("t")).distinct()
+
+
+COVER = "(g.b IS NULL OR g.b = x.b) AND (g.s IS NULL OR g.s = x.s) AND (g.t IS NULL OR g.t = x.t)"
+
+
+@query(f"SELECT COALESCE(x.b, '*') AS b, COALESCE(x.s, -1) AS s, COALESCE(x.t, '*') AS t FROM ({PATTERNS}) x WHERE NOT EXISTS (SELECT 1 FROM ({PATTERNS}) g WHERE (g.b, g.s, g.t) IS DISTINCT FROM (x.b, x.s, x.t) AND {COVER})")
+def q_antichain(spark, d):
+    kept = guard.antichain(_patterns(spark, d), ["b", "s", "t"])
+    return kept.select(F.coalesce("b", F.lit("*")).alias("b"), F.coalesce("s", F.lit(-1)).alias("s"), F.coalesce("t", F.lit("*")).alias("t"))
+
+
+@query("SELECT 0::BIGINT AS uncovered")
+def q_coverage(spark, d):
+    """Every pattern is generalized by one of the antichain's: none is left uncovered."""
+    rows = cut(_patterns(spark, d))
+    kept = cut(guard.antichain(rows, ["b", "s", "t"])).toDF("gb", "gs", "gt")
+    cover = guard.covers([F.col("gb"), F.col("gs"), F.col("gt")], [F.col("b"), F.col("s"), F.col("t")])
+    return rows.join(kept, cover, "left_anti").agg(F.count("*").alias("uncovered"))
+
+
+# ---- orders
+@query("SELECT o_orderkey AS k, row_number() OVER (ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, o_orderkey)::INT AS rank FROM orders WHERE o_custkey = 11")
+def q_specificity(spark, d):
+    """Matches of (order urgent $k): facts that agree before facts with a variable in that place."""
+    o = table(spark, d, "orders").where("o_custkey = 11")
+    place = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("1-URGENT"))
+    key = order.flat_specificity(["1-URGENT", None], [place, F.lit(None)])
+    return o.select(F.col("o_orderkey").alias("k"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(key, "o_orderkey")).alias("rank"))
+
+
+@query("SELECT t.term, t.rank FROM (VALUES ('-3', 1), ('7', 2), ('10', 3), ('Z', 4), ('abc', 5), ('(S Z)', 6), ('(S (S Z))', 7), ('(a b)', 8), ('(a b c)', 9), ('$x', 10)) t(term, rank)")
+def q_priority(spark, d):
+    terms = order.sort_by_priority(["$x", "abc", "(a b c)", "(S (S Z))", "10", "Z", "(a b)", "-3", "(S Z)", "7"])
+    return spark.createDataFrame([(t, i + 1) for i, t in enumerate(terms)], "term string, rank int")
+
+
+@query("SELECT term, row_number() OVER (ORDER BY length(a), a, length(b), b)::INT AS rank FROM (SELECT '(of ' || n_nationkey || ' ' || n_regionkey || ')' AS term, n_nationkey::VARCHAR AS a, n_regionkey::VARCHAR AS b FROM nation)")
+def q_trie_order(spark, d):
+    atoms = _nations(spark, d).atoms.select("term", "functor", order.trie_order("term").alias("key"))
+    return atoms.select("term", F.row_number().over(Window.partitionBy("functor").orderBy("key")).alias("rank"))
+
+
+# ---- tensors and functions
+@query("SELECT x.i AS a, y.i AS b, round(sum(x.v * y.v), 4) AS v FROM cellv x JOIN cellv y ON x.d = y.d WHERE x.i < 8 AND y.i < 8 GROUP BY 1, 2")
+def q_einsum_matmul(spark, d):
+    c = cells(spark, d).where("i < 8")
+    return tensor.einsum("ad,bd->ab", c, c).withColumn("v", F.round("v", 4))
+
+
+@query("SELECT x.d AS a, y.d AS b, round(x.v * y.v, 6) + 0.0 AS v FROM cellv x, cellv y WHERE x.i = 1 AND y.i = 2")
+def q_outer(spark, d):
+    c = cells(spark, d)
+    return tensor.einsum("a,b->ab", c.where("i = 1").select("d", "v"), c.where("i = 2").select("d", "v")).withColumn("v", F.round("v", 6) + 0.0)
+
+
+@query("SELECT y.d AS b, round(sum(y.v * x.v), 4) AS v FROM cellv y JOIN cellv x ON y.i = x.d AND x.i = 5 GROUP BY 1")
+def q_transposed_matvec(spark, d):
+    c = cells(spark, d)
+    return tensor.einsum("ab,a->b", c, c.where("i = 5").select("d", "v")).withColumn("v", F.round("v", 4))
+
+
+@query("SELECT i, d, round(tanh(v), 6) AS v, round(1 - tanh(v) * tanh(v), 6) AS slope FROM cellv WHERE i < 16")
+def q_tanh(spark, d):
+    c = cells(spark, d).where("i < 16")
+    return c.select("i", F.col("d").cast("long").alias("d"), F.round(F.tanh("v"), 6).alias("v"), F.round(tanh_prime(F.col("v")), 6).alias("slope"))
+
+
+@query("SELECT d, round(sum(CASE WHEN i = 1 THEN v ELSE -0.5 * v END), 6) AS v FROM cellv WHERE i IN (1, 2) GROUP BY d")
+def q_tensor_add(spark, d):
+    c = cells(spark, d)
+    return tensor.add(c.where("i = 1").select("d", "v"), c.where("i = 2").select("d", "v"), -0.5).select("d", F.round("v", 6).alias("v"))
+
+
+@query("SELECT round(sum(v * v) / 2, 4) AS energy FROM cellv WHERE i IN (1, 2)")
+def q_energy(spark, d):
+    c = cells(spark, d)
+    return tensor.energy(c.where("i = 1"), c.where("i = 2")).select(F.round("energy", 4).alias("energy"))
+
+
+@query("SELECT o_orderkey AS k, (o_orderkey * 3 + o_custkey)::VARCHAR AS s, ((o_orderkey % 100)::TINYINT + 5::TINYINT)::VARCHAR AS t FROM orders")
+def q_pure_arith(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("x"), F.col("o_custkey").cast("string").alias("y"), (F.col("o_orderkey") % 100).cast("string").alias("z"))
+    big = expression(parse("(i64_to_string (sum_i64 (product_i64 (i64_from_string $x) (i64_from_string 3)) (i64_from_string $y)))"))
+    small = expression(parse("(i8_to_string (sum_i8 (i8_from_string $z) (i8_from_string 5)))"))
+    return o.select("k", big.alias("s"), small.alias("t"))
+
+
+@query("SELECT e1.a::VARCHAR AS a, e2.b::VARCHAR AS c FROM edge e1 JOIN edge e2 ON e1.b = e2.a WHERE e1.a < 500 AND e1.b < 500 AND e2.a < 500 AND e2.b < 500")
+def q_tabled(spark, d):
+    """The second call is answered from the table."""
+    space = Space.from_columns("edge", edge(spark, d).where("a < 500 and b < 500")).pinned()
+    tables = Tables(least_seconds=0.0)
+    tables.query(space, "(, (edge $a $b) (edge $b $c))")
+    return tables.query(space, "(, (edge $a $b) (edge $b $c))").select("a", "c")
+
+
+@query("SELECT count(*) AS n FROM nation x JOIN nation y ON x.n_nationkey = y.n_regionkey")
+def q_prepared(spark, d):
+    n = Prepared("(, (of $n $r) (of $m $n))").count(_nations(spark, d))
+    return spark.createDataFrame([(n,)], "n long")
+
+
+# ---- composite algorithms
+@query()
+def q_puzzle_plan(spark, d):
+    """Eight-puzzle layers from both ends and where they meet."""
+    return puzzle.solve(spark, "123456780", "123406758", 2)
+
+
+@query("SELECT * FROM (VALUES (1, 3), (3, 6), (5, 24), (7, 132)) t(k, n)")
+def q_count_dp(spark, d):
+    """Derivations by size, counted without listing them."""
+    return deduction.count_derivations(spark, deduction.AXIOMS, 7).groupBy("k").agg(F.sum("n").cast("int").alias("n")).select(F.col("k").cast("int").alias("k"), "n")
+
+
+@query("SELECT * FROM (VALUES ('valid', true), ('invalid', false)) t(name, value)")
+def q_qbf(spark, d):
+    """For all x some y equals it; no y equals all x."""
+    clauses = [[1, -2], [-1, 2]]
+    rows = [("valid", qbf.value(spark, [("a", [1]), ("e", [2])], clauses)), ("invalid", qbf.value(spark, [("e", [2]), ("a", [1])], clauses))]
+    return spark.createDataFrame(rows, "name string, value boolean")
+
+
+@query()
+def q_predictive_coding(spark, d):
+    """Two ticks of a predictive-coding network as tensor relations."""
+    return predictive.settle(spark, *predictive.EXAMPLE, ticks=2).withColumn("v", F.round("v", 5))
