@@ -250,6 +250,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
         return rows.select("page_id", "url", main_text("url", "html").alias("text"))
 
+    # read several times below, with the same numbers
+    rows = cut(rows)
+
     def explode(batches):
         for batch in batches:
             out = [[] for _ in PARTS.names]

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.session import cut
+
 #: Labels of a host, and host and path, are kept apart by these in keys.
 LABEL, PATH = "\x01", "\x02"
 LAST = "\U0010ffff"
@@ -86,8 +88,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     spark = pages.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = split_url(F.col("url"))
-    # the scan's partitions and rows are the same each time they are read, and so are the numbers
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
+    # written once, so that rows keep their numbers whatever the table is made of
+    urls = cut(pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row")))
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     labels = F.split(_clean(F.col("host")), r"\.", -1)
     rules = rules.select(
