@@ -5,9 +5,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.operators.guard import generalized
 from factloom.session import cut
 from factloom.terms import Var, canon, parse, render
-from factloom.unify import apart, generalizes_column, resolve, unify
+from factloom.unify import apart, generalizes, resolve, unify
 
 #: The three axioms of propositional logic over implication (>) and negation (~).
 AXIOMS = ["(> $a (> $b $a))", "(> (> $a (> $b $c)) (> (> $a $b) (> $a $c)))", "(> (> (~ $a) (~ $b)) (> $b $a))"]
@@ -54,9 +55,8 @@ def closure(spark: SparkSession, axioms: list[str], most: int, guarded: bool = F
         made = x.join(y, F.col("i") + F.col("j") + 1 == F.lit(k)).select(detach_column("f", "x").alias("thm")).where("thm is not null").distinct()
         fresh = cut(made.join(every, "thm", "left_anti"))
         if guarded:
-            own = fresh.select(F.col("thm").alias("other"))
-            fresh = fresh.join(every.select(F.col("thm").alias("schema")), generalizes_column("schema", "thm"), "left_anti")
-            fresh = fresh.join(own, (F.col("other") != F.col("thm")) & generalizes_column("other", "thm"), "left_anti")
+            others = every.select(F.col("thm").alias("schema")).unionByName(fresh.select(F.col("thm").alias("schema")))
+            fresh = fresh.join(generalized(fresh, "thm", others, "schema", F.col("schema") != F.col("thm")), "thm", "left_anti")
         every = cut(every.unionByName(fresh.select(F.lit(k).alias("k"), "thm")))
     return every
 
@@ -64,7 +64,7 @@ def closure(spark: SparkSession, axioms: list[str], most: int, guarded: bool = F
 def uncovered(every: DataFrame, kept: DataFrame) -> DataFrame:
     """Theorems of the full closure that no kept theorem of that size or smaller generalizes."""
     some = kept.toDF("sk", "schema")
-    return every.join(some, (F.col("sk") <= F.col("k")) & generalizes_column("schema", "thm"), "left_anti")
+    return every.join(generalized(every, "thm", some, "schema", F.col("sk") <= F.col("k")), "thm", "left_anti")
 
 
 def checks(proof, axioms: dict[str, str], goal: str) -> bool:
@@ -76,7 +76,5 @@ def checks(proof, axioms: dict[str, str], goal: str) -> bool:
         major, minor = proved(p[1]), proved(p[2])
         return None if major is None or minor is None else detach(major, minor)
 
-    from factloom.unify import generalizes
-
     got = proved(parse(proof) if isinstance(proof, str) else proof)
     return got is not None and generalizes(got, parse(goal))
