@@ -529,6 +529,13 @@ def q_count_dp(spark, d):
     return deduction.count_derivations(spark, deduction.AXIOMS, 7).groupBy("k").agg(F.sum("n").cast("int").alias("n")).select(F.col("k").cast("int").alias("k"), "n")
 
 
+@query("SELECT 0::BIGINT AS uncovered, true AS smaller")
+def q_guarded_closure(spark, d):
+    """Guarding by generality keeps fewer theorems, and leaves none of the full closure uncovered."""
+    every, kept = cut(deduction.closure(spark, deduction.AXIOMS, 5)), cut(deduction.closure(spark, deduction.AXIOMS, 5, guarded=True))
+    return spark.createDataFrame([(deduction.uncovered(every, kept).count(), kept.count() < every.count())], "uncovered long, smaller boolean")
+
+
 @query("SELECT * FROM (VALUES ('valid', true), ('invalid', false)) t(name, value)")
 def q_qbf(spark, d):
     """For all x some y equals it; no y equals all x."""
