@@ -27,6 +27,8 @@ CARD = r"[0-9](?:[\x20-]?+[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 WINDOW, LETTERS, SUPPORT, ALPHA = 80, 4, 3, 1.1
+#: Up to so many terms go to all tasks; more are met by shuffle.
+SENT = 500_000
 TERM = r"\p{L}[\p{L}\p{M}'_-]{%d,}+" % (LETTERS - 1)
 
 
@@ -79,18 +81,25 @@ def _disclosing(first: DataFrame, docs: DataFrame) -> DataFrame | None:
     mentions = first.where(F.size("near") > 0).select("h1", "h2", F.explode("near").alias("m")).select("h1", "h2", "m.entity", "m.terms", "m.context").distinct()
     pairs = mentions.select("h1", "h2", "entity", "context", F.explode("terms").alias("term"))
     both = pairs.groupBy("entity", "term").agg(F.countDistinct("h1", "h2").alias("texts"), F.countDistinct("context").alias("contexts")).where((F.col("contexts") >= SUPPORT) & (F.col("texts") >= SUPPORT))
-    both = cut(both)
+    of_entity = mentions.groupBy("entity").agg(F.countDistinct("h1", "h2").alias("of_entity"))
+    near = pairs.groupBy("term").agg(F.countDistinct("h1", "h2").alias("of_term"))
+    n = first.select(F.approx_count_distinct("h1", 0.01)).first()[0] or 1
+
+    def telling(of_term):
+        own = -F.log2(F.col("of_entity") / F.lit(float(n)))
+        pmi = F.log2(F.col("texts") / F.col(of_term)) + own
+        return (pmi * ALPHA >= own) & (own > 0)
+
+    # the texts with a term near any entity are some of its texts: what fails for these fails for all
+    both = cut(both.join(of_entity, "entity").join(near, "term").where(telling("of_term")).drop("of_term"))
     if both.isEmpty():
         return None
+    wanted = both.select("term").distinct()
+    wanted = F.broadcast(wanted) if both.count() <= SENT else wanted
     words = docs.select("h1", "h2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    held = cut(words.join(both.select("term").distinct(), "term").distinct())
+    held = cut(words.join(wanted, "term").distinct())
     of_term = held.groupBy("term").agg(F.count("*").alias("of_term"))
-    of_entity = mentions.groupBy("entity").agg(F.countDistinct("h1", "h2").alias("of_entity"))
-    # log2 of the number of distinct texts, the one whole-corpus number that is needed
-    n = first.select(F.approx_count_distinct("h1", 0.01)).first()[0] or 1
-    own = -F.log2(F.col("of_entity") / F.lit(float(n)))
-    pmi = F.log2(F.col("texts") / F.col("of_term") / (F.col("of_entity") / F.lit(float(n))))
-    told = both.join(of_term, "term").join(of_entity, "entity").where((pmi * ALPHA >= own) & (own > 0)).select("term").distinct()
+    told = both.join(of_term, "term").where(telling("of_term")).select("term").distinct()
     out = cut(held.join(told, "term", "left_semi").groupBy("h1", "h2").agg(F.sort_array(F.collect_set("term")).alias("terms")))
     return None if out.isEmpty() else out
 
