@@ -132,6 +132,7 @@ class Unigram:
         least, most = min(normal, default=0.0), max(normal, default=0.0)
         self.unknown = least - UNKNOWN_PENALTY
         self.ids = np.array(usable, np.int32)
+        self.id_bytes = [i.tobytes() for i in self.ids]
         self.scores = np.array([pieces[i][1] if pieces[i][2] == NORMAL else len(pieces[i][0]) * most - 0.1 for i in usable])
         keys = [pieces[i][0].encode() for i in usable]
         self.trie = DoubleArray(keys)
@@ -178,7 +179,7 @@ class Unigram:
             self._encode_short(short[i : i + TOGETHER])
         for p in new:
             if len(p) > LONG:
-                self.memory[p] = self._encode_long(p.encode()).tobytes()
+                self.memory[p] = self._encode_long(p.encode())
         recall = self.memory.__getitem__
         return [None if some is None else np.frombuffer(b"".join(map(recall, some)), np.int32) for some in parts]
 
@@ -221,22 +222,24 @@ class Unigram:
                 score = here[who] + self.unknown
                 who, score = (x[score > best[j + d][who]] for x in (who, score))
                 best[j + d][who], back[j + d][who], piece[j + d][who] = score, j, -1
-        for i, r in enumerate(raw):
-            self.memory[r.decode()] = self._trace(r, back[:, i], piece[:, i]).tobytes()
+        for r, b, p in zip(raw, back.T.tolist(), piece.T.tolist(), strict=True):
+            self.memory[r.decode()] = self._trace(r, b, p)
 
-    def _trace(self, raw: bytes, back, piece) -> np.ndarray:
+    def _trace(self, raw: bytes, back: list[int], piece: list[int]) -> bytes:
+        """The ids of the best segmentation, 4 bytes each."""
         out, at = [], len(raw)
         while at:
-            start = int(back[at])
-            out.append([int(self.ids[piece[at]])] if piece[at] >= 0 else self._fallback(raw[start:at]))
+            start, p = back[at], piece[at]
+            out.append(self.id_bytes[p] if p >= 0 else self._fallback(raw[start:at]))
             at = start
-        return np.array([x for some in reversed(out) for x in some], np.int32)
+        out.reverse()
+        return b"".join(out)
 
-    def _fallback(self, raw: bytes) -> list[int]:
+    def _fallback(self, raw: bytes) -> bytes:
         ids = self.bytes[np.frombuffer(raw, np.uint8)]
-        return ids.tolist() if (ids >= 0).all() else [self.unknown_id]
+        return ids.tobytes() if (ids >= 0).all() else np.int32(self.unknown_id).tobytes()
 
-    def _encode_long(self, raw: bytes) -> np.ndarray:
+    def _encode_long(self, raw: bytes) -> bytes:
         n = len(raw)
         best, back, piece = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
