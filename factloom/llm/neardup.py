@@ -10,7 +10,8 @@ probability of (1 - 0.8**7)**50 = 8e-6. Within a bucket no pairs are listed:
 1. each text is compared with a few of its buckets' texts, the least ones in four hashed orders;
 2. in buckets that still span several classes, with the text that has most links so far, until that brings no more links;
 3. texts of buckets that still span classes are joined exactly: two texts at 0.8 share one of the rarest
-   shingles of both (prefix filter), and only pairs of unlike classes and fitting sizes are compared.
+   shingles of both (prefix filter) at places behind which enough others may follow (position filter), and only pairs of unlike
+   classes and fitting sizes are compared.
 All comparisons count shared shingles. Classes are the connected components of the links found.
 
 Defined cases: words are `\\w+`, lower-cased; texts of one to four words are one shingle; texts without words, and null, are
@@ -219,10 +220,12 @@ def classes(docs: DataFrame) -> DataFrame:
     counted = each.groupBy("s").agg(F.count("*").alias("df"))
     w = Window.partitionBy("node").orderBy("df", "s")
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(4) / 5) + 1
-    rare = cut(each.join(counted, "s").withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= prefix) & (F.col("df") > 1)).select("s", "node", "n", "comp"))
+    rare = cut(each.join(counted, "s").withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= prefix) & (F.col("df") > 1)).select("s", "node", "n", "comp", "rank"))
     x, y = rare.alias("x"), rare.alias("y")
     fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.n") * 5 >= F.col("y.n") * 4) & (F.col("y.n") * 5 >= F.col("x.n") * 4)
-    last = x.join(y, (F.col("x.s") == F.col("y.s")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    # at the first shingle that both share, what lies behind it must still be enough (later ones only leave less)
+    enough = (1 + F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank"))) * 9 >= (F.col("x.n") + F.col("y.n")) * 4
+    last = x.join(y, (F.col("x.s") == F.col("y.s")) & fits & enough).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     found = cut(compare(last, shingled))
     if not found.isEmpty():
         labels = components(found, labels)
