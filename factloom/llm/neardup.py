@@ -45,13 +45,16 @@ _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit hash of 64-bit numbers."""
     x = x + _GOLD
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def uniform(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(11)).astype(np.float64) / 2.0**53
+    return (h >> np.uint64(20)) * 2.0**-44
 
 
 class _Words(dict):
@@ -97,7 +100,7 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarra
     """k coordinates, equal in two weighted sets with the probability of their weighted Jaccard similarity."""
     bound = (math.log(k) + 2) * k / float(weights.sum())
     while True:
-        ranks, marks, coords = [], [], []
+        ranks, marks = [], []
         for i, (low, high) in enumerate(_layers(bound)):
             for j, (light, heavy) in enumerate(_layers(float(weights.max()))):
                 over = weights > light
@@ -109,18 +112,24 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarra
                     continue
                 start = np.repeat(np.cumsum(n) - n, n)
                 dart = mix(np.repeat(seed, n) + (np.arange(total) - start).astype(np.uint64))
-                rank = low + (high - low) * uniform(mix(dart + np.uint64(1)))
-                keep = rank < bound
+                # high bits place a dart, low bits choose its coordinate
+                rank = low + (high - low) * uniform(dart)
+                if high > bound:
+                    keep = rank < bound
+                    rank, dart, w_of = rank[keep], dart[keep], np.repeat(w, n)[keep]
+                else:
+                    w_of = np.repeat(w, n)
                 if heavy > 1 or float(weights.min()) < heavy:
-                    keep &= light + (heavy - light) * uniform(mix(dart + np.uint64(2))) < np.repeat(w, n)
-                ranks.append(rank[keep])
-                marks.append(dart[keep])
-                coords.append((mix(dart[keep] + np.uint64(3)) % np.uint64(k)).astype(np.int64))
-        rank, mark, coord = (np.concatenate(x) if x else np.empty(0) for x in (ranks, marks, coords))
-        order = np.argsort(-rank, kind="stable")
+                    keep = light + (heavy - light) * uniform(mix(dart)) < w_of
+                    rank, dart = rank[keep], dart[keep]
+                ranks.append(rank)
+                marks.append(dart)
+        rank, mark = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((ranks, np.float64), (marks, np.uint64)))
+        coord = ((mark & np.uint64(0xFFFFF)) * np.uint64(k) >> np.uint64(20)).astype(np.int64)
+        order = np.argsort(-rank)
         out, full = np.zeros(k, np.uint64), np.zeros(k, bool)
-        out[coord[order].astype(np.int64)] = mark[order]  # of several the last stays: the least rank
-        full[coord.astype(np.int64)] = True
+        out[coord[order]] = mark[order]  # of several the last stays: the least rank
+        full[coord] = True
         if full.all():
             return out
         bound *= 2
