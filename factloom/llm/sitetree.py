@@ -5,10 +5,12 @@ counts the pages it is in (m), the styles it has there (the kinds of children) a
 - presentation importance: entropy of the styles, to the base m;
 - content importance: 1 less the mean entropy of the texts over pages, ln(pages with it) / ln(m);
 - composite importance: (1 - 0.9**k) of the first and 0.9**k of the mean of the leaves below, k being the kinds of children.
-A branch of importance below `LOW` is removed from each page, and so is a leaf text whose own importance is below it.
-Importance starts from what the markup says: elements made for menus, page headers and footers, sidebars, notices, adverts, forms,
-comments, scripts and styles have 0, articles have 1 (where a page has an article, what lies outside has 0). The statistics decide over all
-other branches of hosts with at least `LEAST_PAGES` unlike pages.
+A branch is noise if its importance and that of all branches and texts of nodes below are under `LOW`; it is removed from each page, and so is a leaf
+text whose own importance is under it. A node without nodes below has the content importance alone.
+What the markup switches off is removed on any page: elements made for menus, page headers and footers, sidebars, notices, adverts, forms, comments,
+scripts and styles. Of all other branches of hosts with at least `LEAST_PAGES` unlike pages the statistics decide, inside articles and content
+wrappers too; what the markup says there (articles and wrappers 1, what lies outside a page's article 0) only weighs as much as `PRIOR` pages.
+Branches with fewer pages are judged by the markup: where a page has an article, what lies outside goes, and all else stays.
 
 What is left is decoded, white space inside a block becomes one space, and blocks are joined by line ends.
 
@@ -31,6 +33,8 @@ from pyspark.sql import types as T
 from factloom.session import cut
 
 LOW, LEAST_PAGES, GAMMA = 0.25, 8, 0.9
+#: The first importance weighs as much as so many pages; what is the same on `LEAST_PAGES` pages still falls below `LOW`.
+PRIOR = 2
 #: With at most so many low nodes and texts (8 bytes each) the tasks get them all; beyond, blocks are joined with them.
 SENT = 500_000
 
@@ -62,31 +66,40 @@ _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 class _Open:
-    __slots__ = ("tag", "path", "kids", "off", "article", "content")
+    """An element: `node` names its path of tags and classes on its host, `block` is the place of the nearest block around on the stack."""
 
-    def __init__(self, tag, path, off, article, content):
-        self.tag, self.path, self.kids, self.off, self.article, self.content = tag, path, set(), off, article, content
+    __slots__ = ("tag", "node", "up", "block", "kids", "off", "article", "content", "alive", "prior", "gone")
 
+    def __init__(self, tag, node, up, block, off, article, content):
+        self.tag, self.node, self.up, self.block, self.kids, self.off, self.article, self.content = tag, node, up, block, set(), off, article, content
+        self.alive, self.prior, self.gone = True, None, None
 
-def parse(html: str):
-    """(blocks, styles): the page's (path, text, off, article, content) in order, and (path, kinds of children) of its elements."""
-    blocks, styles, buffer = [], [], []
-    stack = [_Open("", "", False, False, False)]
-    rank = lambda o: (o.path, o.off, o.article, o.content)
+
+def parse(html: str, host: str = ""):
+    """(blocks, elements): the page's (owner, text, off, article, content, outside) in order, and all its elements.
+
+    outside: the page has an article, and this block isn't in it. Work and memory grow with the page, however deep elements nest.
+    """
+    blocks, elements, buffer = [], [], []
+    stack = [_Open("", xxhash.xxh64_intdigest(host), None, 0, False, False, False)]
+    stack[0].gone = False
+    # places on the stack of the open elements, by tag
+    places: dict[str, list[int]] = {}
+    last = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def flush():
         if buffer:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                owner = next((o for o in reversed(stack) if o.tag in BLOCK or not o.tag), stack[0])
-                path, off, article, content = rank(owner)
-                blocks.append((path, text, stack[-1].off or off, article, content))
+                o = stack[stack[-1].block]
+                blocks.append((o, text, stack[-1].off or o.off, o.article, o.content))
 
     def close(at: int):
-        while len(stack) > at:
+        while len(stack) > at or not stack[-1].alive:
             o = stack.pop()
-            styles.append((o.path, tuple(sorted(o.kids))))
+            if o.alive:
+                places[o.tag].pop()
 
     pos, n = 0, len(html)
     while pos < n:
@@ -101,17 +114,18 @@ def parse(html: str):
         if not tag:
             continue
         if m[1]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            at = last((tag,))
             if not at:
                 continue
             if tag in BLOCK:
                 flush()
                 close(at)
-            elif any(o.tag in BLOCK for o in stack[at + 1 :]):
-                styles.append((stack[at].path, tuple(sorted(stack[at].kids))))
-                del stack[at]
+            elif stack[-1].block > at:
+                # it ends, but what is open inside stays open
+                stack[at].alive = False
+                places[tag].pop()
             else:
-                if stack[at].off and not stack[at - 1].off:
+                if stack[at].off and not stack[at].up.off:
                     buffer.append(" ")
                 close(at)
             continue
@@ -121,15 +135,12 @@ def parse(html: str):
         if tag in BLOCK:
             flush()
             if tag in CLOSES_P:
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
-                if at and not any(o.tag in BLOCK for o in stack[at + 1 :]):
+                at = last(("p",))
+                if at and stack[-1].block == at:
                     close(at)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in FENCES:
-                    break
-                if stack[i].tag in SIBLINGS.get(tag, ()):
-                    close(i)
-                    break
+            at = last(SIBLINGS.get(tag, ()))
+            if at > last(FENCES):
+                close(at)
         if tag in VOID:
             continue
         attributes = {a.lower(): unescape(b or c or d) for a, b, c, d in _ATTRIBUTE.findall(m[3])} if m[3].strip(" /\n\t\r") else {}
@@ -154,12 +165,12 @@ def parse(html: str):
             pos = gone.end() if gone else pos
             continue
         if len(stack) < 200:
-            stack.append(_Open(tag, f"{up.path}>{label}", off, article, content))
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(_Open(tag, xxhash.xxh64_intdigest(label, up.node), up, len(stack) if tag in BLOCK else up.block, off, article, content))
+            elements.append(stack[-1])
     flush()
-    close(1)
-    if any(b[3] for b in blocks):
-        blocks = [(p, t, off or not article, article, content) for p, t, off, article, content in blocks]
-    return blocks, styles
+    has = any(b[3] for b in blocks)
+    return [(*b, has and not b[3]) for b in blocks], elements
 
 
 def host_of(url: str | None) -> str:
@@ -172,108 +183,175 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\0".join(parts)) - 2**63
 
 
-def _ancestors(path: str) -> list[str]:
-    steps = path.split(">")
-    return [">".join(steps[: i + 1]) for i in range(1, len(steps))]
+def _key(o: _Open) -> int:
+    return o.node - 2**63
 
 
-SEEN = T.StructType().add("page", "long").add("node", T.ArrayType(T.LongType())).add("style", T.ArrayType(T.LongType())).add("kids", T.ArrayType(T.IntegerType())).add("leaf", T.ArrayType(T.LongType())).add("below", T.ArrayType(T.LongType())).add("text", T.ArrayType(T.LongType()))
+SEEN = T.StructType().add("page", "long")
+for _name in ("node", "up", "style"):
+    SEEN.add(_name, T.ArrayType(T.LongType()))
+for _name in ("kids", "prior"):
+    SEEN.add(_name, T.ArrayType(T.IntegerType()))
+SEEN.add("leaf", T.ArrayType(T.LongType())).add("text", T.ArrayType(T.LongType())).add("outside", T.ArrayType(T.BooleanType()))
 
 
 def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(url, html) to a page's nodes with their styles, and its texts with each node around them."""
+    """(url, html) to a page's nodes with their parents, styles and first importance (1, 0 or -1 for none), and its texts with their nodes."""
     for batch in batches:
         out = [[] for _ in SEEN.names]
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             host = host_of(url)
             if not host or not html:
                 continue
-            blocks, styles = parse(html)
-            kinds: dict[str, set] = {}
-            for path, kids in styles:
-                kinds.setdefault(path, set()).update(kids)
-            open_texts = {(p, t) for p, t, off, _, content in blocks if not off and not content}
-            around = {a for p, _ in open_texts for a in _ancestors(p)}
-            nodes = sorted(a for a in around if a in kinds)
-            texts = sorted({(a, p, t) for p, t in open_texts for a in _ancestors(p)})
+            blocks, elements = parse(html, host)
+            texts: dict[tuple, bool] = {}
+            for o, text, off, _, content, outside in blocks:
+                if off:
+                    continue
+                key = (_key(o), _hash(text))
+                texts[key] = texts.get(key, False) or outside
+                prior = 0 if outside else 1 if content else -1
+                while o and (o.prior is None or o.prior < prior):
+                    o.prior, o = prior, o.up
+            # node: parent, kinds of children, first importance
+            nodes: dict[int, list] = {}
+            for o in elements:
+                if o.prior is not None:
+                    x = nodes.setdefault(o.node, [_key(o.up) if o.up.up else None, set(), -1])
+                    x[2] = max(x[2], o.prior)
+            for o in elements:
+                if o.node in nodes:
+                    nodes[o.node][1].update(o.kids)
             row = (
-                _hash(host, html), [_hash(host, a) for a in nodes], [_hash(*sorted(kinds[a])) for a in nodes], [len(kinds[a]) for a in nodes],
-                [_hash(host, p) for _, p, _ in texts], [_hash(host, a) for a, _, _ in texts], [_hash(t) for _, _, t in texts],
+                _hash(host, html), [a - 2**63 for a in nodes], [x[0] for x in nodes.values()], [_hash(*sorted(x[1])) for x in nodes.values()], [len(x[1]) for x in nodes.values()],
+                [x[2] for x in nodes.values()], [leaf for leaf, _ in texts], [text for _, text in texts], list(texts.values()),
             )
             for to, x in zip(out, row, strict=True):
                 to.append(x)
-        types = [pa.int64()] + [pa.list_(pa.int64())] * 2 + [pa.list_(pa.int32())] + [pa.list_(pa.int64())] * 3
+        types = [pa.int64()] + [pa.list_(pa.int64())] * 3 + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64())] * 2 + [pa.list_(pa.bool_())]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], SEEN.names)
 
 
+def _upward(tree: DataFrame, fold: dict) -> DataFrame:
+    """(node, columns): each column of a forest (node, up, columns) folded over the node and all below, by `fold` (aggregate, of two).
+
+    Steps double each round, so rounds grow with the log of the depth.
+    """
+    at = cut(tree)
+    while not at.where("up is not null").isEmpty():
+        lifted = at.where("up is not null").groupBy(F.col("up").alias("node")).agg(*(whole(c).alias(f"_{c}") for c, (whole, _) in fold.items()))
+        ahead = at.select(F.col("node").alias("up"), F.col("up").alias("_up"))
+        both = at.join(lifted, "node", "left").join(ahead, "up", "left")
+        at = cut(both.select("node", F.col("_up").alias("up"), *(F.when(F.col(f"_{c}").isNull(), F.col(c)).when(F.col(c).isNull(), F.col(f"_{c}")).otherwise(two(F.col(c), F.col(f"_{c}"))).alias(c) for c, (_, two) in fold.items())))
+    return at.drop("up")
+
+
 def low_branches(pages: DataFrame, low: float = LOW, least: int = LEAST_PAGES) -> DataFrame:
-    """(key): hashes of nodes, and of nodes with texts, of importance below `low`."""
+    """(key, low): hashes of nodes, and of nodes with texts, that are noise; and, with low false, of nodes outside articles that are not."""
     seen = cut(pages.select("url", "html").mapInArrow(observe, SEEN).dropDuplicates(["page"]))
-    styled = seen.select(F.explode(F.arrays_zip("node", "style", "kids")).alias("x")).groupBy("x.node", "x.style").agg(F.count("*").alias("c"), F.max("x.kids").alias("kids"))
-    pages_of = styled.groupBy("node").agg(F.sum("c").alias("m"), F.max("kids").alias("k"), F.sum(F.col("c") * F.log("c")).alias("clogc")).where(F.col("m") >= least)
+    styled = seen.select(F.explode(F.arrays_zip("node", "up", "style", "kids", "prior")).alias("x"))
+    held = F.when(F.col("x.prior") >= 0, F.col("x.prior"))
+    styled = styled.groupBy("x.node", "x.style").agg(F.count("*").alias("c"), F.max("x.up").alias("up"), F.max("x.kids").alias("kids"), F.sum(held).alias("held"), F.count(held).alias("holds"))
+    pages_of = styled.groupBy("node").agg(
+        F.max("up").alias("up"), F.sum("c").alias("m"), F.max("kids").alias("k"), F.sum(F.col("c") * F.log("c")).alias("clogc"), (F.sum("held") / F.nullif(F.sum("holds"), F.lit(0))).alias("prior")
+    )
+    texts = cut(seen.select(F.explode(F.arrays_zip("leaf", "text", "outside")).alias("x")).groupBy(F.col("x.leaf").alias("node"), "x.text").agg(F.count("*").alias("c"), F.max("x.outside").alias("outside")))
+    of_leaf = texts.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.log("c")).alias("logs"), F.max("outside").alias("outside"))
+    tree = cut(pages_of.join(of_leaf, "node", "left"))
+    add, most = (F.sum, lambda a, b: a + b), (F.max, F.greatest)
+    whole = _upward(tree.select("node", "up", F.coalesce("n", F.lit(0)).alias("all"), F.coalesce("logs", F.lit(0.0)).alias("all_logs")), {"all": add, "all_logs": add})
+    inner = tree.where("up is not null").select(F.col("up").alias("node"), F.lit(True).alias("inner")).distinct()
+
+    def weighed(x):
+        return F.when(F.col("prior").isNull(), x).otherwise((F.col("prior") * PRIOR + x * F.col("m")) / (F.col("m") + PRIOR))
+
+    judged = tree.where(F.col("m") >= least).join(whole, "node").join(inner, "node", "left")
+    content = 1 - F.col("all_logs") / (F.col("all") * F.log("m"))
     # entropy of the styles to the base m
-    pages_of = pages_of.withColumn("look", (F.log("m") - F.col("clogc") / F.col("m")) / F.log("m"))
-    texts = seen.select(F.explode(F.arrays_zip("below", "leaf", "text")).alias("x")).groupBy("x.below", "x.leaf", "x.text").agg(F.count("*").alias("c"))
-    whole = texts.groupBy(F.col("below").alias("node")).agg(F.count("*").alias("n"), F.sum(F.log("c")).alias("logs"))
-    nodes = pages_of.join(whole, "node").withColumn("content", 1 - F.col("logs") / (F.col("n") * F.log("m")))
+    look = (F.log("m") - F.col("clogc") / F.col("m")) / F.log("m")
     keep = F.pow(F.lit(GAMMA), "k")
-    nodes = nodes.withColumn("importance", F.when(F.col("k") == 0, F.col("content")).otherwise((1 - keep) * F.col("look") + keep * F.col("content")))
-    own = texts.where((F.col("below") == F.col("leaf")) & (F.col("c") >= least)).join(pages_of.select(F.col("node").alias("below"), "m"), "below")
-    own = own.where(1 - F.log("c") / F.log("m") < low)
-    return cut(nodes.where(F.col("importance") < low).select(F.col("node").alias("key")).unionByName(own.select(F.col("below").bitwiseXOR(F.col("text")).alias("key"))).distinct())
-
+    composite = F.when(F.col("inner"), (1 - keep) * look + keep * content).otherwise(content)
+    # a node's own texts count like a branch below it
+    composite = F.greatest(composite, F.when(F.col("n") > 0, 1 - F.col("logs") / (F.col("n") * F.log("m"))))
+    judged = cut(judged.select("node", "up", "m", "prior", "outside", weighed(composite).alias("importance")))
+    best = _upward(judged.select("node", "up", "importance"), {"importance": most})
+    nodes = best.join(judged.select("node", "outside"), "node").withColumn("low", F.col("importance") < low)
+    own = texts.where(F.col("c") >= least).join(judged.select("node", "m", "prior"), "node")
+    own = own.where(weighed(1 - F.log("c") / F.log("m")) < low)
+    keys = nodes.where("low or outside").select(F.col("node").alias("key"), "low")
+    return cut(keys.unionByName(own.select(F.col("node").bitwiseXOR(F.col("text")).alias("key"), F.lit(True).alias("low"))).distinct())
 
-TEXTS = T.StructType().add("row", "long").add("text", "string")
-PARTS = T.StructType().add("row", "long").add("i", "integer").add("text", "string").add("keys", T.ArrayType(T.LongType())).add("fixed", "boolean")
 
-
-def _parts(batch: pa.RecordBatch):
-    for row, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-        host = host_of(url)
-        blocks = [b for b in parse(html or "")[0] if not b[2]]
-        yield row, host, blocks
+KEYS = T.StructType().add("row", "long").add("keys", T.ArrayType(T.LongType()))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text, the main text, of each row of `pages` (page_id, url, html)."""
-    low = low_branches(pages)
+    told = low_branches(pages)
     rows = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row"))
-    n = low.count()
-    if n <= SENT:
-        gone = frozenset(r.key for r in low.collect())
+    if told.count() <= SENT:
+        found = told.collect()
+        low, high = frozenset(r.key for r in found if r.low), frozenset(r.key for r in found if not r.low)
 
         @F.pandas_udf(T.StringType())
         def main_text(url, html):
             import pandas as pd
 
-            return pd.Series([_text(host_of(u), h, gone) for u, h in zip(url, html, strict=True)], dtype=object)
+            return pd.Series([_text(host_of(u), h, low, high) for u, h in zip(url, html, strict=True)], dtype=object)
 
         return rows.select("page_id", "url", main_text("url", "html").alias("text"))
 
-    # read several times below, with the same numbers
+    # read twice below, with the same numbers
     rows = cut(rows)
 
-    def explode(batches):
+    def keys_of(batches):
         for batch in batches:
-            out = [[] for _ in PARTS.names]
-            for row, host, blocks in _parts(batch):
-                for i, (path, text, _, _, content) in enumerate(blocks):
-                    for to, x in zip(out, (row, i, text, _keys(host, path, text), content or not host), strict=True):
-                        to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.bool_()), strict=True)], PARTS.names)
-
-    parts = rows.select("row", "url", "html").mapInArrow(explode, PARTS)
-    hit = parts.where("not fixed").select("row", "i", F.explode("keys").alias("key")).join(low, "key", "left_semi").select("row", "i").distinct()
-    kept = parts.select("row", "i", "text").join(hit, ["row", "i"], "left_anti")
-    texts = kept.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return rows.select("page_id", "url", "row").join(texts, "row", "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-
-
-def _keys(host: str, path: str, text: str) -> list[int]:
-    leaf = _hash(host, path)
-    return [*(_hash(host, a) for a in _ancestors(path)), leaf ^ _hash(text)]
-
-
-def _text(host: str, html: str | None, gone: frozenset) -> str:
-    blocks = [b for b in parse(html or "")[0] if not b[2]]
-    return "\n".join(t for p, t, _, _, content in blocks if content or not host or not gone or not gone.intersection(_keys(host, p, t)))
+            keys = [sorted(_keys(host_of(u), h)) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], KEYS.names)
+
+    @F.pandas_udf(T.StringType())
+    def told_text(url, html, low, high):
+        import pandas as pd
+
+        sets = lambda x: frozenset(() if x is None else x)
+        return pd.Series([_text(host_of(u), h, sets(a), sets(b)) for u, h, a, b in zip(url, html, low, high, strict=True)], dtype=object)
+
+    keys = rows.select("row", "url", "html").mapInArrow(keys_of, KEYS).select("row", F.explode("keys").alias("key"))
+    hit = keys.join(told, "key").groupBy("row").agg(F.collect_list(F.when(F.col("low"), F.col("key"))).alias("low"), F.collect_list(F.when(~F.col("low"), F.col("key"))).alias("high"))
+    return rows.join(hit, "row", "left").select("page_id", "url", told_text("url", "html", "low", "high").alias("text"))
+
+
+def _keys(host: str, html: str | None) -> set[int]:
+    """What low_branches may name on a page: nodes around texts, and nodes with texts."""
+    keys: set[int] = set()
+    if not host:
+        return keys
+    for o, text, off, *_ in parse(html or "", host)[0]:
+        if not off:
+            keys.add(_key(o) ^ _hash(text))
+            while o.up and not o.gone:
+                keys.add(_key(o))
+                o.gone, o = True, o.up
+    return keys
+
+
+def _noise(o: _Open, low: frozenset) -> bool:
+    """Whether an element or one around it is low; each element of a page is looked up once."""
+    chain = []
+    while o.gone is None:
+        chain.append(o)
+        o = o.up
+    gone = o.gone
+    for x in reversed(chain):
+        gone = x.gone = gone or _key(x) in low
+    return gone
+
+
+def _text(host: str, html: str | None, low: frozenset, high: frozenset) -> str:
+    kept = []
+    for o, text, off, *_, outside in parse(html or "", host)[0]:
+        if off or outside and _key(o) not in high:
+            continue
+        if not host or not (_noise(o, low) or _key(o) ^ _hash(text) in low):
+            kept.append(text)
+    return "\n".join(kept)

@@ -46,6 +46,31 @@ def test_joined_form_gives_the_same(spark, monkeypatch):
     assert texts(extract(df)) == want
 
 
+def in_articles(n, host):
+    """A wrapper and an article with a share bar, a notice and a text of its own, and a line outside the article."""
+    bar = '<div class="z1"><span>Send</span> <span>Print</span></div><div class="z2"><div class="z4"><p>Read more here</p></div></div>'
+    body = '<div id="content"><article><h1>Title {i}</h1>%s<p>Body {i}</p>%s</article><div class="z3"><p>Under {i}</p><p>The same</p></div></div>' % (bar, "<p>Always so</p>")
+    return [(i, f"http://{host}/{i}", "<body>" + body.replace("{i}", str(i)) + "</body>") for i in range(n)]
+
+
+def test_statistics_decide_inside_articles(spark, monkeypatch):
+    rows = in_articles(20, "many.org") + [(100 + i, *r) for i, *r in in_articles(4, "few.org")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for sent in (sitetree.SENT, -1):
+        monkeypatch.setattr(sitetree, "SENT", sent)
+        got = texts(extract(df))
+        assert all(got[i] == f"Title {i}\nBody {i}\nUnder {i}" for i in range(20))
+        # too few pages: by the markup
+        assert all(got[100 + i] == f"Title {i}\nSend Print\nRead more here\nBody {i}\nAlways so" for i in range(4))
+
+
+def test_uniform_pages_keep_their_articles(spark):
+    kinds = [f"<{t} class='{c}q'>{t} {{i}} {c}</{t}>" for t in ("p", "div", "section") for c in "klmnopqrst"]
+    rows = [(i, f"http://same.org/{i}", "<article>" + "".join(kinds).replace("{i}", str(i)) + "</article>") for i in range(12)]
+    got = texts(extract(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    assert all(len(got[i].split("\n")) == 30 for i in range(12))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert extract(df).count() == 0
