@@ -15,7 +15,7 @@ Branches with fewer pages are judged by the markup: where a page has an article,
 What is left is decoded, white space inside a block becomes one space, and blocks are joined by line ends.
 
 Defined cases: null html or url counts as empty; pages without a host are judged by their markup alone; equal pages
-of a host count once; a tag, comment, script or reference cut off by the end of the page is dropped or stays text as browsers do it; repeated rows
+of a host count once; elements may nest to any depth; a tag, comment, script or reference cut off by the end of the page is dropped or stays text as browsers do it; repeated rows
 are extracted one by one; an empty table is fine.
 """
 
@@ -164,10 +164,9 @@ def parse(html: str, host: str = ""):
             gone = _TAG.match(html, pos)
             pos = gone.end() if gone else pos
             continue
-        if len(stack) < 200:
-            places.setdefault(tag, []).append(len(stack))
-            stack.append(_Open(tag, xxhash.xxh64_intdigest(label, up.node), up, len(stack) if tag in BLOCK else up.block, off, article, content))
-            elements.append(stack[-1])
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(_Open(tag, xxhash.xxh64_intdigest(label, up.node), up, len(stack) if tag in BLOCK else up.block, off, article, content))
+        elements.append(stack[-1])
     flush()
     has = any(b[3] for b in blocks)
     return [(*b, has and not b[3]) for b in blocks], elements

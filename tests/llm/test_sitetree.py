@@ -22,6 +22,16 @@ def test_markup_alone():
     assert parse("x" + "<div>" * 3000 + "deep")[0][-1][1] == "deep"
 
 
+def test_depth_changes_nothing():
+    for depth in (3, 250, 20_000):
+        down, up = "<div>" * depth, "</div>" * depth
+        html = f"<div class='x1'><article><p>a</p>{down}b<nav>n</nav><div class='ad'>s</div><form>f</form>{up}<p>c</p></article></div><nav>m</nav>"
+        assert [b[1] for b in parse(html)[0] if not b[2]] == ["a", "b", "c"]
+        # unclosed inline tags in one block
+        html = f"<article><p>a{'<font>' * depth}<nav>n</nav>b<p>c</p></article><div>d</div>"
+        assert [b[1] for b in parse(html)[0] if not b[2] and not b[5]] == ["a", "b", "c"]
+
+
 def rows():
     out = [(i, f"http://site.org/{i}", page(i, f"<p>Story {i} begins</p><p>and ends {i}</p>")) for i in range(30)]
     out += [(100 + i, f"http://small.org/{i}", page(i, f"<p>Small {i}</p>")) for i in range(3)]
