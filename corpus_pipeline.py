@@ -12,14 +12,17 @@ from factloom.llm.queries import PIECES
 from factloom.llm.sentencepiece import Codec
 from factloom.session import cut
 
-#: Even texts of a few clean words keep some likeness: only those with none go.
-MIN_SCORE = 0.0
+#: A text unlike a language has a cosine of mean 0 and deviation 1/sqrt(DIM) with its prototype: four times that is above the noise.
+MIN_SCORE = 4 / langid.DIM**0.5
+#: The few trigrams of a clean text of fewer letters don't stand out from the noise either, so it is too short to be rejected by its score.
+SHORT = 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language: no letters, or unlike all languages. A null lang becomes the predicted one."""
+    """Drops texts without a language: no letters, or `SHORT` letters at least and unlike all languages. A null lang becomes the predicted one."""
     judged = langid.predict(docs, langid.train(docs))
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") > MIN_SCORE))
+    short = F.length(F.regexp_replace("text", r"[^\p{L}]", "")) < SHORT
+    kept = judged.where((F.col("lang_pred") != "und") & ((F.col("score") > MIN_SCORE) | short))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -49,3 +49,19 @@ def test_stages_and_columns(spark, tmp_path):
     for r in docs.collect():
         copies[r.doc_id] += 1
     assert max(copies.values()) <= 2
+
+
+def test_language_stage_drops_noise_and_keeps_short_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and n_chars > 400").orderBy("doc_id").limit(300).collect()
+    rng = random.Random(5)
+    words = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(40))
+    rows = [(r.doc_id, r.text, r.lang, "s", r.n_chars) for r in docs]
+    # one to ten words of clean texts, consonants, a script without a prototype; none has a label
+    short = {10**6 + i: " ".join(r.text.split()[: i % 10 + 1]) for i, r in enumerate(docs)}
+    noise = {2 * 10**6 + i: words("bcdfghjklmnpqrstvwxz") for i in range(100)} | {3 * 10**6 + i: words([chr(c) for c in range(0x430, 0x450)]) for i in range(100)}
+    rows += [(i, t, None, "s", len(t)) for i, t in (short | noise).items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, df, "").collect()}
+    assert len(kept & set(noise)) <= 2
+    assert len(kept & set(short)) >= 0.97 * len(short)
+    assert len(kept & {r.doc_id for r in docs}) >= 0.99 * len(docs)
