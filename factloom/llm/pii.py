@@ -1,16 +1,19 @@
 """Personal data: patterns, and information-theoretic sanitisation of terms that give a protected entity away.
 
 Base rules find e-mail addresses, IP addresses, card numbers and phone numbers. Every value found is a protected entity e.
-A term t, a word within `WINDOW` characters of a mention of e, reveals it as far as knowing t tells e:
-PMI(e; t) = log p(e | t) / p(e), with probabilities over the distinct texts of the corpus, against the entity's own information
--log p(e). A term is disclosing if ALPHA * PMI >= -log p(e) and at least `SUPPORT` texts with unlike surroundings of the mention
-show both. Disclosing terms are spans wherever they stand: sanitise() puts the base spans and them as <KIND>.
+A term t, anywhere in a text with e, reveals it as far as knowing t tells e: PMI(e; t) = log p(e | t) / p(e), with probabilities over
+the distinct texts of the corpus, against the entity's own information -log p(e). A term is disclosing if ALPHA * PMI >= -log p(e) and at least
+`SUPPORT` distinct texts show both: what stands in a single text can't be told from chance. Disclosing terms are spans wherever they stand:
+sanitise() puts the base spans and them as <KIND>.
 
-Built-in functions only. One pass over the texts finds base spans and surroundings; only if some (entity, term) has the support does a second
-pass count the texts of these terms, and only if some term is disclosing does a third place them.
+Terms are words of two letters or more; Han and Kana, written without spaces, give each pair of neighbouring letters. Entities that occur in the same
+texts have the same terms and are counted as one.
+
+Built-in functions only. One pass over the texts finds base spans, entities and the terms beside them; only if some (entity, term) has the support and
+passes does a second pass count the texts of these terms, and only if some term is disclosing does a third place them.
 
 Defined cases: a null text counts as empty; repeated texts count once in all probabilities and get equal spans; an empty table
-gives an empty result. Terms are compared in lower case and have at least `LETTERS` letters.
+gives an empty result. Terms are compared in lower case.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -26,10 +29,15 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-WINDOW, LETTERS, SUPPORT, ALPHA = 80, 4, 3, 1.1
+SUPPORT, ALPHA = 2, 1.1
 #: Up to so many terms go to all tasks; more are met by shuffle.
 SENT = 500_000
-TERM = r"\p{L}[\p{L}\p{M}'_-]{%d,}+" % (LETTERS - 1)
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+LETTER = rf"[\p{{L}}\p{{M}}'_\-&&[^{UNSPACED}]]"
+WORD = rf"[\p{{L}}&&[^{UNSPACED}]]{LETTER}++"
+PAIR = rf"(?=([{UNSPACED}]{{2}}))"
+#: Addresses and numbers are no terms.
+NO_TERM = r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[@0-9][A-Za-z0-9@._%+-]*+"
 
 
 def _digits(value: Column) -> Column:
@@ -53,22 +61,15 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def _surroundings(text: Column, base: Column) -> Column:
-    """For each span its entity, and the distinct terms and the name of what surrounds it; a word cut by the window's edge is left out."""
+def _entities(base: Column) -> Column:
+    entity = lambda s: F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(_digits(s["value"])))
+    return F.array_distinct(F.transform(base, entity))
 
-    def around(s):
-        start = F.greatest(s["start"] - WINDOW, F.lit(0))
-        left = F.substring(text, start + 1, s["start"] - start)
-        left = F.when(start > 0, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-        right = F.substring(text, s["end"] + 1, F.lit(WINDOW))
-        right = F.when(F.length(text) > s["end"] + WINDOW, F.regexp_replace(right, r"\S+$", "")).otherwise(right)
-        both = F.concat(left, F.lit(" "), right)
-        entity = F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(_digits(s["value"])))
-        # a neighbour that is itself a base span is no term
-        clean = F.regexp_replace(both, r"\S*[@0-9]\S*", " ")
-        return F.struct(entity.alias("entity"), F.array_distinct(F.regexp_extract_all(F.lower(clean), F.lit(TERM), F.lit(0))).alias("terms"), F.xxhash64(both).alias("context"))
 
-    return F.transform(base, around)
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    clean = F.regexp_replace(F.lower(text), NO_TERM, " ")
+    return F.array_distinct(F.concat(F.regexp_extract_all(clean, F.lit(WORD), F.lit(0)), F.regexp_extract_all(clean, F.lit(PAIR), F.lit(1))))
 
 
 def _name(text: Column) -> Column:
@@ -78,25 +79,32 @@ def _name(text: Column) -> Column:
 
 def _disclosing(first: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(h1, h2, terms): disclosing terms by text, or None if there are none."""
-    mentions = first.where(F.size("near") > 0).select("h1", "h2", F.explode("near").alias("m")).select("h1", "h2", "m.entity", "m.terms", "m.context").distinct()
-    pairs = mentions.select("h1", "h2", "entity", "context", F.explode("terms").alias("term"))
-    both = pairs.groupBy("entity", "term").agg(F.countDistinct("h1", "h2").alias("texts"), F.countDistinct("context").alias("contexts")).where((F.col("contexts") >= SUPPORT) & (F.col("texts") >= SUPPORT))
-    of_entity = mentions.groupBy("entity").agg(F.countDistinct("h1", "h2").alias("of_entity"))
-    near = pairs.groupBy("term").agg(F.countDistinct("h1", "h2").alias("of_term"))
-    n = first.select(F.approx_count_distinct("h1", 0.01)).first()[0] or 1
+    seen = first.where(F.size("entities") > 0).select("h1", "h2", "entities", "terms").dropDuplicates(["h1", "h2"])
+    mentions = seen.select("h1", "h2", F.explode("entities").alias("entity"))
+    # entities by the texts that hold them
+    held_by = mentions.groupBy("entity").agg(F.count("*").alias("of_entity"), F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2")).where(F.col("of_entity") >= SUPPORT)
+    group = F.struct("of_entity", "x1", "x2").alias("entity")
+    mentions = cut(mentions.join(held_by, "entity").select("h1", "h2", group).distinct())
+    if mentions.isEmpty():
+        return None
+    words = seen.select("h1", "h2", F.explode("terms").alias("term"))
+    shared = words.groupBy("term").agg(F.count("*").alias("near")).where(F.col("near") >= SUPPORT)
+    pairs = mentions.join(words, ["h1", "h2"])
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).withColumn("of_entity", F.col("entity.of_entity"))
+    n = first.select("h1", "h2").distinct().count()
 
     def telling(of_term):
         own = -F.log2(F.col("of_entity") / F.lit(float(n)))
         pmi = F.log2(F.col("texts") / F.col(of_term)) + own
         return (pmi * ALPHA >= own) & (own > 0)
 
-    # the texts with a term near any entity are some of its texts: what fails for these fails for all
-    both = cut(both.join(of_entity, "entity").join(near, "term").where(telling("of_term")).drop("of_term"))
+    # the texts with a term and any entity are some of its texts: what fails for these fails for all
+    both = cut(both.join(shared, "term").where(telling("near")).drop("near"))
     if both.isEmpty():
         return None
     wanted = both.select("term").distinct()
     wanted = F.broadcast(wanted) if both.count() <= SENT else wanted
-    words = docs.select("h1", "h2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    words = docs.select("h1", "h2", F.explode(_terms(F.col("text"))).alias("term"))
     held = cut(words.join(wanted, "term").distinct())
     of_term = held.groupBy("term").agg(F.count("*").alias("of_term"))
     told = both.join(of_term, "term").where(telling("of_term")).select("term").distinct()
@@ -105,24 +113,32 @@ def _disclosing(first: DataFrame, docs: DataFrame) -> DataFrame | None:
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
-    pattern = lambda t: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}'_-])\Q"), t, F.lit(r"\E(?![\p{L}\p{M}'_-])"))
-    return F.flatten(F.transform(terms, lambda t: find(text, pattern(t), "term")))
+    """Whole words, and runs of letters in which each begins a pair."""
+    either = lambda some: F.array_join(F.transform(some, lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
+    is_pair = lambda t: t.rlike(f"^[{UNSPACED}]")
+    words, pairs = F.filter(terms, lambda t: ~is_pair(t)), F.filter(terms, is_pair)
+    word = F.concat(F.lit(f"(?iu)(?<!{LETTER})(?:"), either(words), F.lit(f")(?!{LETTER})"))
+    run = F.concat(F.lit("(?s)(?:(?="), either(pairs), F.lit(").)++."))
+    return F.concat(F.when(F.size(words) > 0, find(text, word, "term")).otherwise(none()), F.when(F.size(pairs) > 0, find(text, run, "term")).otherwise(none()))
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """`docs` with base and spans, arrays of (start, end, kind, value); spans is base and the disclosing terms, by kind, then start."""
     # of columns with clashing names the operator's stay
-    small = [c for c in docs.columns if c not in ("text", "h1", "h2", "base", "near", "spans")]
+    small = [c for c in docs.columns if c not in ("text", "h1", "h2", "base", "entities", "terms", "spans")]
     own = [F.col(f"`{c}`") for c in [*small, "text"]]
     texts = docs.select(*own, F.coalesce("text", F.lit("")).alias("_text"))
     named = texts.select(*own, "_text", _name(F.col("_text")).alias("_h"))
-    first = named.withColumn("base", base_spans(F.col("_text"))).withColumn("near", F.when(F.size("base") > 0, _surroundings(F.col("_text"), F.col("base"))).otherwise(F.array()))
-    first = cut(first.select(*own[:-1], "_h.h1", "_h.h2", "base", "near"))
+    first = named.withColumn("base", base_spans(F.col("_text"))).withColumn("entities", _entities(F.col("base"))).withColumn("terms", F.when(F.size("base") > 0, _terms(F.col("_text"))))
+    first = cut(first.select(*own[:-1], "_h.h1", "_h.h2", "base", "entities", "terms"))
     plain = named.select(F.col("_text").alias("text"), "_h.h1", "_h.h2")
     terms = _disclosing(first, plain)
     if terms is None:
         return first.select(*own[:-1], "h1", "h2", "base", F.col("base").alias("spans"))
-    placed = plain.join(terms, ["h1", "h2"]).select("h1", "h2", _term_spans(F.col("text"), F.col("terms")).alias("found")).dropDuplicates(["h1", "h2"])
+    # so that only texts with a disclosing term are shuffled
+    hit = terms.select("h1", "h2")
+    hit = F.broadcast(hit) if hit.count() <= SENT else hit
+    placed = plain.join(hit, ["h1", "h2"], "left_semi").join(terms, ["h1", "h2"]).select("h1", "h2", _term_spans(F.col("text"), F.col("terms")).alias("found")).dropDuplicates(["h1", "h2"])
     spans = F.concat("base", F.array_sort(F.filter(F.coalesce("found", none()), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))))
     return first.join(placed, ["h1", "h2"], "left").select(*own[:-1], "h1", "h2", "base", spans.cast(SPAN).alias("spans"))
 

@@ -55,3 +55,23 @@ def test_terms_that_give_an_entity_away(spark):
     assert all(not got[i] for i in range(6, 66))
     clean = {r.text: r.clean for r in sanitise(df).collect()}
     assert clean[texts[66]] == "Later <TERM> came alone." and "<EMAIL>" in clean[texts[0]] and clean[texts[10]] == texts[10]
+
+
+def test_terms_far_from_the_mention_short_names_and_two_texts(spark):
+    filler = " ".join(["plain words of any letter stay here"] * 8)
+    texts = [
+        f"Ann and Wu {filler} write to far@corp.example {filler} first",
+        f"later ann met Wu again {filler} about far@corp.example {filler} second",
+        "王伟的邮箱far2@corp.example。",
+        "请写信给王伟，far2@corp.example",
+        "Wu alone, Annabel not. 王伟 alone",
+        "one single@corp.example for Zed only",
+    ] + [f"plain words of any letter stay here write to and the later again about first second one for only met alone not 的邮箱 请写信给 {i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.text: r.clean for r in sanitise(df).collect()}
+    assert clean[texts[0]] == f"<TERM> and <TERM> {filler} write to <EMAIL> {filler} first"
+    assert clean[texts[1]] == f"later <TERM> met <TERM> again {filler} about <EMAIL> {filler} second"
+    assert clean[texts[4]].startswith("<TERM> alone, Annabel not.") and clean[texts[4]].endswith("<TERM> alone")
+    # one text alone shows nothing
+    assert clean[texts[5]] == "one <EMAIL> for Zed only"
+    assert all(clean[t] == t for t in texts[6:])
