@@ -99,7 +99,10 @@ def q_space_query(spark, d):
 @query("SELECT o_orderkey::VARCHAR AS k FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 10 = 0 AND o_custkey % 7 = 3")
 def q_nested_pattern(spark, d):
     """Compound terms: (order key (owner (mod r) status)), matched inside."""
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 0")
+    return _nested_pattern(table(spark, d, "orders").where("o_orderkey % 10 = 0"))
+
+
+def _nested_pattern(o):
     text = F.format_string("(order %d (owner (mod %d) %s))", "o_orderkey", (F.col("o_custkey") % 7).cast("long"), "o_orderstatus")
     return Space.from_texts(o.select(text.alias("text"))).query("(order $k (owner (mod 3) F))")
 
@@ -204,7 +207,10 @@ FROM (SELECT p_partkey AS k, p_size AS g, CASE p_partkey % 3 WHEN 0 THEN 'u' WHE
 JOIN (SELECT p_partkey AS k, p_size AS g, CASE p_partkey % 5 WHEN 0 THEN 'u' WHEN 1 THEN '0' ELSE '1' END AS c FROM part WHERE p_partkey <= 300) y ON x.g = y.g
 WHERE x.c = 'u' OR y.c = 'u' OR x.c = y.c""")
 def q_merge_cells(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 300")
+    return _merged_cells(table(spark, d, "part").where("p_partkey <= 300"))
+
+
+def _merged_cells(p):
     cell = lambda n: F.when(F.col("p_partkey") % n == 0, "u").when(F.col("p_partkey") % n == 1, "0").otherwise("1")
     x, y = p.select(F.col("p_partkey").alias("k1"), "p_size", cell(3).alias("c1")), p.select(F.col("p_partkey").alias("k2"), "p_size", cell(5).alias("c2"))
     return x.join(y, "p_size").withColumn("m", guard.merge_cells(F.col("c1"), F.col("c2"))).where("m is not null").select("k1", "k2", "m")
@@ -411,7 +417,14 @@ PATTERNS = "SELECT DISTINCT CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand E
 
 
 def _patterns(spark, d):
-    p = table(spark, d, "part").where("p_partkey % 11 < 7 and not (p_partkey % 12 = 0 and p_partkey % 5 <> 0)")
+    return _patterns_of(table(spark, d, "part").where("p_partkey % 11 < 7 and not (p_partkey % 12 = 0 and p_partkey % 5 <> 0)"))
+
+
+def _all_patterns(spark, d):
+    return _patterns_of(table(spark, d, "part"))
+
+
+def _patterns_of(p):
     k = F.col("p_partkey")
     return p.select(F.when(k % 4 != 0, F.col("p_brand")).alias("b"), F.when(k % 3 != 0, F.col("p_size")).alias("s"), F.when(k % 5 == 0, F.col("p_type")).alias("t")).distinct()
 
@@ -427,8 +440,8 @@ def q_antichain(spark, d):
 
 @query("SELECT 0::BIGINT AS uncovered")
 def q_coverage(spark, d):
-    """Every pattern is generalized by one of the antichain's: none is left uncovered."""
-    rows = cut(_patterns(spark, d))
+    """Every pattern is generalized by one of the antichain's: none is left uncovered. Over all parts."""
+    rows = cut(_all_patterns(spark, d))
     kept = cut(guard.antichain(rows, ["b", "s", "t"])).toDF("gb", "gs", "gt")
     cover = guard.covers([F.col("gb"), F.col("gs"), F.col("gt")], [F.col("b"), F.col("s"), F.col("t")])
     return rows.join(kept, cover, "left_anti").agg(F.count("*").alias("uncovered"))
@@ -548,3 +561,41 @@ def q_qbf(spark, d):
 def q_predictive_coding(spark, d):
     """Two ticks of a predictive-coding network as tensor relations."""
     return predictive.settle(spark, *predictive.EXAMPLE, ticks=2).withColumn("v", F.round("v", 5))
+
+
+# ---- whole tables: the queries above whose SQL bounds keys, without these bounds; tests compare them with the SQL less its bounds
+@query()
+def q_tabled_all(spark, d):
+    space = Space.from_columns("edge", edge(spark, d)).pinned()
+    tables = Tables(least_seconds=0.0, most_rows=2**31 - 2)
+    tables.query(space, "(, (edge $a $b) (edge $b $c))")
+    return tables.query(space, "(, (edge $a $b) (edge $b $c))").select("a", "c")
+
+
+@query()
+def q_merge_cells_all(spark, d):
+    return _merged_cells(table(spark, d, "part"))
+
+
+@query()
+def q_antichain_all(spark, d):
+    kept = guard.antichain(_all_patterns(spark, d), ["b", "s", "t"])
+    return kept.select(F.coalesce("b", F.lit("*")).alias("b"), F.coalesce("s", F.lit(-1)).alias("s"), F.coalesce("t", F.lit("*")).alias("t"))
+
+
+@query()
+def q_nested_pattern_all(spark, d):
+    return _nested_pattern(table(spark, d, "orders"))
+
+
+@query()
+def q_sharded_count_all(spark, d):
+    return edge(spark, d).repartition(16, "a").agg(F.count("*").alias("n"))
+
+
+@query()
+def q_bfs_layers_all(spark, d):
+    """From every node without a predecessor."""
+    e = cut(edge(spark, d))
+    first = e.join(e.select(F.col("b").alias("a")), "a", "left_anti")
+    return fixpoint.layers(e, first.select(F.col("a").alias("node")))

@@ -1,0 +1,47 @@
+import duckdb
+
+from factloom.catalogue import QUERIES, SQL, VIEWS
+
+DIR = "/root/testdata/sf0.001"
+
+
+def oracle(sql):
+    con = duckdb.connect()
+    for t in ("orders", "part", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    return sorted(map(repr, con.execute(sql).fetchall()))
+
+
+def unbound(name, *bounds):
+    sql = SQL[name]
+    for b in bounds:
+        assert b in sql
+        sql = sql.replace(b, "")
+    return sql
+
+
+def test_queries_over_whole_tables_equal_sql_without_bounds(spark):
+    bound = " WHERE p_partkey % 11 < 7 AND NOT (p_partkey % 12 = 0 AND p_partkey % 5 <> 0)"
+    want = {
+        "q_tabled_all": unbound("q_tabled", " WHERE e1.a < 500 AND e1.b < 500 AND e2.a < 500 AND e2.b < 500"),
+        "q_merge_cells_all": unbound("q_merge_cells", " WHERE p_partkey <= 300"),
+        "q_antichain_all": unbound("q_antichain", bound),
+        "q_nested_pattern_all": unbound("q_nested_pattern", " AND o_orderkey % 10 = 0"),
+        "q_sharded_count_all": unbound("q_sharded_count", " WHERE a % 2 = 0"),
+        "q_bfs_layers_all": SQL["q_bfs_layers"].replace("WHERE a <= 20", "WHERE a NOT IN (SELECT b FROM edge)"),
+        "q_coverage": SQL["q_coverage"],
+    }
+    for name, sql in want.items():
+        rows = sorted(repr(tuple(r)) for r in QUERIES[name](spark, DIR).collect())
+        assert rows and rows == oracle(sql), name
+    assert len(QUERIES["q_tabled_all"](spark, DIR).collect()) > len(QUERIES["q_tabled"](spark, DIR).collect())
+
+
+def test_coverage_looks_at_all_parts(spark, monkeypatch):
+    from factloom import catalogue
+
+    seen = []
+    whole = catalogue.guard.antichain
+    monkeypatch.setattr(catalogue.guard, "antichain", lambda rows, columns: seen.append(rows.count()) or whole(rows, columns))
+    QUERIES["q_coverage"](spark, DIR).collect()
+    assert seen == [catalogue._all_patterns(spark, DIR).count()] and seen[0] > catalogue._patterns(spark, DIR).count()
