@@ -56,7 +56,15 @@ def trade(spark, d):
 
 
 def cells(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 64")
+    return _cells_of(table(spark, d, "embeddings").where("vec_id < 64"))
+
+
+def all_cells(spark, d):
+    """All components of all vectors."""
+    return _cells_of(table(spark, d, "embeddings"))
+
+
+def _cells_of(e):
     return e.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("d", "v")).withColumn("v", F.col("v").cast("double"))
 
 
@@ -599,3 +607,43 @@ def q_bfs_layers_all(spark, d):
     e = cut(edge(spark, d))
     first = e.join(e.select(F.col("b").alias("a")), "a", "left_anti")
     return fixpoint.layers(e, first.select(F.col("a").alias("node")))
+
+
+@query()
+def q_einsum_matmul_all(spark, d):
+    """The Gram matrix of the components: all vectors against themselves."""
+    c = all_cells(spark, d)
+    return tensor.einsum("ia,ib->ab", c, c).withColumn("v", F.round("v", 4))
+
+
+@query()
+def q_outer_all(spark, d):
+    """Sums of vectors by sums of components."""
+    c = all_cells(spark, d)
+    rows, columns = c.groupBy("i").agg(F.sum("v").alias("v")), c.groupBy("d").agg(F.sum("v").alias("v"))
+    return tensor.einsum("a,b->ab", rows, columns).withColumn("v", F.round("v", 4) + 0.0)
+
+
+@query()
+def q_transposed_matvec_all(spark, d):
+    """All vectors, each weighted by the sum of its components."""
+    c = all_cells(spark, d)
+    return tensor.einsum("ab,a->b", c, c.groupBy("i").agg(F.sum("v").alias("v"))).withColumn("v", F.round("v", 4))
+
+
+@query()
+def q_tanh_all(spark, d):
+    c = all_cells(spark, d)
+    return c.select("i", F.col("d").cast("long").alias("d"), F.round(F.tanh("v"), 6).alias("v"), F.round(tanh_prime(F.col("v")), 6).alias("slope"))
+
+
+@query()
+def q_tensor_add_all(spark, d):
+    """Each vector less half of the next."""
+    c = all_cells(spark, d)
+    return tensor.add(c, c.withColumn("i", F.col("i") - 1), -0.5).select("i", "d", F.round("v", 6).alias("v"))
+
+
+@query()
+def q_energy_all(spark, d):
+    return tensor.energy(all_cells(spark, d)).select(F.round("energy", 4).alias("energy"))

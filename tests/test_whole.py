@@ -1,6 +1,7 @@
 import duckdb
+import numpy as np
 
-from factloom.catalogue import QUERIES, SQL, VIEWS
+from factloom.catalogue import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
 
@@ -45,3 +46,25 @@ def test_coverage_looks_at_all_parts(spark, monkeypatch):
     monkeypatch.setattr(catalogue.guard, "antichain", lambda rows, columns: seen.append(rows.count()) or whole(rows, columns))
     QUERIES["q_coverage"](spark, DIR).collect()
     assert seen == [catalogue._all_patterns(spark, DIR).count()] and seen[0] > catalogue._patterns(spark, DIR).count()
+
+
+def test_tensors_over_all_vectors(spark):
+    rows = spark.read.parquet(f"{DIR}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
+    at = {v: n for n, v in enumerate(ids)}
+    assert len(ids) == len(at) > 64
+    got = lambda name: [tuple(r) for r in QUERIES[name](spark, DIR).collect()]
+    near = lambda a, b: abs(a - b) <= 1e-3
+    gram = x.T @ x
+    out = got("q_einsum_matmul_all")
+    assert len(out) == x.shape[1] ** 2 and all(near(v, gram[a, b]) for a, b, v in out)
+    out = got("q_outer_all")
+    assert len(out) == x.size and all(near(v, x[at[a]].sum() * x[:, b].sum()) for a, b, v in out)
+    out = got("q_transposed_matvec_all")
+    assert len(out) == x.shape[1] and all(near(v, x[:, b] @ x.sum(axis=1)) for b, v in out)
+    out = got("q_tanh_all")
+    assert len(out) == x.size and all(near(v, np.tanh(x[at[i], d])) and near(slope, 1 - np.tanh(x[at[i], d]) ** 2) for i, d, v, slope in out)
+    full = lambda i, d: x[at[i], d] if i in at else 0.0
+    out = got("q_tensor_add_all")
+    assert len(out) == len({*ids, *(i - 1 for i in ids)}) * x.shape[1] and all(near(v, full(i, d) - 0.5 * full(i + 1, d)) for i, d, v in out)
+    assert near(got("q_energy_all")[0][0], (x * x).sum() / 2)
