@@ -43,7 +43,10 @@ def base_spans(text: Column) -> Column:
 def labelled(docs: DataFrame) -> DataFrame:
     """(token, secret): the labelled sample described above."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    some = docs.select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
+    hashed = docs.select(text.alias("text")).withColumn("h", F.xxhash64("text"))
+    # the smallest distinct hashes first, so that copies take one place and texts are not shuffled to find it out
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).collect()]
+    some = hashed.where(F.col("h").isin(least)).select("text").distinct()
     words = some.select(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}+"), F.lit(0)).alias("w"), "text")
     pairs = words.select(F.explode(F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.struct(F.lower(a).alias("a"), F.lower(F.coalesce(b, a)).alias("b")))).alias("p")).select("p.a", "p.b")
     shapes = F.array(F.col("a"), F.concat("a", F.lit("_"), "b"), F.concat("a", F.lit("-"), "b"), F.concat("a", F.initcap("b")), F.concat(F.initcap("a"), F.initcap("b")),

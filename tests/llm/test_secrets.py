@@ -70,3 +70,10 @@ def test_mask_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, "a password=abcdef1 b", 20), (2, None, 0), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in mask(df).collect()}
     assert got == {1: ("a <ASSIGN> b", 12), 2: (None, 0), 3: ("clean", 5)}
+
+
+def test_copies_take_one_place_in_the_sample(spark):
+    texts = [f"only{chr(97 + i // 26)}{chr(97 + i % 26)} word" for i in range(100)]
+    df = spark.createDataFrame([(t,) for t in texts for _ in range(50)], "text string").repartition(4)
+    seen = {r.token for r in labelled(df).where("not secret").collect()}
+    assert all(t.split()[0] in seen for t in texts)
