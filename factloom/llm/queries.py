@@ -151,7 +151,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     codec = Codec(spark, PIECES)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    coded = docs.withColumn("ids", codec.encode(F.col("text"))).withColumn("back", codec.decode(F.col("ids")))
+    coded = codec.encode(docs).withColumn("back", codec.decode(F.col("ids")))
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.length("back").cast("long").alias("n_decoded"), F.sha2("back", 256).alias("decoded_sha256"))
 
 

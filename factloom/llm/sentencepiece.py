@@ -1,36 +1,46 @@
 """SentencePiece encoding and decoding with a Unigram model's search.
 
-Pieces with log scores come from a public model file. They lie in a double-array trie over bytes. Encoding
-finds the segmentation with the highest sum of scores (Viterbi); a character that no piece covers costs the
+Pieces with log scores come from a public model file. The scores of a Unigram file are taken as they are; a file of another kind holds the rank
+of each piece instead, and pieces get the log-probabilities that Zipf's law gives their ranks (tokenizers are not trained here). Pieces lie in a
+double-array trie over bytes. Encoding finds the segmentation with the highest sum of scores (Viterbi); a character that no piece covers costs the
 least score less 10 and comes out as byte pieces. Spaces are written U+2581 first, one more is put in front.
 Decoding joins the pieces, restores bytes and spaces and takes the front one away.
 
 Where no piece holds a marker behind another character, no segmentation crosses the place before a marker,
 so texts are cut there, and at characters that are in no piece. The parts that a worker hasn't met are
-encoded together, place by place, for all parts at once; long parts are encoded alone.
+encoded together, place by place, for all parts of about one length at once; long parts are encoded alone. Memory is bounded by `CHARS`, `CELLS`
+and `REMEMBERED` and the longest text.
 
-Defined cases: null stays null, the empty text has no pieces; a text's own U+2581 decodes as a space, the format's
-one loss; of equal sums the one stays that ends in the piece that starts first; invalid ids raise an error; unknown and control
-pieces decode to nothing.
+Defined cases: null stays null, the empty text has no pieces; texts may be of any length and are encoded whole; a text's own U+2581 decodes as a
+space, the format's one loss; of equal sums the one stays that ends in the piece that starts first; repeated rows are encoded one by one; an empty
+table gives an empty table; a column of the name asked for is replaced by the ids, other columns stay whatever their names; invalid ids raise an
+error; unknown and control pieces decode to nothing.
 """
 
+import math
 import re
 import struct
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
 # Fixed values of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+UNIGRAM = 1
 UNKNOWN_PENALTY = 10.0
+#: Bytes of a character by its first.
+WIDE = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16)
 
-#: Parts of more characters than this are encoded alone; so many new parts go together; so many are remembered;
+#: Parts of more characters than this are encoded alone; so many places of new parts are worked on together; so many parts are remembered;
 #: texts are taken together up to so many characters.
-LONG, TOGETHER, REMEMBERED, CHARS = 64, 20_000, 200_000, 1_000_000
+LONG, CELLS, REMEMBERED, CHARS = 64, 500_000, 200_000, 500_000
 
 
 def _fields(data: bytes):
@@ -64,14 +74,24 @@ def _fields(data: bytes):
 
 
 def read_model(path: str) -> list[tuple[str, float, int]]:
-    """(piece, score, type) by id."""
-    out = []
+    """(piece, log score, type) by id."""
+    out, kind = [], UNIGRAM
     with open(path, "rb") as file:
         for number, value in _fields(file.read()):
             if number == 1:
                 f = dict(_fields(value))
                 out.append((f.get(1, b"").decode(), struct.unpack("<f", f[2])[0] if 2 in f else 0.0, f.get(3, NORMAL)))
-    return out
+            elif number == 2:
+                kind = dict(_fields(value)).get(3, UNIGRAM)
+    return out if kind == UNIGRAM else zipf(out)
+
+
+def zipf(pieces: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """Normal pieces, best first, get the log of the probabilities 1/1, 1/2, 1/3, … less the log of their sum."""
+    normal = sorted((i for i, p in enumerate(pieces) if p[2] == NORMAL), key=lambda i: -pieces[i][1])
+    whole = math.log(sum(1 / r for r in range(1, len(normal) + 1))) if normal else 0.0
+    score = {i: -math.log(r) - whole for r, i in enumerate(normal, 1)}
+    return [(p, score.get(i, s), kind) for i, (p, s, kind) in enumerate(pieces)]
 
 
 class DoubleArray:
@@ -132,7 +152,6 @@ class Unigram:
         least, most = min(normal, default=0.0), max(normal, default=0.0)
         self.unknown = least - UNKNOWN_PENALTY
         self.ids = np.array(usable, np.int32)
-        self.id_bytes = [i.tobytes() for i in self.ids]
         self.scores = np.array([pieces[i][1] if pieces[i][2] == NORMAL else len(pieces[i][0]) * most - 0.1 for i in usable])
         keys = [pieces[i][0].encode() for i in usable]
         self.trie = DoubleArray(keys)
@@ -152,44 +171,62 @@ class Unigram:
         else:
             other = f"{MARK}{alone}"
             self.parts = re.compile(f"{MARK}*[^{other}]+|{MARK}+" + (f"|[{alone}]+" if alone else ""))
-        self.memory: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """The ids of all parts met lie one behind the other in `found`; memory has a part's number, `starts` and `counts` its place."""
+        self.memory: dict[str, int] = {}
+        self.starts, self.counts, self.found = (np.empty(0, t) for t in (np.int64, np.int64, np.int32))
 
     def cut(self, text: str) -> list[str]:
         return self.parts.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        out, at = [], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHARS):
-                size += len(texts[end] or "")
-                end += 1
-            out += self._encode_some(texts[at:end])
-            at = end
+        out = []
+        for a, b in portions([len(t or "") for t in texts]):
+            ids, ends = self.encode_some(texts[a:b])
+            each = np.split(ids, ends[:-1])
+            out += [None if t is None else x for t, x in zip(texts[a:b], each, strict=True)]
         return out
 
-    def _encode_some(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        parts = [None if t is None else self.cut(t) for t in texts]
+    def encode_some(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and where those of each text end."""
+        parts = [self.cut(t or "") for t in texts]
         if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        new = list({p for some in parts if some for p in some if p not in self.memory})
-        short = [p for p in new if len(p) <= LONG]
-        short.sort(key=len)
-        for i in range(0, len(short), TOGETHER):
-            self._encode_short(short[i : i + TOGETHER])
+            self._forget()
+        self._learn(list({p for some in parts for p in some if p not in self.memory}))
+        at = np.fromiter(map(self.memory.__getitem__, chain.from_iterable(parts)), np.int64)
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        ids = self.found[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - counts), counts)]
+        until = np.cumsum([len(some) for some in parts])
+        return ids, np.append(0, ends)[until]
+
+    def _learn(self, new: list[str]) -> None:
+        raw = sorted((p.encode() for p in new if len(p) <= LONG), key=len)
+        found = []
+        while raw:
+            n = len(raw) - max(1, CELLS // (len(raw[-1]) + 1))
+            block = raw[max(0, n) :]
+            del raw[max(0, n) :]
+            found.append((block, *self._encode_short(block)))
         for p in new:
             if len(p) > LONG:
-                self.memory[p] = self._encode_long(p.encode())
-        recall = self.memory.__getitem__
-        return [None if some is None else np.frombuffer(b"".join(map(recall, some)), np.int32) for some in parts]
-
-    def _encode_short(self, parts: list[str]) -> None:
-        """Viterbi for many parts at once, a step for each place and each length of a piece."""
-        raw = sorted((p.encode() for p in parts), key=len, reverse=True)
+                ids = self._encode_long(p.encode())
+                found.append(([p.encode()], ids, np.array([len(ids)])))
+        if found:
+            for name in (p.decode() for block, _, _ in found for p in block):
+                self.memory[name] = len(self.memory)
+            counts = np.concatenate([c for _, _, c in found])
+            self.starts = np.append(self.starts, len(self.found) + np.cumsum(counts) - counts)
+            self.counts = np.append(self.counts, counts)
+            self.found = np.concatenate([self.found, *(ids for _, ids, _ in found)])
+
+    def _encode_short(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Viterbi for many parts at once, a step for each place and each length of a piece: all ids, and how many each part has."""
         lens = np.array([len(r) for r in raw])
-        n, width = len(raw), int(lens[0])
-        text = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), np.uint8).reshape(n, width).T
-        wide = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16)
+        n, width = len(raw), int(lens.max())
+        text = np.ascontiguousarray(np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), np.uint8).reshape(n, width).T)
         best = np.full((width + 1, n), -np.inf)
         best[0] = 0
         back = np.zeros((width + 1, n), np.int32)
@@ -199,7 +236,7 @@ class Unigram:
             rows = np.flatnonzero((lens > j) & (text[j] & 0xC0 != 0x80))
             if not len(rows):
                 continue
-            here, step = best[j], wide[text[j]]
+            here, step = best[j], WIDE[text[j]]
             single = np.zeros(n, bool)
             alive, node = rows, np.zeros(len(rows), np.int64)
             for k in range(j, min(width, j + self.longest)):
@@ -222,32 +259,33 @@ class Unigram:
                 score = here[who] + self.unknown
                 who, score = (x[score > best[j + d][who]] for x in (who, score))
                 best[j + d][who], back[j + d][who], piece[j + d][who] = score, j, -1
-        for r, b, p in zip(raw, back.T.tolist(), piece.T.tolist(), strict=True):
-            self.memory[r.decode()] = self._trace(r, b, p)
-
-    def _trace(self, raw: bytes, back: list[int], piece: list[int]) -> bytes:
-        """The ids of the best segmentation, 4 bytes each."""
-        out, at = [], len(raw)
-        while at:
-            start, p = back[at], piece[at]
-            out.append(self.id_bytes[p] if p >= 0 else self._fallback(raw[start:at]))
-            at = start
-        out.reverse()
-        return b"".join(out)
-
-    def _fallback(self, raw: bytes) -> bytes:
+        # from the ends of all parts back to their beginnings
+        who, at, rows, ids = np.arange(n), lens, [], []
+        while len(who):
+            start, p = back[at, who], piece[at, who]
+            covered = p >= 0
+            rows.append(who[covered]), ids.append(self.ids[p[covered]])
+            for w, a, e in zip(who[~covered], start[~covered], at[~covered], strict=True):
+                bare = self._fallback(raw[w][a:e])
+                rows.append(np.full(len(bare), w)), ids.append(bare[::-1])
+            who, at = who[start > 0], start[start > 0]
+        rows, ids = np.concatenate(rows)[::-1], np.concatenate(ids)[::-1]
+        return ids[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=n)
+
+    def _fallback(self, raw: bytes) -> np.ndarray:
         ids = self.bytes[np.frombuffer(raw, np.uint8)]
-        return ids.tobytes() if (ids >= 0).all() else np.int32(self.unknown_id).tobytes()
+        return ids if (ids >= 0).all() else np.array([self.unknown_id], np.int32)
 
-    def _encode_long(self, raw: bytes) -> bytes:
+    def _encode_long(self, raw: bytes) -> np.ndarray:
         n = len(raw)
-        best, back, piece = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best, back, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        base, check, value, scores = (x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value, self.scores))
+        # views give Python's numbers without a copy of the trie
+        base, check, value, scores = map(memoryview, (self.trie.base, self.trie.check, self.trie.value, self.scores))
         for j in range(n):
             if raw[j] & 0xC0 == 0x80:
                 continue
-            step = 1 if raw[j] < 192 else 2 if raw[j] < 224 else 3 if raw[j] < 240 else 4
+            step = int(WIDE[raw[j]])
             here, node, single = best[j], 0, False
             for k in range(j, min(n, j + self.longest)):
                 to = base[node] + raw[k]
@@ -261,7 +299,12 @@ class Unigram:
                         best[k + 1], back[k + 1], piece[k + 1] = here + scores[v], j, v
             if not single and here + self.unknown > best[j + step]:
                 best[j + step], back[j + step], piece[j + step] = here + self.unknown, j, -1
-        return self._trace(raw, back, piece)
+        out, at = [], n
+        while at:
+            start, p = back[at], piece[at]
+            out.append(self.ids[p : p + 1] if p >= 0 else self._fallback(raw[start:at]))
+            at = start
+        return np.concatenate(out[::-1])
 
     def decode(self, ids) -> str:
         if len(ids) and (min(ids) < 0 or max(ids) >= self.size):
@@ -270,6 +313,18 @@ class Unigram:
         return text[1:] if text[:1] == " " else text
 
 
+def portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours with at most `CHARS` together, or of one alone."""
+    at = 0
+    while at < len(sizes):
+        end, size = at + 1, sizes[at]
+        while end < len(sizes) and size + sizes[end] <= CHARS:
+            size += sizes[end]
+            end += 1
+        yield at, end
+        at = end
+
+
 class Codec:
     """Columns of texts to columns of ids and back.
 
@@ -279,20 +334,31 @@ class Codec:
     def __init__(self, spark: SparkSession, path: str):
         self.model = spark.sparkContext.broadcast(Unigram(read_model(path)))
 
-    def encode(self, text: Column) -> Column:
-        model = self.model
-
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def encoded(texts: pd.Series) -> pd.Series:
-            return pd.Series(model.value.encode_all(texts.tolist()), dtype=object)
-
-        return encoded(text)
+    def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
+        """`docs` with `ids` in place of the column `text`. The ids of a portion of texts leave the worker before the next are made."""
+        model, names = self.model, [c for c in docs.columns if c not in (text, ids)]
+
+        def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = pc.utf8_length(batch.column(len(names))).to_numpy(zero_copy_only=False)
+                for a, b in portions(np.nan_to_num(sizes).astype(int).tolist()):
+                    some = batch.slice(a, b - a)
+                    texts = some.column(len(names)).to_pylist()
+                    flat, ends = model.value.encode_some(texts)
+                    bounds = pa.array(np.append(0, ends).astype(np.int32))
+                    column = pa.ListArray.from_arrays(bounds, pa.array(flat, pa.int32()), mask=pa.array([t is None for t in texts]))
+                    yield pa.RecordBatch.from_arrays([*some.columns[:-1], column], [*names, ids])
+
+        kept = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text}`"))
+        schema = T.StructType([kept.schema[c] for c in names] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+        # numbered, since names with dots don't pass
+        return kept.toDF(*(f"_{i}" for i in range(len(kept.columns)))).mapInArrow(encoded, schema)
 
     def decode(self, ids: Column) -> Column:
         model = self.model
 
-        @F.pandas_udf(T.StringType())
-        def decoded(rows: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None else model.value.decode(x.tolist()) for x in rows], dtype=object)
+        @F.arrow_udf(T.StringType())
+        def decoded(rows: pa.Array) -> pa.Array:
+            return pa.array((None if x is None else model.value.decode(x) for x in (r.as_py() for r in rows)), pa.string())
 
         return decoded(ids)
