@@ -43,8 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids (the pieces) and n_tokens of each document."""
-    ids = Codec(spark, PIECES).encode(F.col("text"))
-    coded = docs.select("doc_id", "lang", "source", ids.alias("ids"))
+    coded = Codec(spark, PIECES).encode(docs.select("doc_id", "lang", "source", "text"))
     return coded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
