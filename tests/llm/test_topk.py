@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from factloom.llm import topk
 from factloom.llm.topk import scaled, top_k
 
@@ -40,3 +42,25 @@ def test_few_and_none(spark):
     assert [tuple(r) for r in top_k(v, v.where("vec_id = 0"), 20).collect()] == [(0, 1, 1, 64 * 32)]
     assert top_k(v.where("false"), v.where("false"), 20).count() == 0
     assert top_k(v, v.where("false"), 20).count() == 0
+
+
+def test_large_components_are_exact(spark):
+    """Scores beyond 2**53, among them two that are equal as doubles, and components beyond 2**31."""
+    rows = [(20, [2.0**24, 1.0]), (1, [2.0**24, 2.0**24 - 1]), (2, [2.0**24, 2.0**24 - 1 + 1 / 64]), (3, [2.0**26, 0.0]), (4, [0.0, 0.5]), (5, [-(2.0**20), 3.0]), (40, [1e-3, 2.0**50])]
+    v = scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert v.count() == len(rows)
+    for k in (1, 2, 20):
+        got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(v, v.where("vec_id = 20"), k).collect()}
+        assert got == brute(rows, lambda q: q == 20, k)
+    rng = random.Random(1)
+    rows = [(i, [rng.randrange(-(2**29), 2**29) / 64 for _ in range(6)]) for i in range(300)]
+    v = scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2))
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(v, v.where("vec_id % 20 = 0"), 20).collect()} == brute(rows, lambda q: q % 20 == 0, 20)
+
+
+def test_beyond_a_long_raises(spark):
+    v = scaled(spark.createDataFrame([(20, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="beyond a long"):
+        top_k(v, v.where("vec_id = 20"), 20).collect()
+    with pytest.raises(Exception, match="beyond a long"):
+        scaled(spark.createDataFrame([(20, [1e300])], "vec_id long, embedding array<double>")).collect()
