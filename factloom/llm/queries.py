@@ -113,17 +113,6 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
 
 
-def _sql_spans(name: str, kind: str, pattern: str, value: str = "m") -> str:
-    """SQL of a table `name` of (k, kind, s, e, v): the matches of a pattern in the texts of d(k, text)."""
-    return f"""{name} AS (SELECT k, '{kind}' AS kind, s, s + length(m) AS e, {value} AS v FROM (
-  SELECT k, m[i] AS m, (list_sum([length(x) for x in g[1:i]]) + COALESCE(list_sum([length(x) for x in m[1:i - 1]]), 0))::BIGINT AS s
-  FROM (SELECT k, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM d) z, unnest(range(1, len(m) + 1)) y(i)))"""
-
-
-SECRET_ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
-SECRET_VALUE = f"regexp_extract(m, '{SECRET_ASSIGN}', 1)"
-
-
 @query()
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.secrets import scan, summary

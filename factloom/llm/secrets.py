@@ -9,8 +9,10 @@ The models are trained from labelled samples, tables of (token, secret). labelle
 `SAMPLE_DOCS` documents (those with the smallest hashes), alone and joined as identifiers are; secrets are what the base rules find
 in these documents and as many hash-drawn strings in hexadecimal, base 64 and base 36.
 
-Built-in functions only. Defined cases: a null text counts as empty; repeated rows are scanned one by one; an empty table
-gives an empty result, with models from the hash-drawn strings alone.
+Built-in functions only. Defined cases: a null text counts as empty, and mask() leaves it null; texts may be of any length and are scanned whole, in
+time linear in them and their spans; repeated rows are scanned one by one; spans that start together are in the order of `KINDS`; an empty table
+gives an empty result, with models from the hash-drawn strings alone. scan() puts its columns in place of others named base or spans;
+mask() changes text and n_chars alone, whatever the other columns are called.
 """
 
 import math
@@ -19,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.spans import by_start, find, joined, none, replaced
+from factloom.llm.spans import apart, by_start, find, fresh, joined, none, replaced
 
 KINDS = ["assign", "access", "hex", "markov"]
 # The base rules. Runs are matched whole, so a minimum length stands in for the check of whole runs.
@@ -87,14 +89,23 @@ def ratio(token: Column, table: list[float]) -> Column:
     return F.aggregate(codes, start, step, lambda acc: acc["sum"] / (acc["n"] - 1))
 
 
+def _found(docs: DataFrame, table: list[float], threshold: float, base: str, spans: str) -> DataFrame:
+    """`docs` with two more columns: the base spans, and all spans."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    tokens = fresh("_tokens", [*docs.columns, base, spans])
+    found = docs.withColumn(base, base_spans(text)).withColumn(tokens, find(text, TOKEN, "markov"))
+    likely = lambda some: F.filter(some, lambda t: ratio(t["value"], table) >= threshold)
+    added = F.when(F.size(tokens) > 0, likely(apart(F.col(tokens), F.col(base)))).otherwise(none())
+    return found.withColumn(spans, by_start(F.concat(base, added), KINDS)).drop(tokens)
+
+
+def _table(docs: DataFrame, sample: DataFrame | None) -> list[float]:
+    return train(labelled(docs) if sample is None else sample)
+
+
 def scan(docs: DataFrame, sample: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with base and spans: arrays of (start, end, kind, value), spans with what the models add."""
-    table = train(labelled(docs) if sample is None else sample)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumn("base", base_spans(text)).withColumn("_tokens", find(text, TOKEN, "markov"))
-    apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    added = F.when(F.size("_tokens") > 0, F.filter("_tokens", lambda t: F.when(apart(t), ratio(t["value"], table) >= threshold).otherwise(False))).otherwise(none())
-    return found.withColumn("spans", by_start(F.concat("base", added), KINDS)).drop("_tokens")
+    return _found(docs.drop("base", "spans"), _table(docs, sample), threshold, "base", "spans")
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -104,9 +115,8 @@ def summary(found: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame, sample: DataFrame | None = None) -> DataFrame:
     """The columns of `docs`, secrets put as <KIND> in text and n_chars following it."""
-    found = scan(docs.select([F.col(f"`{c}`") for c in docs.columns]), sample)
-    text = replaced(F.col("text"), F.col("spans"))
-    out = found.withColumn("text", text)
+    base, spans = (fresh(f"_{c}", docs.columns) for c in ("base", "spans"))
+    out = _found(docs, _table(docs, sample), THRESHOLD, base, spans).withColumn("text", replaced(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
