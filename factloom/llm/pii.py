@@ -4,7 +4,8 @@ Base rules find e-mail addresses, IP addresses, card numbers and phone numbers.
 A term t, anywhere in a text with e, reveals it as far as knowing t tells e: PMI(e; t) = log p(e | t) / p(e), with probabilities over
 the distinct texts of the corpus, against the entity's own information -log p(e). A term is disclosing if ALPHA * PMI >= -log p(e) and at least
 `SUPPORT` distinct texts show both: what stands in a single text can't be told from chance. Disclosing terms are spans wherever they stand:
-sanitise() puts the base spans and them as <KIND>.
+sanitise() puts the base spans as <KIND> and generalises or removes them: a taxonomy, a table of (term, general), names broader terms; a text shows
+all terms above its own too, and a disclosing term becomes the nearest one above it that isn't disclosing, or <TERM> if there is none.
 
 Terms are words of two letters or more; Han and Kana, written without spaces, give each pair of neighbouring letters. Entities that occur in the same
 texts have the same terms and are counted as one.
@@ -12,14 +13,16 @@ texts have the same terms and are counted as one.
 Built-in functions only. One pass over the texts finds base spans, entities and the terms beside them; only if some (entity, term) has the support and
 passes does a second pass count the texts of these terms, and only if some term is disclosing does a third place them.
 
-Defined cases: a null text counts as empty; repeated texts count once in all probabilities and get equal spans; an empty table
-gives an empty result. Terms are compared in lower case.
+Defined cases: a null text counts as empty; texts may be of any length and are searched whole, in time linear in them and their spans (but for
+sorting); repeated texts count once in all probabilities and get equal spans; of several general terms as near the first in order counts; an empty table
+gives an empty result. Terms are compared in lower case. Columns named h1, h2, base, entities, terms or spans give way to the operator's; others stay.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.spans import SPAN, by_start, find, joined, none, replaced
+from factloom.llm.spans import SPAN, apart, before, by_start, find, joined, let, none, replaced
+from factloom.plans.fixpoint import closure
 from factloom.session import cut
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -34,10 +37,10 @@ SUPPORT, ALPHA = 2, 1.1
 SENT = 500_000
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 LETTER = rf"[\p{{L}}\p{{M}}'_\-&&[^{UNSPACED}]]"
-WORD = rf"[\p{{L}}&&[^{UNSPACED}]]{LETTER}++"
+#: Addresses and numbers, the first kind of match, are no terms.
+WORD = rf"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[@0-9][A-Za-z0-9@._%+-]*+|[\p{{L}}&&[^{UNSPACED}]]{LETTER}++"
+RUN = rf"[{UNSPACED}]{{2,}}+"
 PAIR = rf"(?=([{UNSPACED}]{{2}}))"
-#: Addresses and numbers are no terms.
-NO_TERM = r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[@0-9][A-Za-z0-9@._%+-]*+"
 
 
 def _digits(value: Column) -> Column:
@@ -66,10 +69,46 @@ def _entities(base: Column) -> Column:
     return F.array_distinct(F.transform(base, entity))
 
 
+def _is_word(value: Column) -> Column:
+    return ~value.rlike("[@0-9]")
+
+
 def _terms(text: Column) -> Column:
     """The distinct terms of a text."""
-    clean = F.regexp_replace(F.lower(text), NO_TERM, " ")
-    return F.array_distinct(F.concat(F.regexp_extract_all(clean, F.lit(WORD), F.lit(0)), F.regexp_extract_all(clean, F.lit(PAIR), F.lit(1))))
+    words = F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _is_word)
+    return F.array_distinct(F.concat(F.transform(words, F.lower), F.regexp_extract_all(text, F.lit(PAIR), F.lit(1))))
+
+
+def _above(taxonomy: DataFrame | None) -> DataFrame | None:
+    """(term, general): all broader terms of each."""
+    if taxonomy is None:
+        return None
+    edges = taxonomy.where("term is not null and general is not null").select(F.lower("term").alias("a"), F.lower("general").alias("b")).where("a <> b")
+    return closure(edges).where("a <> b").select(F.col("a").alias("term"), F.col("b").alias("general"))
+
+
+def _with_broader(words: DataFrame, above: DataFrame | None) -> DataFrame:
+    """(h1, h2, term) with the terms above each."""
+    return words if above is None else words.unionByName(words.join(above, "term").select("h1", "h2", F.col("general").alias("term"))).distinct()
+
+
+def _generalised(told: DataFrame, taxonomy: DataFrame | None) -> DataFrame:
+    """(term, general) for disclosing terms: the nearest broader term that isn't disclosing, empty if there is none."""
+    if taxonomy is None:
+        return told.withColumn("general", F.lit(""))
+    edges = taxonomy.select(F.lower("term").alias("at"), F.lower("general").alias("up")).where("at <> up").distinct()
+    told = cut(told)
+    left, found = told.select("term", F.col("term").alias("at")), told.limit(0).withColumn("general", F.lit(""))
+    seen = cut(left)
+    while True:
+        up = left.join(edges, "at").select("term", F.col("up").alias("at")).distinct().join(seen, ["term", "at"], "left_anti")
+        up = cut(up.join(told.select(F.col("term").alias("at"), F.lit(True).alias("bad")), "at", "left"))
+        if up.isEmpty():
+            break
+        found = cut(found.unionByName(up.where("bad is null").groupBy("term").agg(F.min("at").alias("general"))))
+        seen = cut(seen.unionByName(up.select("term", "at")))
+        left = up.where("bad").select("term", "at").join(found, "term", "left_anti")
+    return told.join(found, "term", "left").select("term", F.coalesce("general", F.lit("")).alias("general"))
 
 
 def _name(text: Column) -> Column:
@@ -77,8 +116,9 @@ def _name(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("pii"), text).alias("h2"))
 
 
-def _disclosing(first: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """(h1, h2, terms): disclosing terms by text, or None if there are none."""
+def _disclosing(first: DataFrame, docs: DataFrame, taxonomy: DataFrame | None) -> DataFrame | None:
+    """(h1, h2, terms): disclosing terms by text, with what they are generalised to, or None if there are none."""
+    above = _above(taxonomy)
     seen = first.where(F.size("entities") > 0).select("h1", "h2", "entities", "terms").dropDuplicates(["h1", "h2"])
     mentions = seen.select("h1", "h2", F.explode("entities").alias("entity"))
     # entities by the texts that hold them
@@ -87,7 +127,7 @@ def _disclosing(first: DataFrame, docs: DataFrame) -> DataFrame | None:
     mentions = cut(mentions.join(held_by, "entity").select("h1", "h2", group).distinct())
     if mentions.isEmpty():
         return None
-    words = seen.select("h1", "h2", F.explode("terms").alias("term"))
+    words = _with_broader(seen.select("h1", "h2", F.explode("terms").alias("term")), above)
     shared = words.groupBy("term").agg(F.count("*").alias("near")).where(F.col("near") >= SUPPORT)
     pairs = mentions.join(words, ["h1", "h2"])
     both = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).withColumn("of_entity", F.col("entity.of_entity"))
@@ -104,26 +144,48 @@ def _disclosing(first: DataFrame, docs: DataFrame) -> DataFrame | None:
         return None
     wanted = both.select("term").distinct()
     wanted = F.broadcast(wanted) if both.count() <= SENT else wanted
-    words = docs.select("h1", "h2", F.explode(_terms(F.col("text"))).alias("term"))
+    words = _with_broader(docs.select("h1", "h2", F.explode(_terms(F.col("text"))).alias("term")), above)
     held = cut(words.join(wanted, "term").distinct())
     of_term = held.groupBy("term").agg(F.count("*").alias("of_term"))
-    told = both.join(of_term, "term").where(telling("of_term")).select("term").distinct()
-    out = cut(held.join(told, "term", "left_semi").groupBy("h1", "h2").agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    told = _generalised(both.join(of_term, "term").where(telling("of_term")).select("term").distinct(), taxonomy)
+    out = cut(held.join(told, "term").groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("term", "general"))).alias("terms")))
     return None if out.isEmpty() else out
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
-    """Whole words, and runs of letters in which each begins a pair."""
-    either = lambda some: F.array_join(F.transform(some, lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
-    is_pair = lambda t: t.rlike(f"^[{UNSPACED}]")
-    words, pairs = F.filter(terms, lambda t: ~is_pair(t)), F.filter(terms, is_pair)
-    word = F.concat(F.lit(f"(?iu)(?<!{LETTER})(?:"), either(words), F.lit(f")(?!{LETTER})"))
-    run = F.concat(F.lit("(?s)(?:(?="), either(pairs), F.lit(").)++."))
-    return F.concat(F.when(F.size(words) > 0, find(text, word, "term")).otherwise(none()), F.when(F.size(pairs) > 0, find(text, run, "term")).otherwise(none()))
+    """The places of `terms`, (term, general), in a text, by start; value is what the term is generalised to. Pairs that overlap are one span, without it."""
+    words = F.filter(find(text, WORD, "term"), lambda s: _is_word(s["value"]))
+    keyed = F.transform(words, lambda s: F.struct(F.lower(s["value"]).alias("key"), s["start"].alias("start"), s["end"].alias("end")))
+    pair = lambda run: F.transform(F.regexp_extract_all(run["value"], F.lit(PAIR), F.lit(1)), lambda p, i: F.struct(p.alias("key"), (run["start"] + i).alias("start"), (run["start"] + i + 2).alias("end")))
+    pairs = F.flatten(F.transform(find(text, RUN, "term"), pair))
+
+    def held(places, told):
+        """Sorted by key, each term stands before its places."""
+        asked = F.transform(told, lambda t: F.struct(t["term"].alias("key"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), t["general"].alias("general")))
+        here = F.transform(places, lambda s: F.struct(s["key"], s["start"], s["end"], F.lit("").alias("general")))
+
+        def match(every):
+            last = before(F.transform(every, lambda x: F.when(x["start"] < 0, F.struct(x["key"].alias("key"), x["general"].alias("general")))), F.lit(None), lambda a, b: F.coalesce(b, a), "struct<key:string,general:string>")
+            hits = F.filter(F.arrays_zip(every.alias("s"), last.alias("t")), lambda x: (x["s"]["start"] >= 0) & (x["s"]["key"] == x["t"]["key"]))
+            return F.array_sort(F.transform(hits, lambda x: F.struct(x["s"]["start"], x["s"]["end"], F.lit("term").alias("kind"), x["t"]["general"].alias("value"))).cast(SPAN))
+
+        return let(F.array_sort(F.concat(asked, here)), match)
+
+    def merged(spans):
+        reach = before(F.transform(spans, lambda s: s["end"]), F.lit(0), F.greatest, "int")
+        heads = F.filter(F.arrays_zip(spans.alias("s"), reach.alias("reach")), lambda x: x["s"]["start"] >= x["reach"])
+        whole = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return let(heads, lambda h: F.zip_with(h, F.concat(F.slice(F.transform(h, lambda x: x["reach"]), F.lit(2), F.size(h)), F.array(whole)), lambda x, end: F.struct(x["s"]["start"], end.alias("end"), x["s"]["kind"], F.lit("").alias("value"))).cast(SPAN))
+
+    runs = let(held(pairs, terms), lambda spans: F.when(F.size(spans) > 0, merged(spans)).otherwise(none()))
+    return F.array_sort(F.concat(held(keyed, terms), runs))
+
 
+def detect(docs: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
+    """The columns of `docs` but text, with base and spans, arrays of (start, end, kind, value); spans is base and the disclosing terms, by kind, then start.
 
-def detect(docs: DataFrame) -> DataFrame:
-    """`docs` with base and spans, arrays of (start, end, kind, value); spans is base and the disclosing terms, by kind, then start."""
+    The value of a term's span is what it is generalised to, empty if nothing. `taxonomy` has term and general.
+    """
     # of columns with clashing names the operator's stay
     small = [c for c in docs.columns if c not in ("text", "h1", "h2", "base", "entities", "terms", "spans")]
     own = [F.col(f"`{c}`") for c in [*small, "text"]]
@@ -132,14 +194,14 @@ def detect(docs: DataFrame) -> DataFrame:
     first = named.withColumn("base", base_spans(F.col("_text"))).withColumn("entities", _entities(F.col("base"))).withColumn("terms", F.when(F.size("base") > 0, _terms(F.col("_text"))))
     first = cut(first.select(*own[:-1], "_h.h1", "_h.h2", "base", "entities", "terms"))
     plain = named.select(F.col("_text").alias("text"), "_h.h1", "_h.h2")
-    terms = _disclosing(first, plain)
+    terms = _disclosing(first, plain, taxonomy)
     if terms is None:
         return first.select(*own[:-1], "h1", "h2", "base", F.col("base").alias("spans"))
     # so that only texts with a disclosing term are shuffled
     hit = terms.select("h1", "h2")
     hit = F.broadcast(hit) if hit.count() <= SENT else hit
     placed = plain.join(hit, ["h1", "h2"], "left_semi").join(terms, ["h1", "h2"]).select("h1", "h2", _term_spans(F.col("text"), F.col("terms")).alias("found")).dropDuplicates(["h1", "h2"])
-    spans = F.concat("base", F.array_sort(F.filter(F.coalesce("found", none()), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))))
+    spans = F.concat("base", apart(F.coalesce("found", none()), F.col("base")))
     return first.join(placed, ["h1", "h2"], "left").select(*own[:-1], "h1", "h2", "base", spans.cast(SPAN).alias("spans"))
 
 
@@ -148,8 +210,9 @@ def summary(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *(n(k) for k in KINDS[:4]), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """(h1, h2, text, clean): each distinct text and what it becomes, its spans put as <KIND>."""
-    found = detect(docs.select("text")).dropDuplicates(["h1", "h2"]).select("h1", "h2", by_start(F.col("spans"), KINDS).alias("spans"))
+def sanitise(docs: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
+    """(h1, h2, text, clean): each distinct text and what it becomes, base spans put as <KIND> and terms generalised or put as <TERM>."""
+    found = detect(docs.select("text"), taxonomy).dropDuplicates(["h1", "h2"]).select("h1", "h2", by_start(F.col("spans"), KINDS).alias("spans"))
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", _name(F.col("text"))).select("text", "_h.h1", "_h.h2").dropDuplicates(["h1", "h2"])
-    return texts.join(found, ["h1", "h2"]).select("h1", "h2", "text", replaced(F.col("text"), F.col("spans")).alias("clean"))
+    put = lambda s: F.when((s["kind"] == "term") & (s["value"] != ""), s["value"]).otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+    return texts.join(found, ["h1", "h2"]).select("h1", "h2", "text", replaced(F.col("text"), F.col("spans"), put).alias("clean"))

@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 from factloom.llm.pii import detect, sanitise, summary
 
@@ -75,3 +78,54 @@ def test_terms_far_from_the_mention_short_names_and_two_texts(spark):
     # one text alone shows nothing
     assert clean[texts[5]] == "one <EMAIL> for Zed only"
     assert all(clean[t] == t for t in texts[6:])
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    """Counts, information and the threshold recomputed over small texts of random words."""
+    rng = random.Random(5)
+    common, rare = [f"common{c}" for c in "abcdefgh"], [f"rare{c}{d}" for c in "abcdefgh" for d in "abcd"]
+    texts = []
+    for i in range(150):
+        who = rng.randrange(40)
+        words = rng.choices(common, k=4) + ([rare[who % 32]] if rng.random() < 0.7 else [])
+        texts.append(" ".join(words) + (f" p{'abcdefghijklmnop'[who % 16]}@corp.example" if rng.random() < 0.5 else ""))
+    texts += texts[:20]
+    entities = {t: frozenset(re.findall(r"\S+@\S+", t)) for t in texts}
+    terms = {t: frozenset(w for w in t.split() if "@" not in w) for t in texts}
+    n, of_entity, of_term, both = len(entities), Counter(), Counter(), Counter()
+    for t in entities:
+        of_entity.update(entities[t]), of_term.update(terms[t]), both.update((e, w) for e in entities[t] for w in terms[t])
+    told = set()
+    for (e, w), together in both.items():
+        own = -math.log2(of_entity[e] / n)
+        if together >= 2 and 1.1 * (math.log2(together / of_term[w]) + own) >= own:
+            told.add(w)
+    assert told and not told & set(common)
+    found = detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    for r in found:
+        text = texts[r.doc_id]
+        want = [(m.start(), m.end()) for m in re.finditer(r"[a-z]+(?![a-z]*@)(?<!@corp)", text) if m[0] in told]
+        assert [(s.start, s.end) for s in r.spans if s.kind == "term"] == want, text
+
+
+def test_taxonomy_generalises(spark):
+    texts = [f"the cardiologist of boss@corp.example was seen {i}" for i in range(3)] + ["a cardiologist alone"]
+    texts += [f"a surgeon was seen, plain the of was {w}" for w in ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")] + ["a nobody alone"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    taxonomy = spark.createDataFrame([("Cardiologist", "specialist"), ("specialist", "doctor"), ("surgeon", "doctor"), ("doctor", "person"), ("person", "person"), (None, "x")], "term string, general string")
+    assert {r.text: r.clean for r in sanitise(df).collect()}[texts[3]] == "a cardiologist alone"
+    rows = [(i, t) for i, t in enumerate(texts) if i != 3]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, broad = ({r.text: r.clean for r in sanitise(df, t).collect()} for t in (None, taxonomy))
+    assert plain[texts[0]] == "the <TERM> of <EMAIL> was seen 0"
+    assert broad[texts[0]] == "the doctor of <EMAIL> was seen 0"
+    assert broad[texts[5]] == texts[5]
+
+
+def test_many_terms_and_clashing_columns(spark):
+    texts = [f"boss@corp.example {'Zorblatt x ' * 20_000}{i}" for i in range(2)] + [f"x {i}" for i in range(50)]
+    df = spark.createDataFrame([(i, t, 1, "b", "s", "e") for i, t in enumerate(texts)], "doc_id long, text string, h2 int, base string, spans string, `found.x` string")
+    found = detect(df)
+    assert found.columns == ["doc_id", "found.x", "h1", "h2", "base", "spans"]
+    sizes = {r.doc_id: len(r.spans) for r in found.collect()}
+    assert sizes[0] == sizes[1] == 20_001 and sizes[2] == 0
