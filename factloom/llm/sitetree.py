@@ -8,15 +8,18 @@ counts the pages it is in (m), the styles it has there (the kinds of children) a
 A branch is noise if its importance and that of all branches and texts of nodes below are under `LOW`; it is removed from each page, and so is a leaf
 text whose own importance is under it. A node without nodes below has the content importance alone.
 What the markup switches off is removed on any page: elements made for menus, page headers and footers, sidebars, notices, adverts, forms, comments,
-scripts and styles. Of all other branches of hosts with at least `LEAST_PAGES` unlike pages the statistics decide, inside articles and content
-wrappers too; what the markup says there (articles and wrappers 1, what lies outside a page's article 0) only weighs as much as `PRIOR` pages.
-Branches with fewer pages are judged by the markup: where a page has an article, what lies outside goes, and all else stays.
+scripts and styles, and those of which a class or id says so with all its words (`nav`, `cookie-notice`, but not `related-work`).
+Of all other branches of hosts with two or more unlike pages the statistics decide, inside articles and content wrappers too; what the markup says
+there only weighs as much as some pages (`WEIGHTS`): articles and wrappers 1, what lies outside a page's article 0, all else 1/2. So what is the same
+on all pages goes from 7 of them in an article, from 3 on pages without, and what lies outside an article stays if it differs on 8 or more.
+Branches of a single page are judged by the markup: where a page has an article, what lies outside goes, and all else stays.
 
 What is left is decoded, white space inside a block becomes one space, and blocks are joined by line ends.
 
 Defined cases: null html or url counts as empty; pages without a host are judged by their markup alone; equal pages
-of a host count once; elements may nest to any depth; a tag, comment, script or reference cut off by the end of the page is dropped or stays text as browsers do it; repeated rows
-are extracted one by one; an empty table is fine.
+of a host count once; pages may be of any length and elements nest to any depth; a tag, comment, script or reference cut off by the end of the page is
+dropped or stays text as browsers do it; importances at `LOW` are kept; repeated rows are extracted one by one; an empty table gives an empty one; of the
+input's columns only page_id, url and html are read, so no others clash.
 """
 
 import math
@@ -32,9 +35,9 @@ from pyspark.sql import types as T
 
 from factloom.session import cut
 
-LOW, LEAST_PAGES, GAMMA = 0.25, 8, 0.9
-#: The first importance weighs as much as so many pages; what is the same on `LEAST_PAGES` pages still falls below `LOW`.
-PRIOR = 2
+LOW, LEAST_PAGES, GAMMA = 0.25, 2, 0.9
+#: How many pages the first importance weighs as much as, from what is outside of articles (0) to what is inside (1).
+WEIGHTS = {0.0: 24, 0.5: 2, 1.0: 2}
 #: With at most so many low nodes and texts (8 bytes each) the tasks get them all; beyond, blocks are joined with them.
 SENT = 500_000
 
@@ -56,6 +59,12 @@ NAMES = set(
     "login breadcrumb breadcrumbs pagination pager share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond "
     "discussion widget widgets toolbar skip copyright topbar".split()
 )
+#: Words that say nothing else beside one of these names.
+BESIDE = set(
+    "area article bar block blog body bottom box btn button buttons button bg card center col column container content desktop entry fixed float group header hidden id inner item items "
+    "js left link links list lists main mobile module outer page panel post posts primary right row secondary section site slot small sticky story sub tab tabs text title top user "
+    "reader view wrap wrapper xs sm md lg form forms banner".split()
+)
 ARTICLE_NAMES = set("comment comments reply replies ad ads advert advertisement sponsored promo related teaser".split())
 CONTENT_NAMES = set("article content post entry story main articlebody".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -75,6 +84,11 @@ class _Open:
         self.alive, self.prior, self.gone = True, None, None
 
 
+def _says(tokens: list[list[str]], names: set[str]) -> bool:
+    """Whether some class or id has one of `names`, and else words that say nothing."""
+    return any(not names.isdisjoint(words) and all(w in names or w in BESIDE for w in words) for words in tokens)
+
+
 def parse(html: str, host: str = ""):
     """(blocks, elements): the page's (owner, text, off, article, content, outside) in order, and all its elements.
 
@@ -144,18 +158,19 @@ def parse(html: str, host: str = ""):
         if tag in VOID:
             continue
         attributes = {a.lower(): unescape(b or c or d) for a, b, c, d in _ATTRIBUTE.findall(m[3])} if m[3].strip(" /\n\t\r") else {}
-        names = {x.lower() for key in ("class", "id") for x in _NAME.findall(attributes.get(key, ""))}
+        tokens = [[x.lower() for x in _NAME.findall(token)] for key in ("class", "id") for token in attributes.get(key, "").split()]
+        names = {x for words in tokens for x in words}
         role = attributes.get("role", "").lower()
         up = stack[-1]
         off = up.off or tag in NOT_TEXT or role in ROLES or "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         if tag == "article":
-            off = off or bool(names & ARTICLE_NAMES)
+            off = off or _says(tokens, ARTICLE_NAMES)
         elif tag not in ("html", "body", "main"):
-            off = off or bool(names & NAMES) and not (up.article and tag in HEADINGS)
+            off = off or _says(tokens, NAMES) and not (up.article and tag in HEADINGS)
         if tag == "header":
             off = up.off or not up.article
         article = not off and (up.article or tag in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articleBody")
-        content = article or not off and (up.content or bool(names & CONTENT_NAMES) and tag not in ("html", "body"))
+        content = article or not off and (up.content or _says(tokens, CONTENT_NAMES) and tag not in ("html", "body"))
         label = ".".join([tag, *sorted(names)])
         up.kids.add(label)
         if tag in RAW:
@@ -261,8 +276,11 @@ def low_branches(pages: DataFrame, low: float = LOW, least: int = LEAST_PAGES) -
     whole = _upward(tree.select("node", "up", F.coalesce("n", F.lit(0)).alias("all"), F.coalesce("logs", F.lit(0.0)).alias("all_logs")), {"all": add, "all_logs": add})
     inner = tree.where("up is not null").select(F.col("up").alias("node"), F.lit(True).alias("inner")).distinct()
 
+    prior = F.coalesce("prior", F.lit(0.5))
+    weight = F.when(prior < 0.5, WEIGHTS[0.0] + (WEIGHTS[0.5] - WEIGHTS[0.0]) * prior * 2).otherwise(WEIGHTS[0.5] + (WEIGHTS[1.0] - WEIGHTS[0.5]) * (prior * 2 - 1))
+
     def weighed(x):
-        return F.when(F.col("prior").isNull(), x).otherwise((F.col("prior") * PRIOR + x * F.col("m")) / (F.col("m") + PRIOR))
+        return (prior * weight + x * F.col("m")) / (F.col("m") + weight)
 
     judged = tree.where(F.col("m") >= least).join(whole, "node").join(inner, "node", "left")
     content = 1 - F.col("all_logs") / (F.col("all") * F.log("m"))

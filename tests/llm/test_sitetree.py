@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter, defaultdict
+
 from factloom.llm import sitetree
 from factloom.llm.sitetree import extract, low_branches, parse
 
@@ -32,6 +36,72 @@ def test_depth_changes_nothing():
         assert [b[1] for b in parse(html)[0] if not b[2] and not b[5]] == ["a", "b", "c"]
 
 
+def test_names_say_it_with_all_their_words():
+    kept = ["share-holders", "side-by-side", "product-menu", "related-work", "footerless", "commentary", "advertisement-history", "story"]
+    gone = ["share", "cookie-notice", "navBar", "site-footer", "x related", "comment-list", "ad_slot", "post-comments", "sidebar-right"]
+    html = "<article>{}</article>".format("".join(f"<div class='{c}'>{c}</div><section id='{c}'>{c}</section>" for c in kept + gone))
+    assert [b[1] for b in parse(html)[0] if not b[2]] == [c for c in kept for _ in (1, 2)]
+
+
+def test_importances_equal_brute_force(spark):
+    """Entropies over the pages of a host, recomputed from the parsed pages."""
+    rng = random.Random(4)
+    kinds = ["<div class='{k}'><p>{t}</p></div>", "<section><div class='{k}'>{t}<span>s</span></div></section>", "<ul class='{k}'><li>{t}<li>{u}</ul>"]
+    df = []
+    for host, n in (("a.org", 2), ("b.org", 5), ("c.org", 9), ("d.org", 30)):
+        for i in range(n):
+            parts = [rng.choice(kinds).format(k="k" + c, t=rng.choice(["same", "same", f"own {i}", f"of {i % 3}"]), u=f"x{i % 4}") for c in rng.sample("qrstvwxyz", 5)]
+            html = "".join(parts[:3]) + ("<article>" + "".join(parts[3:]) + f"<p>{i}</p></article>" if rng.random() < 0.6 else "".join(parts[3:]))
+            df.append((len(df), f"http://{host}/{i}", html + f"<div class='kout'>{i}</div>"))
+    df += df[:3]
+    want = set()
+    for host in {u.split("/")[2] for _, u, _ in df}:
+        nodes, found = defaultdict(lambda: {"m": 0, "styles": Counter(), "prior": [], "kids": set(), "up": None, "texts": Counter(), "outside": False}), set()
+        for html in {h for _, u, h in df if u.split("/")[2] == host}:
+            blocks, elements = parse(html, host)
+            first, page, text = {}, {}, {}
+            for o, t, off, _, content, outside in blocks:
+                assert not off
+                text[(o.node, t)] = text.get((o.node, t), False) or outside
+                while o.up is not None:
+                    first[o.node] = max(first.get(o.node, -1), 0 if outside else 1 if content else -1)
+                    o = o.up
+            for o in elements:
+                if o.node in first:
+                    page.setdefault(o.node, set()).update(o.kids)
+                    nodes[o.node]["up"] = o.up.node if o.up.up else None
+            for k, kids in page.items():
+                x = nodes[k]
+                x["m"] += 1
+                x["styles"][frozenset(kids)] += 1
+                x["prior"] += [first[k]] if first[k] >= 0 else []
+            for (k, t), outside in text.items():
+                nodes[k]["texts"][t] += 1
+                nodes[k]["outside"] |= outside
+        kids = {k: [j for j in nodes if nodes[j]["up"] == k] for k in nodes}
+        below = lambda k: [nodes[k], *(x for j in kids[k] for x in below(j))]
+        importance = {}
+        for k, x in nodes.items():
+            m = x["m"]
+            if m < 2:
+                continue
+            prior = sum(x["prior"]) / len(x["prior"]) if x["prior"] else 0.5
+            weight = 24 - 44 * prior if prior < 0.5 else 2
+            weighed = lambda v: (prior * weight + v * m) / (m + weight)  # noqa: B023, E731
+            surprise = lambda counts: sum(1 - math.log(c) / math.log(m) for c in counts) / len(counts)  # noqa: B023, E731
+            content = surprise([c for y in below(k) for c in y["texts"].values()])
+            look = -sum(c / m * math.log(c / m, m) for c in x["styles"].values())
+            keep = 0.9 ** max(map(len, x["styles"]))
+            value = (1 - keep) * look + keep * content if kids[k] else content
+            value = max(value, surprise(list(x["texts"].values()))) if x["texts"] else value
+            importance[k] = weighed(value)
+            found |= {((k - 2**63) ^ sitetree._hash(t), True) for t, c in x["texts"].items() if c >= 2 and weighed(1 - math.log(c) / math.log(m)) < sitetree.LOW}
+        best = lambda k: max([importance.get(k, -1), *map(best, kids[k])])
+        want |= found | {(k - 2**63, best(k) < sitetree.LOW) for k in importance if best(k) < sitetree.LOW or nodes[k]["outside"]}
+    got = {(r.key, r.low) for r in low_branches(spark.createDataFrame(df, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want and len({low for _, low in got}) == 2 and len(got) > 20
+
+
 def rows():
     out = [(i, f"http://site.org/{i}", page(i, f"<p>Story {i} begins</p><p>and ends {i}</p>")) for i in range(30)]
     out += [(100 + i, f"http://small.org/{i}", page(i, f"<p>Small {i}</p>")) for i in range(3)]
@@ -41,9 +111,9 @@ def rows():
 
 def test_repeated_branches_go(spark):
     df = spark.createDataFrame([(*r, "t") for r in rows()], "page_id long, url string, html string, text string").repartition(3)
-    got = texts(extract(df.drop("text")))
+    got = texts(extract(df))
     assert got[3] == "Story 3 begins\nand ends 3"
-    assert got[101] == "Home News\nSmall 1\nAll rights reserved, 1"  # too few pages to judge
+    assert got[101] == "Small 1\nAll rights reserved, 1"  # what differs between three pages stays
     assert got[205].split("\n")[1] == "the same" and got[300].split("\n")[1] == "no url"
     assert got[301] == got[302] == "" and len(got[303]) == 250_000 - 1
 
