@@ -9,7 +9,9 @@ Texts are lower-cased; all that isn't a letter counts as one space, also at both
 whole numbers, so neither the order of rows nor of tasks changes a prototype.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without any prototype all are
-`und`; equal cosines go to the smaller name; repeated rows are judged one by one. What is trained on is the caller's choice;
+`und`; equal cosines go to the smaller name; repeated rows are judged one by one; texts may be of any length and are bundled whole;
+an empty table gives an empty result, and as what is trained on no prototypes; columns named lang_pred and score give way to the
+operator's, all others stay whatever their names. What is trained on is the caller's choice;
 rows there whose language is null or whose text has no letter are skipped. Up to `MAX_LANGUAGES` prototypes
 (8 kB each) are gathered; more raise an error.
 """
@@ -22,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm.batches import texts_of
+from factloom.llm.spans import fresh
+
 DIM, N = 1024, 3
 MAX_LANGUAGES = 2000
 UNIT = 2**20
-#: n-gram vectors that a worker keeps, 4 kB each, and n-grams that are bundled at once.
+#: n-gram vectors that a worker keeps, 1 kB each, and n-grams that are bundled at once.
 KEPT, AT_ONCE = 32_768, 4096
 SPACE = 32
 
@@ -45,7 +50,7 @@ class Encoder:
     def _reset(self):
         self.known = np.empty(0, np.int64)
         self.place = np.empty(0, np.int64)
-        self.table = np.empty((KEPT, self.dim), np.float32)
+        self.table = np.empty((KEPT, self.dim), np.int8)
         self.used = 0
 
     def codes(self, text: str) -> np.ndarray:
@@ -68,7 +73,7 @@ class Encoder:
             if len(self.letters) > 20_000:
                 self.letters.clear()
             bits = np.random.Generator(np.random.PCG64([letter, self.dim])).integers(0, 2, self.dim, np.int8)
-            self.letters[letter] = (2 * bits - 1).astype(np.float32)
+            self.letters[letter] = 2 * bits - 1
         return self.letters[letter]
 
     def rows(self, grams: np.ndarray) -> np.ndarray:
@@ -96,7 +101,7 @@ class Encoder:
             return None
         out = np.zeros(self.dim, np.float32)
         for i in range(0, len(grams), AT_ONCE):
-            out += counts[i : i + AT_ONCE].astype(np.float32) @ self.rows(grams[i : i + AT_ONCE])
+            out += counts[i : i + AT_ONCE].astype(np.float32) @ self.rows(grams[i : i + AT_ONCE]).astype(np.float32)
         return out
 
 
@@ -115,7 +120,7 @@ SUMS = T.StructType().add("lang", "string").add("sums", T.ArrayType(T.LongType()
 def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
             v = encoder().bundle(text)
             if v is not None and (size := float(np.linalg.norm(v))):
                 sums[lang] = sums.get(lang, 0) + np.rint(v * (UNIT / size)).astype(np.int64)
@@ -143,22 +148,21 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     names = list(prototypes)
     stack = np.array([prototypes[n] for n in names], np.float32).reshape(len(names), DIM)
 
-    @F.pandas_udf(T.StructType().add("lang", "string").add("score", "double"))
-    def judge(texts):
-        import pandas as pd
-
+    @F.arrow_udf(T.StructType().add("lang", "string").add("score", "double"))
+    def judge(texts: pa.Array) -> pa.Array:
         langs, scores = [], []
-        for text in texts:
+        for text in texts_of(texts):
             v = encoder().bundle(text) if names else None
             size = 0.0 if v is None else float(np.linalg.norm(v))
             cosines = stack @ v / size if size else np.zeros(max(1, len(names)))
             at = int(np.argmax(cosines))
             langs.append(names[at] if size else "und")
             scores.append(min(1.0, max(0.0, float(cosines[at]))))
-        return pd.DataFrame({"lang": langs, "score": scores})
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("_judged", judge("text")).select(*own, F.col("_judged.lang").alias("lang_pred"), F.col("_judged.score").alias("score"))
+    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    judged = fresh("_judged", docs.columns)
+    return docs.withColumn(judged, judge("text")).select(*(F.col(f"`{c}`") for c in own), F.col(f"{judged}.lang").alias("lang_pred"), F.col(f"{judged}.score").alias("score"))
 
 
 def held_out(doc_id) -> F.Column:

@@ -8,8 +8,8 @@ Decoding joins the pieces, restores bytes and spaces and takes the front one awa
 
 Where no piece holds a marker behind another character, no segmentation crosses the place before a marker,
 so texts are cut there, and at characters that are in no piece. The parts that a worker hasn't met are
-encoded together, place by place, for all parts of about one length at once; long parts are encoded alone. Memory is bounded by `CHARS`, `CELLS`
-and `REMEMBERED` and the longest text.
+encoded together, place by place, for all parts of about one length at once; long parts are encoded alone. Memory is bounded by `CELLS`,
+`REMEMBERED`, the portions of a batch and the longest text.
 
 Defined cases: null stays null, the empty text has no pieces; texts may be of any length and are encoded whole; a text's own U+2581 decodes as a
 space, the format's one loss; of equal sums the one stays that ends in the piece that starts first; repeated rows are encoded one by one; an empty
@@ -25,11 +25,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm.batches import portions, slices
+
 MARK = "▁"
 # Fixed values of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -38,9 +39,8 @@ UNKNOWN_PENALTY = 10.0
 #: Bytes of a character by its first.
 WIDE = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16)
 
-#: Parts of more characters than this are encoded alone; so many places of new parts are worked on together; so many parts are remembered;
-#: texts are taken together up to so many characters.
-LONG, CELLS, REMEMBERED, CHARS = 64, 500_000, 200_000, 500_000
+#: Parts of more characters than this are encoded alone; so many places of new parts are worked on together; so many parts are remembered.
+LONG, CELLS, REMEMBERED = 64, 500_000, 200_000
 
 
 def _fields(data: bytes):
@@ -306,25 +306,13 @@ class Unigram:
             at = start
         return np.concatenate(out[::-1])
 
-    def decode(self, ids) -> str:
-        if len(ids) and (min(ids) < 0 or max(ids) >= self.size):
+    def decode(self, ids: list[int]) -> str:
+        if ids and (min(ids) < 0 or max(ids) >= self.size):
             raise ValueError("no such piece")
         text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
-def portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbours with at most `CHARS` together, or of one alone."""
-    at = 0
-    while at < len(sizes):
-        end, size = at + 1, sizes[at]
-        while end < len(sizes) and size + sizes[end] <= CHARS:
-            size += sizes[end]
-            end += 1
-        yield at, end
-        at = end
-
-
 class Codec:
     """Columns of texts to columns of ids and back.
 
@@ -340,9 +328,7 @@ class Codec:
 
         def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sizes = pc.utf8_length(batch.column(len(names))).to_numpy(zero_copy_only=False)
-                for a, b in portions(np.nan_to_num(sizes).astype(int).tolist()):
-                    some = batch.slice(a, b - a)
+                for some in slices(batch, len(names)):
                     texts = some.column(len(names)).to_pylist()
                     flat, ends = model.value.encode_some(texts)
                     bounds = pa.array(np.append(0, ends).astype(np.int32))
@@ -359,6 +345,9 @@ class Codec:
 
         @F.arrow_udf(T.StringType())
         def decoded(rows: pa.Array) -> pa.Array:
-            return pa.array((None if x is None else model.value.decode(x) for x in (r.as_py() for r in rows)), pa.string())
+            # the numbers of all rows lie one behind the other
+            ids, ends, null = rows.values.to_numpy(), rows.offsets.to_numpy(), rows.is_null().to_numpy(zero_copy_only=False)
+            texts = (None if n else model.value.decode(ids[a:b].tolist()) for a, b, n in zip(ends, ends[1:], null, strict=False))
+            return pa.array(texts, pa.string())
 
         return decoded(ids)

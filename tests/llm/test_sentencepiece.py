@@ -6,8 +6,10 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from factloom.llm.queries import PIECES
+from factloom.llm import batches
 from factloom.llm import sentencepiece as module
-from factloom.llm.sentencepiece import MARK, Codec, Unigram, _fields, portions, read_model, zipf
+from factloom.llm.batches import portions
+from factloom.llm.sentencepiece import MARK, Codec, Unigram, _fields, read_model, zipf
 
 TEXTS = ["", " ", "  a  b ", "the on the it", "é𝜑\n\n\tx", "日本語テスト", "a" * 300 + "é" * 50, "\x00", "x" * 63 + "é", "word " * 2000, "ﬀ İ 👩‍👩‍👧"]
 
@@ -79,7 +81,7 @@ def test_round_trip_and_both_searches():
 
 def test_portions_and_memory_do_not_change_results(monkeypatch):
     whole = [x.tolist() for x in Unigram(read_model(PIECES)).encode_all(TEXTS * 3)]
-    monkeypatch.setattr(module, "CHARS", 50), monkeypatch.setattr(module, "CELLS", 100), monkeypatch.setattr(module, "REMEMBERED", 5)
+    monkeypatch.setattr(batches, "CHARS", 50), monkeypatch.setattr(module, "CELLS", 100), monkeypatch.setattr(module, "REMEMBERED", 5)
     assert list(portions([60, 1, 49, 1, 0, 200, 0])) == [(0, 1), (1, 3), (3, 5), (5, 6), (6, 7)] and not list(portions([]))
     assert [x.tolist() for x in Unigram(read_model(PIECES)).encode_all(TEXTS * 3)] == whole
 
