@@ -22,8 +22,9 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     while True:
         around = both.join(now.withColumnsRenamed({"id": "b", "comp": "near"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
         # a component's own label also takes the least label that any of its members sees
-        seen = now.join(around, "id", "left").withColumn("low", F.least("comp", F.coalesce("near", "comp")))
-        roots = seen.groupBy("comp").agg(F.min("low").alias("low"))
+        seen = now.join(cut(around), "id", "left").withColumn("low", F.least("comp", F.coalesce("near", "comp")))
+        # written first: a join whose sides are plain shuffles may split a hot component
+        roots = cut(seen.groupBy("comp").agg(F.min("low").alias("low")))
         linked = cut(seen.select("id", F.col("comp").alias("was"), "low").join(roots.select(F.col("comp").alias("was"), F.col("low").alias("root")), "was").select("id", "was", F.least("low", "root").alias("comp")))
         jump = linked.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
         after = linked.join(jump, "comp", "left").select("id", "was", F.coalesce("up", "comp").alias("comp"))

@@ -1,4 +1,7 @@
-"""Near-duplicate documents by DartMinHash: word shingles of five, Jaccard similarity of 0.8 or more.
+"""Near-duplicate documents by DartMinHash: word shingles of five, weighted Jaccard similarity of 0.8 or more.
+
+The weight of a shingle is how often a text has it; the similarity of two texts is the sum of the lesser weights over that of the greater ones. It
+is also the plain similarity of their sets of (shingle, n) for the first, second, … occurrence, which is how texts are compared exactly.
 
 Signatures. Darts are thrown at the plane of weight and rank of each element: fixed regions hold a hashed Poisson number
 of them at hashed places. A dart counts if its weight lies below the element's; each belongs to one
@@ -10,13 +13,14 @@ probability of (1 - 0.8**7)**50 = 8e-6. Within a bucket no pairs are listed:
 1. each text is compared with a few of its buckets' texts, the least ones in four hashed orders;
 2. in buckets that still span several classes, with the text that has most links so far, until that brings no more links;
 3. texts of buckets that still span classes are joined exactly: two texts at 0.8 share one of the rarest
-   shingles of both (prefix filter) at places behind which enough others may follow (position filter), and only pairs of unlike
+   elements of both (prefix filter) at places behind which enough others may follow (position filter), and only pairs of unlike
    classes and fitting sizes are compared.
-All comparisons count shared shingles. Classes are the connected components of the links found.
+All comparisons count shared elements. Classes are the connected components of the links found.
 
 Defined cases: words are `\\w+`, lower-cased; texts of one to four words are one shingle; texts without words, and null, are
 each a class of their own; texts with equal words are copies, taken together before all else; class_id is the smallest doc_id of
-a class (null if all are null); repeated rows and doc_ids are fine, an empty table gives an empty result.
+a class (null if all are null); texts may be of any length and are compared whole; repeated rows and doc_ids are fine, an empty table gives an empty
+result. classes() reads doc_id and text alone; dedup() returns all columns, whatever their names; of rows that tie in doc_id the first read stays.
 """
 
 import math
@@ -31,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm.batches import slices
 from factloom.llm.components import components
 from factloom.session import cut
 
@@ -59,7 +64,7 @@ def uniform(h: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -81,6 +86,13 @@ def shingles(text: str | None) -> np.ndarray:
     return out
 
 
+def occurrences(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash for the first, second, … occurrence of each element."""
+    ends = np.cumsum(counts)
+    nth = (np.arange(ends[-1]) - np.repeat(ends - counts, counts)).astype(np.uint64)
+    return mix(np.repeat(elements, counts) ^ nth * _GOLD)
+
+
 @lru_cache(maxsize=None)
 def _poisson(area: float) -> np.ndarray:
     """The cumulative distribution of the number of darts in a region."""
@@ -147,27 +159,29 @@ SIGNED = T.StructType().add("row", "long").add("doc_id", "long").add("node", "lo
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, text) to node, the text's 64-bit name, and its bands and shingles, sorted 32-bit hashes."""
-    for batch in batches:
-        nodes, sizes, bands, sets = [], [], [], []
-        for text in batch.column(2).to_pylist():
-            every = shingles(text)
-            if not len(every):
-                nodes.append(None), sizes.append(0), bands.append(None), sets.append(None)
-                continue
-            some = np.unique(every)
-            nodes.append(int(xxhash.xxh64_intdigest(every.tobytes())) - 2**63)
-            bands.append(band_keys(dart_minhash(some, np.ones(len(some)), BANDS * ROWS)).view(np.int64))
-            small = np.unique((some >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            sizes.append(len(small))
-            sets.append(small)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))], SIGNED.names
-        )
+    """(row, doc_id, text) to node, the text's 64-bit name, and its bands and elements, sorted 32-bit hashes."""
+    for whole in batches:
+        for batch in slices(whole, 2):
+            nodes, sizes, bands, sets = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                every = shingles(text)
+                if not len(every):
+                    nodes.append(None), sizes.append(0), bands.append(None), sets.append(None)
+                    continue
+                some, counts = np.unique(every, return_counts=True)
+                nodes.append(int(xxhash.xxh64_intdigest(every.tobytes())) - 2**63)
+                bands.append(band_keys(dart_minhash(some, counts.astype(np.float64), BANDS * ROWS)).view(np.int64))
+                small = np.unique((occurrences(some, counts) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                sizes.append(len(small))
+                sets.append(small)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))], SIGNED.names
+            )
+    _words.clear()
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    """The pairs (a, b) whose sets of elements have a Jaccard similarity of 0.8 or more."""
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sh").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sh").alias("sb"))
     # sizes alone decide most of the others
@@ -184,7 +198,8 @@ def _pair(x, y) -> list:
 def _split(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of buckets that span several classes, with the class of each node."""
     known = buckets.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    spans = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    # written first: a join whose sides are plain shuffles may split hot keys
+    spans = cut(known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"))
     return known.join(spans, "bucket")
 
 
@@ -208,14 +223,14 @@ def classes(docs: DataFrame) -> DataFrame:
     pivots = buckets.groupBy("bucket").agg(*(F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(ORDERS)))
     order = F.pmod("bucket", F.lit(ORDERS))
     pivot = F.coalesce(*(F.when(order == i, F.col(f"p{i}")) for i in range(ORDERS)))
-    first = buckets.join(pivots.select("bucket", pivot.alias("p")), "bucket").where("node <> p").select(*_pair(F.col("node"), F.col("p"))).distinct()
+    first = buckets.join(cut(pivots.select("bucket", pivot.alias("p"))), "bucket").where("node <> p").select(*_pair(F.col("node"), F.col("p"))).distinct()
     links = cut(compare(first, shingled))
     labels = components(links)
     tested = cut(first)
     while True:
         open_buckets = cut(_split(buckets, labels))
         degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-        ranked = open_buckets.join(degree, "node", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("node"), F.col("comp"))).alias("top"))
+        ranked = cut(open_buckets.join(degree, "node", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("node"), F.col("comp"))).alias("top")))
         more = open_buckets.join(ranked, "bucket").where("comp <> top.comp").select(*_pair(F.col("node"), F.col("top.node"))).distinct()
         more = cut(more.join(tested, ["a", "b"], "left_anti"))
         found = cut(compare(more, shingled))
@@ -226,10 +241,10 @@ def classes(docs: DataFrame) -> DataFrame:
     # what is left: texts that share a bucket with another class
     rest = cut(_split(buckets, labels).select("node", "comp").distinct())
     each = shingled.join(rest, "node").select("node", "n", "comp", F.explode("sh").alias("s"))
-    counted = each.groupBy("s").agg(F.count("*").alias("df"))
+    counted = cut(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
     w = Window.partitionBy("node").orderBy("df", "s")
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(4) / 5) + 1
-    rare = cut(each.join(counted, "s").withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= prefix) & (F.col("df") > 1)).select("s", "node", "n", "comp", "rank"))
+    rare = cut(each.join(counted, "s", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= prefix) & (F.col("df") > 1)).select("s", "node", "n", "comp", "rank"))
     x, y = rare.alias("x"), rare.alias("y")
     fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.n") * 5 >= F.col("y.n") * 4) & (F.col("y.n") * 5 >= F.col("x.n") * 4)
     # at the first shingle that both share, what lies behind it must still be enough (later ones only leave less)
@@ -240,14 +255,11 @@ def classes(docs: DataFrame) -> DataFrame:
         labels = components(found, labels)
 
     of = signed.select("row", "doc_id", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    names = of.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first"))
+    names = of.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first"), F.count("*").alias("of"))
     # a class of one row needs no join: only the others are looked up
-    return of.join(names, "comp", "left").select(
-        "row",
-        "doc_id",
-        F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        (F.col("comp").isNull() | (F.col("first.row") == F.col("row"))).alias("is_first"),
-    )
+    named = of.join(cut(names.where("of > 1").select("comp", "class_id", F.col("first.row").alias("first"))), "comp", "left")
+    alone = F.col("first").isNull()
+    return named.select("row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (alone | (F.col("first") == F.col("row"))).alias("is_first"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -7,14 +8,14 @@ import numpy as np
 from factloom.llm.neardup import classes, dart_minhash, dedup
 
 
-def shingle_set(text):
+def shingle_counts(text):
     words = re.findall(r"\w+", (text or "").lower())
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
 
 
 def brute(rows):
     """Smallest id of the class of each (id, text), by comparing all pairs."""
-    sets = [(i, shingle_set(t)) for i, t in rows]
+    sets = [(i, shingle_counts(t)) for i, t in rows]
     root = {i: i for i, _ in sets}
 
     def find(x):
@@ -23,9 +24,8 @@ def brute(rows):
         return x
 
     for (i, a), (j, b) in combinations(sets, 2):
-        if a and b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)):
-            shared = len(a & b)
-            if shared * 10 >= 8 * (len(a) + len(b) - shared):
+        if a and b and min(a.total(), b.total()) >= 0.8 * max(a.total(), b.total()):
+            if (a & b).total() * 10 >= 8 * (a | b).total():
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     return {i: find(i) for i in root}
@@ -63,6 +63,9 @@ def fixture():
     # a passage that many share, too short to make them alike
     passage = [word() for _ in range(60)]
     texts += [" ".join(passage + [word() for _ in range(30)]) for _ in range(60)]
+    # weights decide: the same lines, but one of them 40, 36 or 4 times; and unlike texts with one line in common 60 times
+    line, others = " ".join(word() for _ in range(7)), [" ".join(word() for _ in range(30)) for _ in range(4)]
+    texts += [f"{others[0]} {f'{line} ' * n}" for n in (40, 36, 4)] + [f"{o} {f'{line} ' * 60}" for o in others[1:3]] + [f"{o} {line}" for o in others[1:]]
     texts += [texts[0]] * 5 + ["Short text", "short TEXT!", "other", "", "", None]
     texts += ["x " * 20_000, " ".join(word() for _ in range(20_000))]
     return list(enumerate(texts))
@@ -83,6 +86,35 @@ def test_equals_brute_force_on_documents(spark):
     assert {r.doc_id: r.class_id for r in classes(docs).collect()} == brute(rows)
 
 
+def test_edits_that_are_caught(spark):
+    """A replaced word takes five shingles: copies are caught with an edit every 45 words, or one block of a tenth, and not beyond."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows, want = [], {}
+    for group in range(40):
+        base = [word() for _ in range(450)]
+        copies = {"exact": list(base), "case": [w.upper() for w in base]}
+        for name, gap in (("word in 60", 60), ("word in 20", 20)):
+            copies[name] = [word() if i % gap == gap // 2 else w for i, w in enumerate(base)]
+        copies["block"] = base[:200] + [word() for _ in range(40)] + base[240:]
+        copies["cut"] = base[: 450 * 85 // 100]
+        copies["longer"] = base + [word() for _ in range(90)]
+        rows.append((len(rows), " ".join(base)))
+        for name, words in copies.items():
+            want.setdefault(name, []).append((len(rows), group * (len(copies) + 1)))
+            rows.append((len(rows), " ".join(words)))
+    got = {r.doc_id: r.class_id for r in classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    recall = {name: sum(got[i] == base for i, base in pairs) / len(pairs) for name, pairs in want.items()}
+    assert recall == {"exact": 1, "case": 1, "word in 60": 1, "word in 20": 0, "block": 1, "cut": 1, "longer": 1}
+
+
+def test_clashing_columns_and_nulls(spark):
+    rows = [(None, "a b c d e f", 1, "n", 1.0), (None, "A b c d e f", 2, "n", 2.0), (7, None, 3, None, None), (8, "z", 4, "", 0.5), (8, "z", 5, "", 0.5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int, node string, `x.y` double")
+    kept = dedup(df)
+    assert kept.columns == df.columns and sorted(r.row for r in kept.collect()) in ([1, 3, 4], [1, 3, 5])
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert classes(df).count() == 0 and dedup(df).count() == 0
