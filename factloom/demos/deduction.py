@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from factloom.operators.guard import generalized
 from factloom.session import cut
 from factloom.terms import Var, canon, parse, render
-from factloom.unify import apart, generalizes, resolve, unify
+from factloom.unify import apart, generalizes, pair_up, resolve, unify
 
 #: The three axioms of propositional logic over implication (>) and negation (~).
 AXIOMS = ["(> $a (> $b $a))", "(> (> $a (> $b $c)) (> (> $a $b) (> $a $c)))", "(> (> (~ $a) (~ $b)) (> $b $a))"]
@@ -35,13 +35,23 @@ def _axioms(spark: SparkSession, axioms: list[str]) -> DataFrame:
     return spark.createDataFrame([(1, render(canon(parse(a))), 1) for a in axioms], "k int, thm string, n int").withColumn("n", F.col("n").cast("decimal(38,0)"))
 
 
+@F.pandas_udf(T.StringType())
+def premise_column(major: pd.Series) -> pd.Series:
+    """What an implication asks for; a variable may be any implication."""
+    return major.map(lambda t: (lambda x: render(x[1]) if isinstance(x, tuple) and len(x) == 3 and x[0] == ">" else "$0" if isinstance(x, Var) else None)(parse(t)))
+
+
+def _pairs(every: DataFrame, k: int) -> DataFrame:
+    """Majors f and minors thm of sizes that make k, by an equi-join on the size and the beginnings of premise and minor."""
+    majors = every.select((F.lit(k - 1) - F.col("k")).alias("k"), F.col("thm").alias("f"), *(F.col(c).alias("nf") for c in every.columns if c == "n"), premise_column("thm").alias("premise")).where("premise is not null")
+    return pair_up(majors, "premise", every, "thm", ["k"])
+
+
 def count_derivations(spark: SparkSession, axioms: list[str], most: int) -> DataFrame:
     """(k, thm, n): how many derivations of size k end in a theorem; sizes of both premises and 1 add up to k."""
     every = cut(_axioms(spark, axioms))
     for k in range(2, most + 1):
-        x, y = every.select(F.col("k").alias("i"), F.col("thm").alias("f"), F.col("n").alias("nf")), every.select(F.col("k").alias("j"), F.col("thm").alias("x"), F.col("n").alias("nx"))
-        pairs = x.join(y, F.col("i") + F.col("j") + 1 == F.lit(k))
-        made = pairs.select(detach_column("f", "x").alias("thm"), (F.col("nf") * F.col("nx")).alias("n")).where("thm is not null")
+        made = _pairs(every, k).select(detach_column("f", "thm").alias("thm"), (F.col("nf") * F.col("n")).alias("n")).where("thm is not null")
         layer = made.groupBy("thm").agg(F.sum("n").cast("decimal(38,0)").alias("n")).select(F.lit(k).alias("k"), "thm", "n")
         every = cut(every.unionByName(layer))
     return every
@@ -51,12 +61,11 @@ def closure(spark: SparkSession, axioms: list[str], most: int, guarded: bool = F
     """(k, thm): theorems by smallest size; guarded, only those that no theorem of that size or smaller generalizes."""
     every = cut(_axioms(spark, axioms).select("k", "thm"))
     for k in range(2, most + 1):
-        x, y = every.toDF("i", "f"), every.toDF("j", "x")
-        made = x.join(y, F.col("i") + F.col("j") + 1 == F.lit(k)).select(detach_column("f", "x").alias("thm")).where("thm is not null").distinct()
+        made = _pairs(every, k).select(detach_column("f", "thm").alias("thm")).where("thm is not null").distinct()
         fresh = cut(made.join(every, "thm", "left_anti"))
         if guarded:
             others = every.select(F.col("thm").alias("schema")).unionByName(fresh.select(F.col("thm").alias("schema")))
-            fresh = fresh.join(generalized(fresh, "thm", others, "schema", F.col("schema") != F.col("thm")), "thm", "left_anti")
+            fresh = cut(fresh.join(generalized(fresh, "thm", others, "schema", F.col("schema") != F.col("thm")), "thm", "left_anti"))
         every = cut(every.unionByName(fresh.select(F.lit(k).alias("k"), "thm")))
     return every
 

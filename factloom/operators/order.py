@@ -1,11 +1,13 @@
 """Orders of terms as sort keys in columns: stored order, specificity of matches, priority."""
 
+from decimal import Decimal
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.terms import canon, parse, peano_depth, priority_key, specificity, trie_key
+from factloom.terms import canon, parse, peano_depth, priority_key, trie_key
 
 TRIE = T.ArrayType(T.StructType().add("rank", "integer").add("size", "integer").add("bytes", "binary"))
 
@@ -25,13 +27,33 @@ def flat_specificity(pattern: list, columns: list[Column]) -> Column:
     return F.array(*(F.when((F.lit(p).isNull()) == c.isNull(), 0).otherwise(1) for p, c in zip(pattern, columns, strict=True)))
 
 
-def specificity_of(pattern: str, term: Column) -> Column:
-    p = parse(pattern)
-    return F.pandas_udf(lambda s: pd.Series([specificity(p, parse(t)) for t in s], dtype=object), T.ArrayType(T.IntegerType()), F.PandasUDFType.SCALAR)(term)
+PRIORITY = T.StructType().add("kind", "integer").add("tuple", "integer").add("number", "decimal(38,0)").add("text", "string")
+
+
+def priority_order(term: Column) -> Column:
+    """A column that sorts as priorities do: an array of keys in preorder, one for each symbol, numeral or variable, and for where an expression ends."""
+
+    @F.pandas_udf(T.ArrayType(PRIORITY))
+    def keys(terms: pd.Series) -> pd.Series:
+        return pd.Series([_flat_priority(parse(t)) for t in terms], dtype=object)
+
+    return keys(term)
+
+
+def _flat_priority(term) -> list[dict]:
+    def key(kind, tuple_=0, number=0, text=""):
+        return {"kind": kind, "tuple": tuple_, "number": Decimal(number), "text": text}
+
+    # the end of an expression sorts before all that a longer one may hold there
+    if isinstance(term, tuple) and peano_depth(term) is None:
+        return [key(2, 1), *(k for x in term for k in _flat_priority(x)), key(-1)]
+    kind, group, value, _ = priority_key(term)
+    return [key(0, 0, group) if kind == 0 else key(2, 0, value) if kind == 2 else key(kind, 0, 0, value)]
 
 
-def sort_by_priority(terms: list[str]) -> list[str]:
-    return sorted(terms, key=lambda t: priority_key(parse(t)))
+def sort_by_priority(terms: DataFrame, column: str = "term") -> DataFrame:
+    """Rows by the priority of a term."""
+    return terms.orderBy(priority_order(F.col(column)))
 
 
 def in_order(atoms: DataFrame) -> DataFrame:

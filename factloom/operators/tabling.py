@@ -1,4 +1,4 @@
-"""Tabling: results of patterns kept by pattern and version of the space, if they took long enough and are small enough."""
+"""Tabling: results of patterns kept by pattern and space, if they took long enough and are small enough."""
 
 import time
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from factloom.session import cut
 from factloom.space import Space
-from factloom.terms import canon, parse, render
+from factloom.terms import canon, parse, render, variables
 
 
 class Tables:
@@ -17,10 +17,10 @@ class Tables:
 
     def query(self, space: Space, pattern: str) -> DataFrame:
         term = parse(pattern)
-        key = (render(canon(term)), space.version, id(space.atoms))
+        key = (render(canon(term)), space.id)
         if key in self.kept:
             self.hits += 1
-            return self.kept[key].toDF(*space.query(pattern).columns)
+            return self.kept[key].toDF(*(v.name for v in variables(term)))
         began = time.monotonic()
         rows = space.query(pattern)
         if not rows.columns:
@@ -32,14 +32,16 @@ class Tables:
 
 
 class Prepared:
-    """A pattern compiled once, to be run on many spaces."""
+    """A pattern read once, to be run on many spaces; its plan on a space is kept while that space is asked again."""
 
     def __init__(self, pattern: str):
-        parse(pattern)
-        self.pattern = pattern
+        self.pattern, self.term = pattern, parse(pattern)
+        self._space, self._plan = None, None
 
     def query(self, space: Space) -> DataFrame:
-        return space.query(self.pattern)
+        if self._space != space.id:
+            self._space, self._plan = space.id, space.query(self.pattern)
+        return self._plan
 
     def count(self, space: Space) -> int:
         return space.count_matches(self.pattern)

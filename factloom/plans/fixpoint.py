@@ -3,24 +3,26 @@
 Every round is one job that ends in a written table, so lineage stays short and a lost executor costs one round at most.
 """
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import cut
+from factloom.session import Parts, cut
 
 
 def semi_naive(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], fuel: int | None = None) -> DataFrame:
-    """The least set that holds `seed` and step(delta, all): only the last round's new rows are matched."""
-    every = delta = cut(seed.distinct())
-    rounds = 0
+    """The least set that holds `seed` and step(delta, all): only the last round's new rows are matched, and only they are written."""
+    every = Parts(seed.distinct())
+    delta, rounds = every.part(0), 0
     while fuel is None or rounds < fuel:
-        delta = cut(step(delta, every).select(*every.columns).distinct().join(every, every.columns, "left_anti"))
+        known = every.all()
+        delta = every.append(step(delta, known).select(*known.columns).distinct().join(known, known.columns, "left_anti"))
+        rounds += 1
         if delta.isEmpty():
             break
-        every, rounds = cut(every.unionByName(delta)), rounds + 1
-    return every
+    return every.all()
 
 
 def naive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], fuel: int | None = None) -> DataFrame:
@@ -35,41 +37,40 @@ def naive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], fuel: int | N
 
 
 def closure(edges: DataFrame, doubling: bool = True) -> DataFrame:
-    """(a, b) wherever b is reached from a. With doubling, new paths meet all paths: rounds grow with the log of path length."""
+    """(a, b) wherever b is reached from a. With doubling rounds grow with the log of path length: the new pairs are those whose shortest path
+    is longer than half of what is known, and any pair twice as far begins with one of them.
+    """
     edges = edges.select("a", "b")
 
     def step(delta, every):
-        base = every if doubling else edges
-        d, e = delta.alias("d"), base.alias("e")
-        ahead = d.join(e, F.col("d.b") == F.col("e.a")).select(F.col("d.a").alias("a"), F.col("e.b").alias("b"))
-        if not doubling:
-            return ahead
-        behind = e.join(d, F.col("e.b") == F.col("d.a")).select(F.col("e.a").alias("a"), F.col("d.b").alias("b"))
-        return ahead.unionByName(behind)
+        d, e = delta.alias("d"), (every if doubling else edges).alias("e")
+        return d.join(e, F.col("d.b") == F.col("e.a")).select(F.col("d.a").alias("a"), F.col("e.b").alias("b"))
 
     return semi_naive(edges, step)
 
 
-def recursive_closure(edges: DataFrame) -> DataFrame:
-    """The same by a recursive query, for acyclic edges: one job."""
-    edges.createOrReplaceTempView("_factloom_edges")
+def recursive_closure(edges: DataFrame, levels: int = 10_000) -> DataFrame:
+    """The same by a recursive query, for acyclic edges with paths of up to `levels` edges: one job. Paths are listed before pairs are taken, so
+    graphs where many paths lead from one node to another are better closed by closure().
+    """
+    view = f"_factloom_edges_{uuid.uuid4().hex}"
+    edges.createOrReplaceTempView(view)
     return edges.sparkSession.sql(
-        "WITH RECURSIVE p(a, b) AS (SELECT a, b FROM _factloom_edges UNION ALL SELECT p.a, e.b FROM p JOIN _factloom_edges e ON p.b = e.a) SELECT DISTINCT a, b FROM p"
+        f"WITH RECURSIVE p(a, b) MAX RECURSION LEVEL {levels} AS (SELECT a, b FROM {view} UNION ALL SELECT p.a, e.b FROM p JOIN {view} e ON p.b = e.a) SELECT DISTINCT a, b FROM p"
     )
 
 
 def layers(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
-    """(node, depth): breadth-first search from `start` (node); each node once, in the first layer that meets it."""
-    seen = frontier = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
-    at = 0
+    """(node, depth): breadth-first search from `start` (node); each node once, in the first layer that meets it. A layer is written once."""
+    seen = Parts(start.select("node").distinct().withColumn("depth", F.lit(0)))
+    frontier, at = seen.part(0), 0
     while depth is None or at < depth:
         at += 1
         ahead = frontier.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
-        frontier = cut(ahead.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(at)))
+        frontier = seen.append(ahead.join(seen.all().select("node"), "node", "left_anti").withColumn("depth", F.lit(at)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+    return seen.all()
 
 
 def meet(edges: DataFrame, start: DataFrame, goal: DataFrame, half: int) -> DataFrame:
@@ -80,13 +81,23 @@ def meet(edges: DataFrame, start: DataFrame, goal: DataFrame, half: int) -> Data
     return f.join(b, "node").withColumn("total", F.col("forward") + F.col("backward"))
 
 
-def reduce_terms(equations: DataFrame, terms: DataFrame, fuel: int = 64) -> DataFrame:
-    """(term, normal): what flat equations (lhs, rhs) rewrite each term to, all branches, where no equation applies any more."""
-    now = cut(terms.select("term", F.col("term").alias("normal")).distinct())
-    done = now.limit(0)
-    for _ in range(fuel):
-        done = cut(done.unionByName(now.join(equations, F.col("normal") == F.col("lhs"), "left_anti")).distinct())
-        now = cut(now.join(equations, F.col("normal") == F.col("lhs")).select("term", F.col("rhs").alias("normal")).distinct())
-        if now.isEmpty():
+def reduce_terms(equations: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, normal): what flat equations (lhs, rhs) rewrite each term to, all branches, where no equation applies any more.
+
+    Steps are joined with themselves, so rounds grow with the log of a rewriting's length and a chain keeps one row for each term. What only
+    rewrites in a circle has no normal form.
+    """
+    edges = cut(equations.select(F.col("lhs").alias("a"), F.col("rhs").alias("b")).distinct())
+    ends = edges.select(F.col("b").alias("a")).unionByName(terms.select(F.col("term").alias("a"))).distinct().join(edges, "a", "left_anti").select("a", F.col("a").alias("b"))
+    ends = cut(ends)
+    step, size = cut(edges.unionByName(ends)), None
+    while True:
+        left = step.join(ends.select("a"), step["b"] == ends["a"], "left_anti")
+        was, size = size, (left.count(), step.count())
+        if not size[0] or size == was and step.exceptAll(before).isEmpty():
             break
-    return done
+        before = step
+        x, y = step.alias("x"), step.alias("y")
+        step = cut(x.join(y, F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b")).distinct())
+    done = step.join(ends.select(F.col("a").alias("b")), "b", "left_semi")
+    return terms.select(F.col("term").alias("a")).distinct().join(done, "a").select(F.col("a").alias("term"), F.col("b").alias("normal"))

@@ -1,7 +1,8 @@
 """Programs of rules: (exec PRIORITY PATTERNS TEMPLATES), rewritten to tables and fired one by one.
 
 PATTERNS is (, p …) or (I (BTM p) (ACT name p) …). TEMPLATES is (, t …) or (O sink …), the sinks being
-(+ t), (- t), (pure t $v expression), (guard (table key) fact), (choose (index key) witness), (ACT name t), and the folds (count t $v),
+(+ t), (- t), (pure t $v expression), (guard (table key [bound]) fact), (choose (index key) witness), (ACT name t),
+(tensor-op-f32 (op …) (inputs …) (output (name …)) (from p …) (backend …)), and the folds (count t $v),
 (sum t $v $x), (min t $v $x), (max t $v $x), (and t $v $x), which bind $v over all matches with equal other values of t.
 A firing takes the rule out whether or not anything matched; it sees the space as before, rules included. Rules of priority (quiesce …)
 wait until no other rule is left.
@@ -12,12 +13,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.scalar import expression
+from factloom.functions.scalar import REGISTRY, expression
 from factloom.operators.guard import guard
 from factloom.operators.order import rule_order
-from factloom.session import cut
+from factloom.operators.tensor import add, einsum, unary
+from factloom.session import Parts, cut
 from factloom.space import Space, atoms_of, instantiate, natural_join
-from factloom.terms import canon, parse, render, variables
+from factloom.terms import Var, canon, parse, render, variables
+from factloom.unify import canonical, pair_up, unified
 
 FOLDS = {"count": lambda x: F.count("*"), "sum": lambda x: F.sum(x.cast("bigint")), "min": lambda x: F.min(x.cast("bigint")), "max": lambda x: F.max(x.cast("bigint")), "and": lambda x: F.min(x == "true")}
 
@@ -28,7 +31,9 @@ class Program:
 
     def rules(self) -> list:
         """The rules in firing order: the text of a program, not data."""
-        found = [parse(r.term) for r in self.space.atoms.where("functor = 'exec' and arity = 4").select("term").collect()]
+        if self.space.generic is None:
+            return []
+        found = [parse(r.term) for r in self.space.generic.where("functor = 'exec' and arity = 4").select("term").collect()]
         waits = lambda rule: isinstance(rule[1], tuple) and rule[1][:1] == ("quiesce",)
         return sorted(found, key=lambda rule: (waits(rule), rule_order(rule[1]), render(rule)))
 
@@ -72,7 +77,7 @@ class Program:
             return self._add(space, instantiate(rows, args))
         if kind == "-":
             gone = instantiate(rows, args).select(F.col("text").alias("term"))
-            return space._next(space.atoms.join(gone, "term", "left_anti"))
+            return space.without(gone)
         if kind == "pure":
             template, var, value = args
             return self._add(space, instantiate(rows.withColumn(var.name, expression(value).cast("string")), [template]))
@@ -82,11 +87,16 @@ class Program:
             folded = rows.groupBy(*keys).agg(FOLDS[kind](F.col(of[0].name) if of else None).cast("string").alias(var.name))
             return self._add(space, instantiate(folded.withColumn("_one", F.lit(1)), [template]))
         if kind == "guard":
-            (table, key), fact = args
-            pairs = self._pairs(rows, (key, fact)).dropDuplicates(["key"])
-            stored = space.query(f"({table} $key)").select("key")
-            left = guard(pairs, stored)
+            # before the firing: what this one writes is held against itself
+            (table, key, *bound), fact = args
+            pairs = self._pairs(rows, (key, fact, *bound))
+            stored = self.space.query(f"({table} $key $bound)" if bound else f"({table} $key)")
+            if bound:
+                pairs, stored = (x.withColumn("bound", F.col("bound").cast("bigint")) for x in (pairs, stored))
+            left = guard(pairs, stored, bound="bound" if bound else None)
             return self._add(space, left.select(F.col("fact").alias("text")))
+        if kind == "tensor-op-f32":
+            return self._tensor(space, rows, *args)
         if kind == "choose":
             (index, key), witness = args
             pairs = self._pairs(rows, (key, witness))
@@ -101,12 +111,35 @@ class Program:
             return space
         raise ValueError(f"no sink {kind}")
 
+    def _tensor(self, space: Space, rows: DataFrame, *args) -> Space:
+        """(op einsum SPEC | unary NAME | add), (inputs …), (output (name …)), (from pattern …): patterns hold a tensor's indices and, last, its value."""
+        part = {a[0]: a[1:] for a in args}
+        if rows.isEmpty():
+            return space
+        tensors = []
+        for p in part["from"]:
+            found = self.space.query(render(p))
+            *index, value = found.columns
+            tensors.append(found.select(*(F.col(f"`{c}`").cast("bigint").alias(c) for c in index), F.col(f"`{value}`").cast("float").alias("v")))
+        op, *how = part["op"]
+        if op == "einsum":
+            made = einsum(how[0], *tensors, dtype="float")
+        elif op == "unary":
+            made = unary(lambda v: REGISTRY[f"{how[0]}_f32"](v), tensors[0], dtype="float")
+        elif op == "add":
+            made = add(tensors[0], tensors[1].toDF(*tensors[0].columns), dtype="float")
+        else:
+            raise ValueError(f"no tensor operation {op}")
+        return space.union(Space.from_columns(part["output"][0][0], made, unique=True))
+
     @staticmethod
     def _pairs(rows: DataFrame, terms) -> DataFrame:
         both = instantiate(rows, [("pair", *terms)])
         parts = atoms_of(both).where("functor = 'pair'")
         at = lambda i: F.element_at("node", F.lit(str(i)))["sub"]
-        return parts.select(at(1).alias("key"), at(2).alias("fact"))
+        names = ["key", "fact", "bound"][: len(terms)]
+        # variables are numbered over the whole pair: on their own, key and fact are numbered anew
+        return parts.select(*(canonical(at(i)).alias(name) for i, name in enumerate(names, 1)))
 
     @staticmethod
     def _add(space: Space, texts: DataFrame) -> Space:
@@ -126,17 +159,21 @@ def scheduled(bodies: list, space: Space, fuel: int, run) -> Space:
 
 def rewrite(space: Space, term: str, fuel: int = 64) -> list[str]:
     """What (= lhs rhs) equations with variables rewrite a term to, outermost, all branches; what none matches any more."""
-    frontier, normal = [render(canon(parse(term)))], set()
-    seen = set(frontier)
+    found = rewrite_all(space, space.spark.createDataFrame([(term,)], "term string"), fuel)
+    return sorted(r.normal for r in found.collect())
+
+
+def rewrite_all(space: Space, terms: DataFrame, fuel: int = 64) -> DataFrame:
+    """(term, normal) for each of `terms`. A round unifies all terms reached with the equations that may fit, and only new ones go on."""
+    equations = cut(space.query("(= $lhs $rhs)").select(F.format_string("(= %s %s)", "lhs", "rhs").alias("_eq"), "lhs"))
+    seen = Parts(terms.select(canonical(F.col("term")).alias("term")).distinct().select("term", F.col("term").alias("at")))
+    frontier, done = seen.part(0), []
     for _ in range(fuel):
-        following = []
-        for t in frontier:
-            rows = [r["_r"] for r in space.query(f"(= {t} $_r)").distinct().collect()]
-            if not rows:
-                normal.add(t)
-            following += [r for r in rows if r not in seen]
-            seen.update(rows)
-        if not following:
+        # the row's own term keeps its variables in `was`
+        met = pair_up(frontier, "at", equations, "lhs").withColumn("was", F.col("at"))
+        made = cut(unified(met, ("=", Var("at"), Var("_to")), [Var("at")], [Var("_to")], "_eq").select("term", "was", F.col("_to").alias("to")).distinct())
+        done.append(cut(frontier.join(made.select("term", F.col("was").alias("at")), ["term", "at"], "left_anti")))
+        frontier = seen.append(made.select("term", canonical(F.col("to")).alias("at")).distinct().join(seen.all(), ["term", "at"], "left_anti"))
+        if frontier.isEmpty():
             break
-        frontier = following
-    return sorted(normal)
+    return reduce(DataFrame.unionByName, done).select("term", F.col("at").alias("normal")).distinct()

@@ -38,6 +38,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/factloom-{uuid.uuid4().hex}"
 
 
+class Parts:
+    """A table that grows: each part is written once, and what is read is the list of all parts."""
+
+    def __init__(self, df: DataFrame):
+        self.root, self.schema, self.spark, self.n = scratch_dir(df.sparkSession), df.schema, df.sparkSession, 0
+        self.append(df)
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Writes the rows and returns them as stored."""
+        df.select(*(f"`{c}`" for c in self.schema.names)).write.parquet(f"{self.root}/{self.n}")
+        self.n += 1
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{self.n - 1}")
+
+    def part(self, i: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{i}")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{i}" for i in range(self.n)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: computed once, no lineage.
 
@@ -46,4 +66,6 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._factloom_stored = True
+    return stored

@@ -78,11 +78,21 @@ def substitute(term, bindings: dict):
     return tuple(substitute(x, bindings) for x in term) if isinstance(term, tuple) else term
 
 
+def symbol(text: str) -> str:
+    """The symbol of a text, in quotes if it holds white space, brackets and the like."""
+    return text if re.fullmatch(r'[^\s();"$][^\s();"]*', text) else '"' + re.sub(r'(["\\])', r"\\\1", text) + '"'
+
+
+def raw(sym: str) -> str:
+    """The text of a symbol."""
+    return re.sub(r"\\(.)", r"\1", sym[1:-1], flags=re.S) if len(sym) > 1 and sym[0] == sym[-1] == '"' else sym
+
+
 def valid(term) -> bool:
     """The envelope: symbols of 1 to 63 bytes, at most 63 children."""
     if isinstance(term, tuple):
         return len(term) <= MAX_ARITY and all(map(valid, term))
-    return isinstance(term, Var) or 1 <= len(term.encode()) <= MAX_BYTES
+    return isinstance(term, Var) or 1 <= len(raw(term).encode()) <= MAX_BYTES
 
 
 def nodes(term, path: str = ""):
@@ -132,9 +142,9 @@ def peano_depth(term) -> int | None:
 
 
 def priority_key(term):
-    """Sorts numbers by value, then symbols, expressions (Peano numerals by depth first, tuples item by item) and variables."""
+    """Sorts numbers by value, then symbols, expressions (Peano numerals by depth first, tuples item by item) and variables by name."""
     if isinstance(term, Var):
-        return (3, 0, "", ())
+        return (3, 0, term.name, ())
     if isinstance(term, tuple):
         depth = peano_depth(term)
         return (2, 0, depth, ()) if depth is not None else (2, 1, 0, tuple(map(priority_key, term)))

@@ -63,11 +63,25 @@ def test_streamed_closure_equals_batch(spark, tmp_path):
     edges = [(1, 2), (3, 4), (2, 3), (4, 1), (7, 8)]
     for i, e in enumerate(edges):
         spark.createDataFrame([e], "a int, b int").write.mode("append").parquet(str(tmp_path / "in"))
-    kept = StreamedClosure()
-    stream = spark.readStream.schema("a int, b int").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    kept.start(stream, str(tmp_path / "check")).awaitTermination()
-    want = {tuple(r) for r in closure(spark.createDataFrame(edges, "a int, b int")).collect()}
-    assert {tuple(r) for r in kept.paths.collect()} == want
+
+    def run():
+        """A driver that starts anew: nothing but the folders is left of the last."""
+        kept = StreamedClosure(spark, str(tmp_path / "closure"))
+        stream = spark.readStream.schema("a int, b int").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+        kept.start(stream, str(tmp_path / "check")).awaitTermination()
+        want = {tuple(r) for r in closure(spark.createDataFrame(edges, "a int, b int")).collect()}
+        assert sorted(tuple(r) for r in kept.paths.collect()) == sorted(want)
+        return kept
+
+    run()
+    edges.append((8, 3))
+    spark.createDataFrame([edges[-1]], "a int, b int").write.mode("append").parquet(str(tmp_path / "in"))
+    kept = run()
+    # the last batch again
+    last = max(r.batch for r in spark.read.parquet(kept.root).select("batch").distinct().collect())
+    before = sorted(tuple(r) for r in kept.paths.collect())
+    kept.absorb(spark.createDataFrame([edges[-1]], "a int, b int"), last)
+    assert sorted(tuple(r) for r in kept.paths.collect()) == before
 
 
 def test_folds_equal_listing(spark):
