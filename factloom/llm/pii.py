@@ -33,8 +33,8 @@ CARD = r"[0-9](?:[\x20-]?+[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 SUPPORT, ALPHA = 2, 1.1
-#: Up to so many terms go to all tasks; more are met by shuffle.
-SENT = 500_000
+#: Up to so many terms go to all tasks; more are met by shuffle. Up to so many terms of a text are compared with each of its words.
+SENT, FEW = 500_000, 16
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 LETTER = rf"[\p{{L}}\p{{M}}'_\-&&[^{UNSPACED}]]"
 #: Addresses and numbers, the first kind of match, are no terms.
@@ -128,7 +128,8 @@ def _disclosing(first: DataFrame, docs: DataFrame, taxonomy: DataFrame | None) -
     if mentions.isEmpty():
         return None
     words = _with_broader(seen.select("h1", "h2", F.explode("terms").alias("term")), above)
-    shared = words.groupBy("term").agg(F.count("*").alias("near")).where(F.col("near") >= SUPPORT)
+    # counts are written before joins, so that these may split a hot term
+    shared = cut(words.groupBy("term").agg(F.count("*").alias("near")).where(F.col("near") >= SUPPORT))
     pairs = mentions.join(words, ["h1", "h2"])
     both = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).withColumn("of_entity", F.col("entity.of_entity"))
     n = first.select("h1", "h2").distinct().count()
@@ -146,8 +147,8 @@ def _disclosing(first: DataFrame, docs: DataFrame, taxonomy: DataFrame | None) -
     wanted = F.broadcast(wanted) if both.count() <= SENT else wanted
     words = _with_broader(docs.select("h1", "h2", F.explode(_terms(F.col("text"))).alias("term")), above)
     held = cut(words.join(wanted, "term").distinct())
-    of_term = held.groupBy("term").agg(F.count("*").alias("of_term"))
-    told = _generalised(both.join(of_term, "term").where(telling("of_term")).select("term").distinct(), taxonomy)
+    of_term = cut(held.groupBy("term").agg(F.count("*").alias("of_term")))
+    told = cut(_generalised(both.join(of_term, "term").where(telling("of_term")).select("term").distinct(), taxonomy))
     out = cut(held.join(told, "term").groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("term", "general"))).alias("terms")))
     return None if out.isEmpty() else out
 
@@ -160,7 +161,7 @@ def _term_spans(text: Column, terms: Column) -> Column:
     pairs = F.flatten(F.transform(find(text, RUN, "term"), pair))
 
     def held(places, told):
-        """Sorted by key, each term stands before its places."""
+        """A few terms are looked for one by one; of many, sorted by key, each stands before its places."""
         asked = F.transform(told, lambda t: F.struct(t["term"].alias("key"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), t["general"].alias("general")))
         here = F.transform(places, lambda s: F.struct(s["key"], s["start"], s["end"], F.lit("").alias("general")))
 
@@ -169,7 +170,12 @@ def _term_spans(text: Column, terms: Column) -> Column:
             hits = F.filter(F.arrays_zip(every.alias("s"), last.alias("t")), lambda x: (x["s"]["start"] >= 0) & (x["s"]["key"] == x["t"]["key"]))
             return F.array_sort(F.transform(hits, lambda x: F.struct(x["s"]["start"], x["s"]["end"], F.lit("term").alias("kind"), x["t"]["general"].alias("value"))).cast(SPAN))
 
-        return let(F.array_sort(F.concat(asked, here)), match)
+        def few(names):
+            hits = F.filter(places, lambda s: F.array_contains(names, s["key"]))
+            general = lambda s: F.element_at(F.filter(told, lambda t: t["term"] == s["key"]), 1)["general"]
+            return F.transform(hits, lambda s: F.struct(s["start"], s["end"], F.lit("term").alias("kind"), general(s).alias("value"))).cast(SPAN)
+
+        return F.when(F.size(told) <= FEW, let(F.transform(told, lambda t: t["term"]), few)).otherwise(let(F.array_sort(F.concat(asked, here)), match))
 
     def merged(spans):
         reach = before(F.transform(spans, lambda s: s["end"]), F.lit(0), F.greatest, "int")
@@ -200,7 +206,10 @@ def detect(docs: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
     # so that only texts with a disclosing term are shuffled
     hit = terms.select("h1", "h2")
     hit = F.broadcast(hit) if hit.count() <= SENT else hit
-    placed = plain.join(hit, ["h1", "h2"], "left_semi").join(terms, ["h1", "h2"]).select("h1", "h2", _term_spans(F.col("text"), F.col("terms")).alias("found")).dropDuplicates(["h1", "h2"])
+    once = plain.join(hit, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).join(terms, ["h1", "h2"])
+    # few bytes but much work: dealt over all partitions, and written before the join with all rows, which may then split a hot text
+    dealt = once.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h1", "h2")
+    placed = cut(dealt.select("h1", "h2", _term_spans(F.col("text"), F.col("terms")).alias("found")))
     spans = F.concat("base", apart(F.coalesce("found", none()), F.col("base")))
     return first.join(placed, ["h1", "h2"], "left").select(*own[:-1], "h1", "h2", "base", spans.cast(SPAN).alias("spans"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,kind:string,value:string>>"
 #: Numbers of a chunk of a running sum; characters of a block of a text.
-CHUNK, BLOCK = 256, 1024
+CHUNK, BLOCK = 64, 1024
 
 
 def none() -> Column:

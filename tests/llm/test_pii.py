@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+from factloom.llm import pii
 from factloom.llm.pii import detect, sanitise, summary
 
 
@@ -108,6 +109,15 @@ def test_disclosing_terms_equal_brute_force(spark):
         assert [(s.start, s.end) for s in r.spans if s.kind == "term"] == want, text
 
 
+def test_few_and_many_terms_give_the_same(spark, monkeypatch):
+    texts = [f"boss@corp.example {' '.join(f'alpha{c} Beta{c}' for c in 'abcdefghij')} 王伟的邮箱 {i}" for i in "xy"] + [f"betaa {c} alphab 王伟 的" for c in "pq"] + [f"none {i}" for i in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id: r.spans for r in summary(detect(df)).collect()}
+    assert want[0].count("term") >= 18
+    monkeypatch.setattr(pii, "FEW", 0), monkeypatch.setattr(pii, "SENT", -1)
+    assert {r.doc_id: r.spans for r in summary(detect(df)).collect()} == want
+
+
 def test_taxonomy_generalises(spark):
     texts = [f"the cardiologist of boss@corp.example was seen {i}" for i in range(3)] + ["a cardiologist alone"]
     texts += [f"a surgeon was seen, plain the of was {w}" for w in ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")] + ["a nobody alone"] * 3
