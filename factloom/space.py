@@ -464,7 +464,7 @@ class Space:
         if self._ground_for(stored):
             tables = [self._match(f, f"_f{i}" if ordered else None) for i, f in enumerate(stored)]
             rows = natural_join(tables) if tables else self.spark.range(1).select()
-            rows = rows.select(*(text_of(F.col(f"`{f.name}`"), f.dataType).alias(f.name) if _is_typed(f) else F.col(f"`{f.name}`") for f in rows.schema.fields))
+            rows = _as_terms(rows)
         else:
             rows = self._join_schematic(stored, ordered)
         rows = self._compute(rows, [f for f in factors if _head(f) in self.functions])
@@ -518,7 +518,7 @@ class Space:
         if self._generic_for(f) or not tables:
             tables.append(self._match_generic(f, fact))
         if len(tables) > 1:
-            tables = [t.select(*(text_of(F.col(f"`{x.name}`"), x.dataType).alias(x.name) if _is_typed(x) else F.col(f"`{x.name}`") for x in t.schema.fields)) for t in tables]
+            tables = [_as_terms(t) for t in tables]
         return reduce(DataFrame.unionByName, tables)
 
     def _match_relation(self, key: Key, f, fact: str | None) -> DataFrame:
@@ -567,8 +567,7 @@ class Space:
         for i, f in enumerate(factors):
             fact = f"_f{i}"
             own = list(variables(f))
-            ground = self._match(f, fact)
-            ground = ground.select(*(text_of(F.col(f"`{x.name}`"), x.dataType).alias(x.name) if _is_typed(x) else F.col(f"`{x.name}`") for x in ground.schema.fields))
+            ground = _as_terms(self._match(f, fact))
             might = self._might(f).withColumnRenamed("term", fact) if self.generic is not None and self._schematic_for(f) else None
             kept = [f"_f{j}" for j in range(i)]
             after = seen + [v for v in own if v not in seen]
@@ -649,6 +648,12 @@ def _is_typed(field: T.StructField) -> bool:
     return not field.metadata.get("term") and not field.name.startswith("_f")
 
 
+def _as_terms(rows: DataFrame, names: set[str] | None = None) -> DataFrame:
+    """Typed columns, all or those named, as terms."""
+    term = lambda f: (text_of(F.col(f"`{f.name}`"), f.dataType) if _is_typed(f) else F.col(f"`{f.name}`")).alias(f.name, metadata=TERM)
+    return rows.select(*(F.col(f"`{f.name}`") if f.name.startswith("_f") or names is not None and f.name not in names else term(f) for f in rows.schema.fields))
+
+
 def _without_cells(term, probes: dict[str, Var]):
     if isinstance(term, tuple):
         return tuple(_without_cells(x, probes) for x in term)
@@ -680,8 +685,7 @@ def _same_types(tables: list[DataFrame]) -> list[DataFrame]:
         for f in t.schema.fields:
             kinds.setdefault(f.name, set()).add((f.dataType.simpleString(), _is_typed(f)))
     mixed = {c for c, k in kinds.items() if len(k) > 1}
-    as_term = lambda f: (text_of(F.col(f"`{f.name}`"), f.dataType) if _is_typed(f) else F.col(f"`{f.name}`")).alias(f.name, metadata=TERM)
-    return [t.select(*(as_term(f) if f.name in mixed else F.col(f"`{f.name}`") for f in t.schema.fields)) if mixed & set(t.columns) else t for t in tables]
+    return [_as_terms(t, mixed) if mixed & set(t.columns) else t for t in tables]
 
 
 def natural_join(tables: list[DataFrame]) -> DataFrame:
