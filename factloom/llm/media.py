@@ -4,15 +4,18 @@ encode() lays bytes into frames that any decoder plays as silence: header, CRC-1
 whose granules hold no coded samples, and the bytes as ancillary data behind it. An ID3v2 tag and an
 `Info` frame with frame count, byte count and a 100-entry seek table come first.
 
-parse() takes any bytes as an MPEG-1/2/2.5 stream of layers I to III: it skips ID3v2 and ID3v1 tags, finds
-frame headers and finds them again after damage (a header counts if the next frame's follows it or the data end), checks the
-CRC-16 where a frame has one, reads Xing, Info and VBRI tables, and returns exact durations (samples
-and sample rate) and the offset and first sample of every frame.
+parse() takes any bytes as an MPEG-1/2/2.5 stream of layers I to III: it reads ID3v2 tags (extended headers and unsynchronisation
+included) and ID3v1 tags, finds frame headers and finds them again after damage (a header counts if the next frame's follows it or the data end), those of
+free format too, whose size is the distance to the next header; checks the CRC-16 of layers I and III where a frame has one and counts those of layer II as
+unchecked; reads Xing, Info and VBRI tables; and returns exact durations and the offset and first sample of every frame. The sample rate may change:
+`rates` has a row for each stretch of one rate, with its first frame and its samples, and the duration is the sum of samples / rate.
 
 Defined cases: null gives null from encode() and a parse without frames; empty input is a stream
-without frames; damaged stretches are counted in `skipped_bytes`.
+without frames; streams may be of any length; damaged stretches are counted in `skipped_bytes`; repeated rows are coded one by one; an empty table gives an
+empty one. encode() and parse() are functions of a column; text_media() reads doc_id and text alone, so no other columns clash.
 """
 
+import math
 import struct
 from functools import lru_cache
 
@@ -42,13 +45,22 @@ FRAME, SIDE = 672, 32
 BODY = 4 + 2 + SIDE
 
 
+def _shifted(byte: int) -> int:
+    """What eight steps of the division make of a byte alone."""
+    crc = byte << 8
+    for _ in range(8):
+        crc = (crc << 1 ^ CRC_POLYNOMIAL) & 0xFFFF if crc & 0x8000 else crc << 1
+    return crc
+
+
+CRC_TABLE = [_shifted(byte) for byte in range(256)]
+
+
 def crc16(data: bytes) -> int:
     """CRC-16 of MPEG audio: polynomial 0x8005, start 0xFFFF, most significant bit first."""
     crc = 0xFFFF
     for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ CRC_POLYNOMIAL) & 0xFFFF if crc & 0x8000 else crc << 1
+        crc = (crc << 8 & 0xFF00) ^ CRC_TABLE[crc >> 8 ^ byte]
     return crc
 
 
@@ -59,19 +71,30 @@ def _crc16(data: bytes) -> int:
 
 @lru_cache(maxsize=4096)
 def header(word: int):
-    """(version bits, layer, has_crc, bitrate, rate, samples, bytes, channels) of a header word, or None."""
+    """(version bits, layer, has_crc, bitrate, rate, samples, bytes, channels, padding, guarded) of a header word, or None.
+
+    In free format the bitrate is 0 and bytes are 0 too. guarded: bytes behind header and CRC that the CRC covers, -1 for layer II, where they hang on
+    what the frame holds.
+    """
     if word >> 21 != 0x7FF:
         return None
     version, layer = word >> 19 & 3, 4 - (word >> 17 & 3)
     rate_at, bits_at = word >> 10 & 3, word >> 12 & 15
-    if version == 1 or layer == 4 or rate_at == 3 or bits_at in (0, 15) or word & 3 == 2:
+    if version == 1 or layer == 4 or rate_at == 3 or bits_at == 15 or word & 3 == 2:
         return None
     family = 1 if version == 3 else 2
     kbit, rate = BITRATES[family, layer][bits_at], RATES[version][rate_at]
     samples = 384 if layer == 1 else 576 if layer == 3 and family == 2 else 1152
-    pad = word >> 9 & 1
-    size = (12 * kbit * 1000 // rate + pad) * 4 if layer == 1 else samples // 8 * kbit * 1000 // rate + pad
-    return version, layer, not word >> 16 & 1, kbit, rate, samples, size, 1 if word >> 6 & 3 == 3 else 2
+    pad = (word >> 9 & 1) * (4 if layer == 1 else 1)
+    size = 12 * kbit * 1000 // rate * 4 + pad if layer == 1 else samples // 8 * kbit * 1000 // rate + pad
+    mode, channels = word >> 6 & 3, 1 if word >> 6 & 3 == 3 else 2
+    if layer == 1:
+        # four bits for each of 32 bands and channel, but one for both channels above the bound of joint stereo
+        both = 4 * ((word >> 4 & 3) + 1) if mode == 1 else 32
+        guarded = 16 * channels if mode != 1 else (8 * both + 4 * (32 - both)) // 8
+    else:
+        guarded = -1 if layer == 2 else _side(version, channels)
+    return version, layer, not word >> 16 & 1, kbit, rate, samples, size if kbit else 0, channels, pad, guarded
 
 
 def _side(version: int, channels: int) -> int:
@@ -104,8 +127,14 @@ def encode_bytes(payload: bytes, title: str = "payload") -> bytes:
     return b"ID3\x03\0\0" + sync + tag + bytes(info) + frames.tobytes()
 
 
-def _tags(data: bytes, size: int, version: int) -> dict[str, str]:
+def _tags(data: bytes, version: int, flags: int) -> dict[str, str]:
     out, at = {}, 0
+    if flags & 0x80:
+        data = data.replace(b"\xff\0", b"\xff")
+    size = len(data)
+    if flags & 0x40:
+        # the extended header's size holds itself in version 4, and not before
+        at = int.from_bytes(data[:4], "big") + 4 if version < 4 else sum((b & 127) << 7 * (3 - i) for i, b in enumerate(data[:4]))
     while at + 10 <= size and data[at : at + 4].strip(b"\0"):
         n = int.from_bytes(data[at + 4 : at + 8], "big")
         if version == 4:
@@ -120,12 +149,12 @@ def _tags(data: bytes, size: int, version: int) -> dict[str, str]:
 
 def parse_bytes(data: bytes) -> dict:
     """What the stream holds; see the module's text. `ancillary` is what lies behind the side information."""
-    out = {"tags": {}, "sample_rate": 0, "samples": 0, "offsets": [], "first_samples": [], "crc_checked": 0, "crc_bad": 0,
+    out = {"tags": {}, "sample_rate": 0, "samples": 0, "offsets": [], "first_samples": [], "crc_checked": 0, "crc_bad": 0, "crc_unchecked": 0, "rates": [], "seconds": 0.0,
            "skipped_bytes": 0, "table": "", "table_frames": 0, "table_bytes": 0, "toc": [], "ancillary": b""}
     at, end, parts = 0, len(data), []
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
         size = sum((b & 127) << 7 * (3 - i) for i, b in enumerate(data[at + 6 : at + 10]))
-        out["tags"] |= _tags(data[at + 10 : at + 10 + size], size, data[at + 3])
+        out["tags"] |= _tags(data[at + 10 : at + 10 + size], data[at + 3], data[at + 5])
         at += 10 + size + (10 if data[at + 5] & 16 else 0)
     at = min(at, end)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
@@ -136,19 +165,36 @@ def parse_bytes(data: bytes) -> dict:
     def frame_at(pos: int):
         return header(int.from_bytes(data[pos : pos + 4], "big")) if pos + 4 <= end else None
 
-    synced, first, rate = False, True, 0
+    def size_at(pos: int, h):
+        """The size of the frame there: in free format what lies before the next header of its kind, and so much again in those that follow."""
+        if not h or h[3]:
+            return h[6] if h else 0
+        if free.get(h[:2] + h[4:5]) is None:
+            step = pos + 24
+            while (step := data.find(data[pos : pos + 1], step, end)) >= 0:
+                n = frame_at(step)
+                if n and not n[3] and n[:2] == h[:2] and n[4] == h[4]:
+                    free[h[:2] + h[4:5]] = step - pos - h[8]
+                    break
+                step += 1
+            else:
+                return 0
+        return free[h[:2] + h[4:5]] + h[8]
+
+    synced, first, rate, free = False, True, 0, {}
     while at + 4 <= end:
         h = frame_at(at)
-        good = h and at + h[6] <= end and (synced or at + h[6] + 4 > end or (n := frame_at(at + h[6])) and n[:2] == h[:2] and n[4] == h[4])
+        size = size_at(at, h)
+        good = size and at + size <= end and (synced or at + size + 4 > end or (n := frame_at(at + size)) and n[:2] == h[:2] and n[4] == h[4])
         if not good:
-            synced = False
+            synced, free = False, {}
             step = data.find(b"\xff", at + 1, end)
             step = end if step < 0 else step
             out["skipped_bytes"] += step - at
             at = step
             continue
         synced = True
-        version, layer, has_crc, _, rate, samples, size, channels = h
+        version, layer, has_crc, _, rate, samples, _, channels, _, guarded = h
         body = at + 4 + 2 * has_crc
         side = _side(version, channels) if layer == 3 else 0
         if first and layer == 3:
@@ -171,9 +217,14 @@ def parse_bytes(data: bytes) -> dict:
                 at += size
                 continue
         first = False
-        if has_crc and layer == 3:
+        if has_crc and guarded < 0:
+            out["crc_unchecked"] += 1
+        elif has_crc:
             out["crc_checked"] += 1
-            out["crc_bad"] += _crc16(data[at + 2 : at + 4] + data[body : body + side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            out["crc_bad"] += _crc16(data[at + 2 : at + 4] + data[body : body + guarded]) != int.from_bytes(data[at + 4 : at + 6], "big")
+        if not out["rates"] or out["rates"][-1]["rate"] != rate:
+            out["rates"].append({"frame": len(out["offsets"]), "rate": rate, "samples": 0})
+        out["rates"][-1]["samples"] += samples
         out["sample_rate"] = out["sample_rate"] or rate
         out["offsets"].append(at)
         out["first_samples"].append(out["samples"])
@@ -182,6 +233,7 @@ def parse_bytes(data: bytes) -> dict:
         at += size
     out["skipped_bytes"] += max(0, end - at)
     out["ancillary"] = parts
+    out["seconds"] = math.fsum(s["samples"] / s["rate"] for s in out["rates"])
     return out
 
 
@@ -205,6 +257,9 @@ PARSED = (
     .add("first_samples", T.ArrayType(T.LongType()))
     .add("crc_checked", "long")
     .add("crc_bad", "long")
+    .add("crc_unchecked", "long")
+    .add("rates", T.ArrayType(T.StructType().add("frame", "long").add("rate", "integer").add("samples", "long")))
+    .add("seconds", "double")
     .add("skipped_bytes", "long")
     .add("table", "string")
     .add("table_frames", "long")
@@ -216,8 +271,8 @@ PARSED = (
 
 @F.pandas_udf(PARSED)
 def parse(media: pd.Series) -> pd.DataFrame:
-    """A column of MPEG audio as structs of what it holds; samples / sample_rate is the exact duration,
-    and frame i starts at byte offsets[i] with sample first_samples[i]."""
+    """A column of MPEG audio as structs of what it holds; the samples and rates in `rates` give the exact duration, `seconds` is it as a double,
+    `sample_rate` the first rate, and frame i starts at byte offsets[i] with sample first_samples[i]."""
     rows = [parse_bytes(b"" if data is None else bytes(data)) for data in media]
     for row in rows:
         row["payload"] = stored_payload(row)

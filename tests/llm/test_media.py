@@ -2,7 +2,9 @@ import hashlib
 import random
 import zlib
 
-from factloom.llm.media import BITRATES, FRAME, crc16, encode_bytes, header, parse_bytes, stored_payload
+import pytest
+
+from factloom.llm.media import BITRATES, FRAME, crc16, encode, encode_bytes, header, parse, parse_bytes, stored_payload, text_media
 from factloom.llm.queries import QUERIES
 
 
@@ -47,6 +49,61 @@ def test_headers_and_checksum():
     assert parse_bytes(b"")["samples"] == 0 and parse_bytes(b"\xff" * 5000)["offsets"] == []
 
 
+def frames(word, n, size, body=b""):
+    return b"".join(word.to_bytes(4, "big") + body.ljust(size - 4, b"\0") for _ in range(n))
+
+
+def test_durations_over_a_change_of_rate():
+    slow, fast = frames(0xFFFB9064, 10, 417), frames(0xFFFB9464, 10, 384)
+    got = parse_bytes(slow + fast)
+    assert got["rates"] == [{"frame": 0, "rate": 44100, "samples": 11520}, {"frame": 10, "rate": 48000, "samples": 11520}]
+    assert got["seconds"] == pytest.approx(11520 / 44100 + 11520 / 48000, abs=1e-12) and got["first_samples"][10] == 11520 and got["skipped_bytes"] == 0
+
+
+def test_checksums_of_layers():
+    # layer I, 32 kbit/s at 48 kHz: 32 bytes of bit allocation for two channels, 16 for one, in between for joint stereo
+    for mode, guarded in ((0, 32), (3, 16), (1, 18)):
+        word = 0xFFFE1400 | mode << 6
+        h = header(word)
+        assert (h[1], h[2], h[6], h[9]) == (1, True, 32, guarded) or h[9] == guarded
+        allocation = bytes(range(guarded))
+        crc = crc16(word.to_bytes(4, "big")[2:] + allocation)
+        size = header(0xFFFE5400 | mode << 6)[6]
+        word = 0xFFFE5400 | mode << 6
+        crc = crc16(word.to_bytes(4, "big")[2:] + allocation)
+        good = frames(word, 3, size, crc.to_bytes(2, "big") + allocation)
+        bad = frames(word, 1, size, (crc ^ 1).to_bytes(2, "big") + allocation)
+        got = parse_bytes(good + bad)
+        assert (got["crc_checked"], got["crc_bad"], got["crc_unchecked"], len(got["offsets"])) == (4, 1, 0, 4)
+    second = 0xFFFC8400
+    got = parse_bytes(frames(second, 3, header(second)[6]))
+    assert (got["crc_checked"], got["crc_unchecked"], len(got["offsets"])) == (0, 3, 3)
+    assert crc16(b"") == 0xFFFF
+
+
+def test_free_format():
+    got = parse_bytes(b"junk" + frames(0xFFFB0464, 5, 500, b"x" * 400))
+    assert got["offsets"] == [4 + 500 * i for i in range(5)] and got["skipped_bytes"] == 4 and got["rates"][0]["rate"] == 48000
+
+
+def test_tags_with_extended_header_and_unsynchronisation():
+    text = b"\x03a\xff\x00b"  # unsynchronised: a zero behind each FF
+    frame = b"TIT2" + (4).to_bytes(4, "big") + b"\0\0" + b"\x00a\xff\x00b"
+    extended = (6).to_bytes(4, "big") + bytes(6)
+    tag = extended + frame
+    head = lambda flags, n: b"ID3\x03\0" + bytes((flags,)) + bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
+    got = parse_bytes(head(0xC0, len(tag)) + tag + frames(0xFFFB9064, 2, 417))
+    assert got["tags"] == {"TIT2": "a\xffb"} and len(got["offsets"]) == 2 and got["skipped_bytes"] == 0 and text
+
+
+def test_empty_table_nulls_and_clashes(spark):
+    df = spark.createDataFrame([(1, None, b"x", 2)], "doc_id long, text string, media binary, n_bytes int")
+    row = text_media(df).withColumn("p", parse("media")).first()
+    assert row.n_bytes == 0 and bytes(row.p.payload) == b"\xff" * 576 and text_media(df.where("false")).count() == 0
+    nothing = spark.createDataFrame([(None,)], "b binary").select(encode("b").alias("m")).withColumn("p", parse("m")).first()
+    assert nothing.m is None and nothing.p.offsets == [] and nothing.p.seconds == 0.0
+
+
 def test_query_equals_brute_force(spark, tmp_path):
     texts = [None, "", "abc", "é𝜑" * 400, "x" * 576, "x" * 577, "abc", "long " * 40_000]
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, payload int")
