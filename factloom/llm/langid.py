@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.batches import texts_of
-from factloom.llm.spans import fresh
+from factloom.llm.columns import fresh
 
 DIM, N = 1024, 3
 MAX_LANGUAGES = 2000

@@ -7,12 +7,14 @@ whose Bernoulli copies come nearest the target, all of them summed in the same a
 
 Defined cases: a null text has size 0; a null source is a source of its own and comes last; a null
 doc_id hashes as the string `null`; rows that repeat a doc_id decide alike; an empty table gives an
-empty result; a source without words gets target 0 and no copies.
+empty result; a source without words gets target 0 and no copies; texts may be of any length and are counted whole; of seeds that
+come as near the first is taken. mix() reads doc_id, source and text alone; emit() returns all columns, whatever their names.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.columns import numbered
 from factloom.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -120,9 +122,10 @@ def emit(docs: DataFrame, seed="mix", **how) -> DataFrame:
     Texts stay where they are read: only the plan, a row for each source, is joined to them.
     """
     plan = plan_mix(sized(docs, seed), **how)
+    docs, named = numbered(docs, "doc_id", "source")
     m = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     out = join_sources(docs.withColumn("_mix_m", m), plan.select("source", "whole", "fraction", "k"), plan.count(), prefix="_plan_")
     a, b = (F.conv(F.substring("_mix_m", at, 12), 16, 10).cast("long") for at in (1, 13))
     drawn = ((a + F.col("_plan_k") * b) % F.lit(2**48)) / F.lit(float(2**48)) < F.col("_plan_fraction")
     copies = (F.col("_plan_whole") + drawn.cast("long")).cast("int")
-    return out.withColumn("_plan_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.withColumn("_plan_copy", F.explode(F.array_repeat(F.lit(1), copies))).transform(named)

@@ -21,7 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.spans import apart, by_start, find, fresh, joined, none, replaced
+from factloom.llm.columns import fresh
+from factloom.llm.spans import apart, by_start, find, joined, none, replaced
 
 KINDS = ["assign", "access", "hex", "markov"]
 # The base rules. Runs are matched whole, so a minimum length stands in for the check of whole runs.

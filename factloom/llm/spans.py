@@ -23,14 +23,6 @@ def none() -> Column:
     return F.array().cast(SPAN)
 
 
-def fresh(name: str, columns: list[str]) -> str:
-    """A name that none of `columns` has."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value computed once however often it is used."""
     return F.transform(F.array(value), use)[0]

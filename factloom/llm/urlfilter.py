@@ -11,7 +11,9 @@ Ranges come from a sample of keys of fixed size and only balance the work. A key
 bounds of ranges at once (one url in a large share of all rows) has its urls dealt over all of these.
 
 Defined cases: a null url, or one without `://`, has empty host and path; no rule fits an empty host.
-Equal rules with unlike verdicts count as block. Repeated rows are judged one by one. An empty table or rule list is fine.
+Equal rules with unlike verdicts count as block; of rules that are as long and both fit, the greater string wins. A rule with a null host or path fits nothing.
+Urls may be of any length and have any number of labels. Repeated rows are judged one by one. An empty table or rule list is fine. Of the input's columns only
+page_id and url are read, so no others clash.
 """
 
 import bisect
@@ -90,7 +92,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     host, path = split_url(F.col("url"))
     # written once, so that rows keep their numbers whatever the table is made of
     urls = cut(pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row")))
-    rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    rules = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     labels = F.split(_clean(F.col("host")), r"\.", -1)
     rules = rules.select(
         F.concat(_reversed(labels), "path").alias("key"),
@@ -116,7 +118,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     covers = covers.select(
         F.explode(F.sequence("at.lo", "at.hi")).alias("range"), "key", F.lit(False).alias("is_url"), F.lit(None).cast("long").alias("row"), "rule", "verdict", "size"
     )
-    dealt = placed.unionByName(covers).repartition(parts, "range").sortWithinPartitions("range", "key", "is_url")
+    # a range is a partition: none waits for another
+    dealt = placed.unionByName(covers).repartitionById(parts, "range").sortWithinPartitions("range", "key", "is_url")
     found = dealt.mapInArrow(sweep, SWEPT)
     # the longest rule; of equally long ones the greater string
     best = found.groupBy("row").agg(F.max(F.struct("size", "rule", "verdict")).alias("best"))

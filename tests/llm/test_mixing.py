@@ -58,6 +58,14 @@ def test_emit(spark):
     assert out.count() == copies and n
 
 
+def test_columns_that_clash_stay(spark):
+    names = ["_mix_m", "_plan_k", "_of_source", "_plan_copy", "copies", "a", "size", "x.y"]
+    df = spark.createDataFrame([(i, "a b", "s", *range(8)) for i in range(40)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    out = emit(df).collect()
+    assert 50 <= len(out) <= 70 and out[0].asDict()["x.y"] == 7 and emit(df).columns == df.columns
+    assert mix(df).columns == ["doc_id", "source", "size", "source_size", "target", "rate", "copies"]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix(df).count() == 0 and emit(df).count() == 0

@@ -51,6 +51,34 @@ def test_stages_and_columns(spark, tmp_path):
     assert max(copies.values()) <= 2
 
 
+def test_stages_over_odd_tables(spark, tmp_path):
+    """No rows; and nulls in any column, empty and very long texts, repeated rows, and columns with names that stages use inside."""
+    extra = ["row", "lang_pred", "score", "base", "spans", "_row", "_judged", "a.b", "size", "target", "ids"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in extra)
+    long = " ".join(f"wörter und häuser am wasser {i}" for i in range(60_000))
+    texts = ["the house by the river and the garden of stone " * 3, "das haus am wasser und der baum im feld " * 3, "", None, "12345", long, "the end"]
+    rows = [(i, t, "de" if t and "ö" in t + "" or t and "das" in t else "en", None if i == 1 else "s", i, *range(len(extra))) for i, t in enumerate(texts)]
+    rows += [rows[0], (None, texts[1], None, "s", None, *[None] * len(extra)), (None, None, None, None, None, *[None] * len(extra))]
+    for n, some in enumerate((rows, [])):
+        path = str(tmp_path / f"{n}.parquet")
+        spark.createDataFrame(some, schema).write.parquet(path)
+        docs = spark.read.parquet(path)
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if i < 4:
+                assert out.columns == docs.columns
+            path = str(tmp_path / f"{n}-{i}.parquet")
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if i == 0 and some:
+                kept = {(r.doc_id, r.text is None) for r in docs.collect()}
+                assert {(0, False), (1, False), (5, False)} <= kept and not {(2, False), (3, True), (4, False), (None, True)} & kept
+            if i == 1 and some:
+                assert docs.where("doc_id = 0").count() == 1 and docs.where("doc_id is null").count() == 0
+                assert docs.where("doc_id = 5").first()["a.b"] == extra.index("a.b")
+        assert docs.columns == ["doc_id", "lang", "source", "ids", "n_tokens"] and (docs.count() > 0) == bool(some)
+
+
 def test_language_stage_drops_noise_and_keeps_short_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and n_chars > 400").orderBy("doc_id").limit(300).collect()
     rng = random.Random(5)

@@ -43,6 +43,12 @@ def test_many_nested_rules(spark):
     check(spark, [(h, p, v) for (h, p), v in rules.items()])
 
 
+def test_null_rules_and_clashing_columns(spark):
+    rules = spark.createDataFrame([*URL_RULES, (None, "/", "block"), ("org", None, "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.org/x", "h", 1, "k"), (None, "http://a.org/x", None, None, None)], "page_id long, url string, rule string, row int, key string")
+    assert {(r.page_id, r.rule, r.verdict) for r in judge(pages, rules).collect()} == {(1, "org/", "allow"), (None, "org/", "allow")}
+
+
 def test_empty_tables(spark):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
