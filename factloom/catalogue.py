@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.demos import deduction, predictive, puzzle, qbf
+from factloom.functions import subterms
 from factloom.functions.scalar import expression, tanh_prime
-from factloom.operators import aggregate, guard, mining, order, tensor
+from factloom.operators import aggregate, cyclic, guard, mining, order, tensor, weights
 from factloom.operators.tabling import Prepared, Tables
 from factloom.plans import fixpoint
 from factloom.plans.rules import Program, rewrite_all
@@ -217,7 +218,7 @@ def q_empty_conj(spark, d):
 @query("SELECT x.a, x.b, y.b AS c FROM trade x JOIN trade y ON x.b = y.a JOIN trade z ON y.b = z.a AND z.b = x.a")
 def q_triangle(spark, d):
     t = cut(trade(spark, d))
-    return natural_join([relation(t, "a", "b"), relation(t, "b", "c"), relation(t, "c", "a")]).select("a", "b", "c")
+    return cyclic.triangles(relation(t, "a", "b"), relation(t, "b", "c"), relation(t, "c", "a")).select("a", "b", "c")
 
 
 @query("SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -317,6 +318,36 @@ def q_topk_maximal(spark, d):
     return spark.createDataFrame([(r.shown, r.gain) for r in top], "pattern string, gain long")
 
 
+@query("""SELECT COALESCE(p_brand, '*') AS b, COALESCE(p_type, '*') AS t, (CASE WHEN grouping(p_brand) = 0 AND grouping(p_type) = 0 THEN sum(w) ELSE 0 END)::BIGINT AS own, sum(greatest(w, 0))::BIGINT AS total
+FROM (SELECT p_brand, p_type, sum(p_size - 10)::BIGINT AS w FROM part GROUP BY 1, 2) WHERE w > 0 GROUP BY ROLLUP (p_brand, p_type)""")
+def q_weights(spark, d):
+    """Signed weights of (brand, type) paths and the positive weight at or below each path."""
+    own = table(spark, d, "part").groupBy(F.array("p_brand", "p_type").alias("path")).agg(F.sum(F.col("p_size") - 10).cast("long").alias("weight"))
+    totals = weights.subtree_totals(weights.set_weights(spark.createDataFrame([], weights.WEIGHTS), own))
+    return totals.select(F.coalesce(F.get("path", F.lit(0)), F.lit("*")).alias("b"), F.coalesce(F.get("path", F.lit(1)), F.lit("*")).alias("t"), F.col("weight").alias("own"), "total")
+
+
+@query("SELECT p_brand AS b, p_type AS t, w FROM (SELECT p_brand, p_type, sum(p_size - 10)::BIGINT AS w FROM part GROUP BY 1, 2) WHERE w > 0 ORDER BY w DESC, p_brand, p_type LIMIT 5")
+def q_top_weights(spark, d):
+    """The five heaviest paths that begin none of each other; here all have one length."""
+    own = table(spark, d, "part").groupBy(F.array("p_brand", "p_type").alias("path")).agg(F.sum(F.col("p_size") - 10).cast("long").alias("weight"))
+    return spark.createDataFrame([(*r.path, r.weight) for r in weights.top_maximal(own, 5)], "b string, t string, w long")
+
+
+@query("SELECT count(*) AS n FROM edge")
+def q_shard_counts(spark, d):
+    """Shards counted one by one add up to the space."""
+    return edges(spark, d).shard_counts(7).agg(F.sum("n").alias("n"))
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT 'expr' AS kind FROM orders UNION ALL SELECT 'sym' FROM orders, range(3)) GROUP BY 1""")
+def q_subterms(spark, d):
+    """The nodes of terms by a table function."""
+    subterms.register(spark)
+    table(spark, d, "orders").select(F.format_string("(o %d %s)", "o_orderkey", "o_orderstatus").alias("term")).createOrReplaceTempView("_factloom_terms")
+    return spark.sql("SELECT s.kind, count(*) AS n FROM _factloom_terms, LATERAL subterms(term) s GROUP BY s.kind")
+
+
 # ---- set algebra, storage
 @query("SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders")
 def q_union(spark, d):
@@ -629,12 +660,16 @@ def q_guarded_closure(spark, d):
     return spark.createDataFrame([(deduction.uncovered(every, kept).count(), kept.count() < every.count())], "uncovered long, smaller boolean")
 
 
-@query("SELECT * FROM (VALUES ('valid', true), ('invalid', false)) t(name, value)")
+@query("SELECT r_regionkey AS r, count(*) FILTER (n_nationkey % 2 = 0) > 0 AND count(*) FILTER (n_nationkey % 2 = 1) > 0 AS holds FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 def q_qbf(spark, d):
-    """For all x some y equals it; no y equals all x."""
-    clauses = [[1, -2], [-1, 2]]
-    rows = [("valid", qbf.value(spark, [("a", [1]), ("e", [2])], clauses)), ("invalid", qbf.value(spark, [("e", [2]), ("a", [1])], clauses))]
-    return spark.createDataFrame(rows, "name string, value boolean")
+    """For each region: for all x some y equals it, y being free to be what the parities of the region's nations allow."""
+    parities = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_set((F.col("n_nationkey") % 2).cast("int")).alias("p"))
+    out = []
+    for r in parities.collect():  # a row for each region
+        # y = x, and y is neither parity that no nation has
+        clauses = [[1, -2], [-1, 2]] + ([] if 1 in r.p else [[-2]]) + ([] if 0 in r.p else [[2]])
+        out.append((r.n_regionkey, qbf.value(spark, [("a", [1]), ("e", [2])], clauses)))
+    return spark.createDataFrame(out, "r int, holds boolean")
 
 
 @query()

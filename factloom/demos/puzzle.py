@@ -1,5 +1,7 @@
 """Eight-puzzle planning: layers of states from both ends, by built-in functions, and their meeting."""
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +35,14 @@ def solve(spark: SparkSession, start: str, goal: str, half: int) -> DataFrame:
     met = f.join(b, "state").withColumn("total", F.col("forward") + F.col("backward"))
     least = met.agg(F.min("total").alias("total"))
     return met.join(least, "total").select("state", "forward", "backward", "total")
+
+
+def scramble(state: str, moves: int, seed: int) -> str:
+    """A state so many moves away at most, no move taking back the one before."""
+    draw, came = random.Random(seed), None
+    for _ in range(moves):
+        blank = state.index("0")
+        to = draw.choice([i for i in BESIDE[blank] if i != came])
+        tile = state[to]
+        state, came = state.translate(str.maketrans({"0": tile, tile: "0"})), blank
+    return state

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.operators import weights
 from factloom.terms import nodes, parse
 
 PREFIX = T.StructType().add("prefix", "string").add("shown", "string").add("length", "integer")
@@ -64,13 +65,5 @@ def relation_gains(rows: DataFrame, functor: str, cost: int) -> DataFrame:
 
 
 def top_maximal(gains: DataFrame, k: int) -> list:
-    """Greedily the heaviest prefixes of which none begins another; ties go to the smaller. One small job each."""
-    left, out = gains, []
-    for _ in range(k):
-        top = left.orderBy(F.col("gain").desc(), "prefix").limit(1).collect()
-        if not top:
-            break
-        out.append(top[0])
-        p = F.lit(top[0].prefix)
-        left = left.where(~F.startswith("prefix", p) & ~F.startswith(p, F.col("prefix")))
-    return out
+    """Greedily the heaviest prefixes of which none begins another; ties go to the smaller."""
+    return weights.top_maximal(gains, k, "gain", "prefix")

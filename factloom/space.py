@@ -328,6 +328,15 @@ class Space:
         """Dealt over n shards by hash of the whole fact."""
         return self._with(generic=None if self.generic is None else self.generic.repartition(n, "term"), relations={k: r.repartition(n, *r.columns) for k, r in self.relations.items()})
 
+    def shard_counts(self, n: int) -> DataFrame:
+        """(shard, n): how many terms each of n shards by hash holds; they add up to the count."""
+        shard = F.pmod(F.xxhash64("term"), F.lit(n)).alias("shard")
+        return self.atoms.groupBy(shard).agg(F.count("*").alias("n"))
+
+    def has_cells(self) -> bool:
+        """Whether a term holds a mutable cell."""
+        return not self.atoms.where(F.exists(F.map_values("node"), lambda x: x["sym"].startswith(CELL))).isEmpty()
+
     # ---- algebra
     def add(self, *terms: str) -> "Space":
         return self.union(Space.from_text(self.spark, " ".join(terms)))

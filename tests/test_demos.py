@@ -1,7 +1,7 @@
 import math
 import random
 
-from factloom.demos import deduction, predictive, puzzle, qbf
+from factloom.demos import deduction, predictive, puzzle
 from factloom.operators import aggregate, guard
 from factloom.operators.tensor import derivative, deviation, einsum
 from factloom.plans.fixpoint import closure, meet, naive, recursive_closure, semi_naive
@@ -23,15 +23,6 @@ def test_puzzle_depths(spark):
     assert [r["count"] for r in puzzle.layers(spark, "123456780", 4).groupBy("depth").count().orderBy("depth").collect()] == [1, 2, 4, 8, 16]
 
 
-def test_qbf_equals_brute_force(spark):
-    rng = random.Random(3)
-    for _ in range(3):
-        prefix, clauses = qbf.random_instance(rng, [("e", 2), ("a", 2), ("e", 1)], 5)
-        assert qbf.value(spark, prefix, clauses) == qbf.brute(prefix, clauses)
-    assert qbf.value(spark, [], [[1]]) and not qbf.value(spark, [("a", [1])], [[1]])
-    assert qbf.refine(spark, [1], [2], [[1, 2], [1, -2]]) == {1: True} and qbf.refine(spark, [1], [2], [[2]]) is None
-
-
 def test_predictive_settling(spark):
     w1, w2, x, target = predictive.EXAMPLE
     e = [0.0, 0.0]
