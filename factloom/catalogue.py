@@ -311,7 +311,18 @@ def q_rollup(spark, d):
     return table(spark, d, "part").rollup("p_brand", "p_size").agg(F.count("*").alias("n")).select(F.coalesce("p_brand", F.lit("*")).alias("b"), F.coalesce("p_size", F.lit(-1)).alias("s"), "n")
 
 
-@query()
+PREFIXES = """c0 AS (SELECT prefix, any_value(shown) AS shown, any_value(len) AS len, count(*) AS n FROM (SELECT u.* FROM
+(SELECT replace(p_brand, ' ', '_') AS b, replace(p_type, ' ', '_') AS t, p_size FROM part GROUP BY ALL) p, LATERAL (VALUES
+('[4]', '(…)', 1), ('[4]part' || chr(31), '(part …)', 6), ('[4]part' || chr(31) || b || chr(31), '(part ' || b || ' …)', 7 + strlen(b)),
+('[4]part' || chr(31) || b || chr(31) || t || chr(31), '(part ' || b || ' ' || t || ' …)', 8 + strlen(b) + strlen(t))) u(prefix, shown, len)) GROUP BY prefix)"""
+#: Five times the heaviest of what is left.
+PICKS = ", ".join(
+    f"t{i} AS (SELECT * FROM g{i} ORDER BY gain DESC, prefix LIMIT 1), g{i + 1} AS (SELECT g.* FROM g{i} g, t{i} t WHERE NOT starts_with(g.prefix, t.prefix) AND NOT starts_with(t.prefix, g.prefix))"
+    for i in range(5)
+)
+
+
+@query(f"WITH {PREFIXES}, g0 AS (SELECT prefix, shown, (n - 1) * len - n * 9 AS gain FROM c0 WHERE n >= 2 AND (n - 1) * len - n * 9 > 0), {PICKS} SELECT shown AS pattern, gain::BIGINT AS gain FROM ({' UNION ALL '.join(f'SELECT * FROM t{i}' for i in range(5))})")
 def q_topk_maximal(spark, d):
     space = Space.from_columns("part", table(spark, d, "part").select(F.regexp_replace("p_brand", " ", "_").alias("b"), F.regexp_replace("p_type", " ", "_").alias("t"), "p_size"))
     top = mining.top_maximal(cut(mining.prefix_gains(space.atoms, 9)), 5)
@@ -641,10 +652,19 @@ def q_prepared(spark, d):
 
 
 # ---- composite algorithms
-@query()
+BESIDE_SQL = ", ".join(f"({i + 1}, {j + 1})" for i, cells_ in enumerate(puzzle.BESIDE) for j in cells_)
+
+
+def _reach(name, start):
+    return f"""{name}(state, depth) AS (SELECT '{start}', 0 UNION SELECT translate(state, '0' || substr(state, b.j, 1), substr(state, b.j, 1) || '0'), depth + 1
+FROM {name} JOIN (VALUES {BESIDE_SQL}) b(i, j) ON b.i = instr(state, '0') WHERE depth < 3)"""
+
+
+@query(f"""WITH RECURSIVE {_reach("f", "123456780")}, {_reach("k", "120453786")}, x AS (SELECT state, min(depth)::INT AS forward FROM f GROUP BY 1), y AS (SELECT state, min(depth)::INT AS backward FROM k GROUP BY 1),
+m AS (SELECT state, forward, backward, forward + backward AS total FROM x JOIN y USING (state)) SELECT * FROM m WHERE total = (SELECT min(total) FROM m)""")
 def q_puzzle_plan(spark, d):
     """Eight-puzzle layers from both ends and where they meet."""
-    return puzzle.solve(spark, "123456780", "123406758", 2)
+    return puzzle.solve(spark, "123456780", "120453786", 3)
 
 
 @query("SELECT * FROM (VALUES (1, 3), (3, 6), (5, 24), (7, 132)) t(k, n)")
@@ -672,7 +692,20 @@ def q_qbf(spark, d):
     return spark.createDataFrame(out, "r int, holds boolean")
 
 
-@query()
+#: Errors after a tick, from those before it.
+TICK = """p{n} AS (SELECT i, tanh(pre.v + e{m}.v) AS v FROM pre JOIN e{m} USING (i)), g{n} AS (SELECT k, any_value(y.v) - sum(w2.v * p{n}.v) AS v FROM w2 JOIN p{n} USING (i) JOIN y USING (k) GROUP BY k),
+b{n} AS (SELECT i, sum(w2.v * g{n}.v) AS v FROM w2 JOIN g{n} USING (k) GROUP BY i), e{n} AS (SELECT i, e{m}.v - 0.1 * (e{m}.v - (1 - p{n}.v * p{n}.v) * b{n}.v) AS v FROM e{m} JOIN p{n} USING (i) JOIN b{n} USING (i))"""
+
+
+@query(f"""WITH RECURSIVE w1 AS (SELECT i % 8 AS i, d AS j, avg(v) AS v FROM cellv GROUP BY 1, 2), w2 AS (SELECT i % 4 AS k, d AS i, avg(v) AS v FROM cellv WHERE d < 8 GROUP BY 1, 2),
+x AS (SELECT d AS j, avg(v) AS v FROM cellv GROUP BY 1), y AS (SELECT d - 8 AS k, avg(v) AS v FROM cellv WHERE d BETWEEN 8 AND 11 GROUP BY 1),
+pre AS (SELECT i, sum(w1.v * x.v) AS v FROM w1 JOIN x USING (j) GROUP BY i), e0 AS (SELECT i, 0.0::DOUBLE AS v FROM pre), {TICK.format(n=1, m=0)}, {TICK.format(n=2, m=1)}
+SELECT 1 AS tick, i, round(v, 6) + 0.0 AS v FROM e1 UNION ALL SELECT 2, i, round(v, 6) + 0.0 FROM e2""")
 def q_predictive_coding(spark, d):
-    """Two ticks of a predictive-coding network as tensor relations."""
-    return predictive.settle(spark, *predictive.EXAMPLE, ticks=2).withColumn("v", F.round("v", 5))
+    """Two ticks of a predictive-coding network as tensor relations: 64 inputs, 8 hidden and 4 output units, with weights from means over all vectors."""
+    c = cells(spark, d).withColumn("d", F.col("d").cast("bigint"))
+    mean = lambda rows, *keys: cut(rows.groupBy(*keys).agg(F.avg("v").alias("v")))
+    w1 = mean(c, (F.col("i") % 8).alias("i"), F.col("d").alias("j"))
+    w2 = mean(c.where("d < 8"), (F.col("i") % 4).alias("i"), F.col("d").alias("j"))
+    x, y = mean(c, F.col("d").alias("i")), mean(c.where("d between 8 and 11"), (F.col("d") - 8).alias("i"))
+    return predictive.settle(spark, w1, w2, x, y, ticks=2).select("tick", "i", (F.round("v", 6) + 0.0).alias("v"))

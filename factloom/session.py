@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +36,31 @@ def scratch_dir(spark: SparkSession) -> str:
         if root is None:
             root = tempfile.mkdtemp(prefix="factloom-")
             spark.sparkContext._factloom_scratch = root
-    return f"{root.rstrip('/')}/factloom-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/factloom-{uuid.uuid4().hex}"
+    _made(spark).append(path)
+    return path
+
+
+def _made(spark: SparkSession) -> list[str]:
+    """The scratch folders of this session."""
+    context = spark.sparkContext
+    if not hasattr(context, "_factloom_made"):
+        context._factloom_made = []
+    return context._factloom_made
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that were cut inside once the block is left: results must be written or collected by then."""
+    made = _made(spark)
+    before = len(made)
+    try:
+        yield
+    finally:
+        conf = spark._jsc.hadoopConfiguration()
+        while len(made) > before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(made.pop())
+            path.getFileSystem(conf).delete(path, True)
 
 
 class Parts:

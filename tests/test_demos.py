@@ -1,6 +1,9 @@
 import math
 import random
 
+import numpy as np
+import pytest
+
 from factloom.demos import deduction, predictive, puzzle
 from factloom.operators import aggregate, guard
 from factloom.operators.tensor import derivative, deviation, einsum
@@ -38,6 +41,28 @@ def test_predictive_settling(spark):
         assert abs(r.v - want[r.tick - 1][r.i]) < 5e-5
 
 
+def test_training_in_both_modes(spark):
+    w1, w2, x, target = predictive.EXAMPLE
+    samples = [(x, target), ([1.0, 0.5], [0.0, 1.0])]
+    for mode in ("m1", "m2"):
+        a, b, energies, errors = np.array(w1), np.array(w2), [], []
+        for u in range(2):
+            inp, out = map(np.array, samples[u])
+            e = np.zeros(2)
+            for tick in range(2):
+                phi = np.tanh(a @ inp + e)
+                g = out - b @ phi
+                e = e - 0.1 * (e - (1 - phi**2) * (b.T @ g))
+                energies.append((e @ e + g @ g) / 2)
+                errors.append(e)
+                if mode == "m2" or tick == 1:
+                    a, b = a + 0.05 * np.outer(e, inp), b + 0.05 * np.outer(g, phi)
+        got1, got2, kept, spent = predictive.train(spark, w1, w2, samples, 2, ticks=2, weight_rate=0.05, mode=mode)
+        assert all(abs(r.v - a[r.i][r.j]) < 1e-6 for r in got1.collect()) and all(abs(r.v - b[r.i][r.j]) < 1e-6 for r in got2.collect())
+        assert [r.energy for r in spent.orderBy("update", "tick").collect()] == pytest.approx(energies)
+        assert all(abs(r.v - errors[2 * (r.update - 1) + r.tick - 1][r.i]) < 1e-6 for r in kept.collect()) and kept.count() == 8
+
+
 def test_closures_agree(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(3, 7)], "a int, b int")
     want = {(i, j) for i in range(9) for j in range(i + 1, 10)}

@@ -1,9 +1,12 @@
+import os
+
 import pytest
 
 from factloom.operators.guard import guard
 from factloom.operators.order import sort_by_priority
 from factloom.plans.fixpoint import reduce_terms
 from factloom.plans.rules import Program, rewrite_all
+from factloom.session import cut, scratch
 from factloom.space import Space, classify
 from factloom.terms import Var, parse, raw, symbol
 
@@ -190,3 +193,11 @@ def test_rewriting_many_terms_and_chains(spark):
     rules = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(3, 90), (50, 51), (51, 50)], "lhs int, rhs int")
     asked = spark.createDataFrame([(0,), (5,), (50,), (77,)], "term int")
     assert found(reduce_terms(rules, asked)) == [(0, 40), (0, 90), (5, 40), (77, 77)]
+
+
+def test_scratch_tables_go(spark):
+    with scratch(spark):
+        kept = cut(spark.range(5))
+        folder = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:")
+        assert os.path.isdir(folder) and kept.count() == 5
+    assert not os.path.exists(folder)
