@@ -5,7 +5,7 @@ PATTERNS is (, p …) or (I (BTM p) (ACT name p) …). TEMPLATES is (, t …) or
 (tensor-op-f32 (op …) (inputs …) (output (name …)) (from p …) (backend …)), and the folds (count t $v),
 (sum t $v $x), (min t $v $x), (max t $v $x), (and t $v $x), which bind $v over all matches with equal other values of t.
 A firing takes the rule out whether or not anything matched; it sees the space as before, rules included. Rules of priority (quiesce …)
-wait until no other rule is left.
+wait until no other rule is left, or those that arm each other again leave the store as it has been before.
 """
 
 from functools import reduce
@@ -25,17 +25,28 @@ from factloom.unify import canonical, pair_up, unified
 FOLDS = {"count": lambda x: F.count("*"), "sum": lambda x: F.sum(x.cast("bigint")), "min": lambda x: F.min(x.cast("bigint")), "max": lambda x: F.max(x.cast("bigint")), "and": lambda x: F.min(x == "true")}
 
 
+def _waits(rule) -> bool:
+    """Whether a rule is a barrier."""
+    return isinstance(rule[1], tuple) and rule[1][:1] == ("quiesce",)
+
+
 class Program:
-    def __init__(self, space: Space, tables: dict[str, Space] | None = None):
-        self.space, self.tables, self.fired = space, dict(tables or {}), 0
+    def __init__(self, space: Space, tables: dict[str, Space] | None = None, root: str | None = None):
+        """`tables` are named tables (ACT); with `root`, a folder, tables are stored there and found again by other programs."""
+        self.space, self.tables, self.root, self.fired = space, dict(tables or {}), root, 0
+        self._seen: set = set()
+
+    def table(self, name: str) -> Space:
+        if name not in self.tables and self.root:
+            self.tables[name] = Space.read(self.space.spark, f"{self.root}/{name}")
+        return self.tables[name]
 
     def rules(self) -> list:
         """The rules in firing order: the text of a program, not data."""
         if self.space.generic is None:
             return []
         found = [parse(r.term) for r in self.space.generic.where("functor = 'exec' and arity = 4").select("term").collect()]
-        waits = lambda rule: isinstance(rule[1], tuple) and rule[1][:1] == ("quiesce",)
-        return sorted(found, key=lambda rule: (waits(rule), rule_order(rule[1]), render(rule)))
+        return sorted(found, key=lambda rule: (_waits(rule), rule_order(rule[1]), render(rule)))
 
     def step(self, n: int = 1) -> int:
         """Fires up to n rules; how many did fire."""
@@ -44,11 +55,24 @@ class Program:
             rules = self.rules()
             if not rules:
                 break
+            waiting = [r for r in rules if _waits(r)]
+            if waiting and len(waiting) < len(rules) and self._settled():
+                # rules that arm each other again have stopped changing anything else
+                rules = waiting
+            if _waits(rules[0]):
+                self._seen.clear()
             self._fire(rules[0])
             done += 1
         self.fired += done
         return done
 
+    def _settled(self) -> bool:
+        """Whether the whole store has been as it is now before, since a barrier fired last."""
+        at = self.space.atoms.agg(F.count("*"), F.bit_xor(F.xxhash64("term")), F.bit_xor(F.xxhash64(F.lit(1), "term"))).first()
+        known = tuple(at) in self._seen
+        self._seen.add(tuple(at))
+        return known
+
     def run(self, fuel: int = 1000) -> Space:
         self.step(fuel)
         return self.space
@@ -67,7 +91,7 @@ class Program:
             return self.space.query(render(patterns))
         parts = []
         for source in patterns[1:]:
-            where, name, p = (self.space, None, source[1]) if source[0] == "BTM" else (self.tables[source[1]], source[1], source[2])
+            where, name, p = (self.space, None, source[1]) if source[0] == "BTM" else (self.table(source[1]), source[1], source[2])
             parts.append(where.query(render(p)))
         return natural_join(parts)
 
@@ -107,6 +131,8 @@ class Program:
         if kind == "ACT":
             name, template = args
             made = Space.from_texts(instantiate(rows, [template]))
+            if self.root:
+                made.save(f"{self.root}/{name}")
             self.tables[name] = made
             return space
         raise ValueError(f"no sink {kind}")

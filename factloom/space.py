@@ -333,6 +333,12 @@ class Space:
         shard = F.pmod(F.xxhash64("term"), F.lit(n)).alias("shard")
         return self.atoms.groupBy(shard).agg(F.count("*").alias("n"))
 
+    def visit(self) -> Iterator[str]:
+        """All terms in stored order, a partition at a time."""
+        from factloom.operators.order import in_order
+
+        return (r.term for r in in_order(self.atoms.select("term")).toLocalIterator())
+
     def has_cells(self) -> bool:
         """Whether a term holds a mutable cell."""
         return not self.atoms.where(F.exists(F.map_values("node"), lambda x: x["sym"].startswith(CELL))).isEmpty()
@@ -471,7 +477,7 @@ class Space:
             raise ValueError("more than 62 conjuncts")
         stored = [f for f in factors if _head(f) not in self.functions]
         if self._ground_for(stored):
-            tables = [self._match(f, f"_f{i}" if ordered else None) for i, f in enumerate(stored)]
+            tables = [self._match(f, f"_f{i}" if ordered else None) for i, f in _narrow_first(stored)]
             rows = natural_join(tables) if tables else self.spark.range(1).select()
             rows = _as_terms(rows)
         else:
@@ -615,7 +621,7 @@ class Space:
         stored = [f for f in factors if _head(f) not in self.functions]
         if not self._ground_for(stored):
             raise ValueError("facts with variables may match")
-        rows = self._compute(natural_join([self._match(f) for f in stored]), [f for f in factors if _head(f) in self.functions])
+        rows = self._compute(natural_join([self._match(f) for _, f in _narrow_first(stored)]), [f for f in factors if _head(f) in self.functions])
         return rows.select(*(F.col(f"`{v.name}`") for v in variables(parse(pattern))))
 
     # ---- rewriting
@@ -697,6 +703,12 @@ def _same_types(tables: list[DataFrame]) -> list[DataFrame]:
     return [_as_terms(t, mixed) if mixed & set(t.columns) else t for t in tables]
 
 
+def _narrow_first(factors: list) -> list[tuple[int, object]]:
+    """The factors with their places, those with the most constants first: joins start where the fewest rows are."""
+    constants = lambda f: sum(kind == "sym" for path, kind, *_ in nodes(f) if path != "0")
+    return sorted(enumerate(factors), key=lambda x: -constants(x[1]))
+
+
 def natural_join(tables: list[DataFrame]) -> DataFrame:
     """An inner join on shared columns; connected tables first, so a product comes only where nothing is shared."""
     tables = _same_types(tables)

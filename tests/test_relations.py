@@ -5,7 +5,9 @@ import pytest
 from factloom.operators.guard import guard
 from factloom.operators.order import sort_by_priority
 from factloom.plans.fixpoint import reduce_terms
-from factloom.plans.rules import Program, rewrite_all
+from factloom.plans.rules import Program, rewrite_all, scheduled
+from factloom.sources.generators import function_tables, tensor_facts
+from factloom.sources.readers import json_rows, qdimacs
 from factloom.session import cut, scratch
 from factloom.space import Space, classify
 from factloom.terms import Var, parse, raw, symbol
@@ -201,3 +203,50 @@ def test_scratch_tables_go(spark):
         folder = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:")
         assert os.path.isdir(folder) and kept.count() == 5
     assert not os.path.exists(folder)
+
+
+def test_named_tables_on_disk(spark, tmp_path):
+    first = Program(Space.from_text(spark, "(n 1) (n 2) (exec 1 (, (n $x)) (O (ACT saved (kept $x (f $x)))))"), root=str(tmp_path))
+    first.run(2)
+    second = Program(Space.from_text(spark, "(m 2) (exec 1 (I (ACT saved (kept $x $y)) (BTM (m $x))) (, (back $y)))"), root=str(tmp_path))
+    second.run(2)
+    assert "(back (f 2))" in terms(second.space)
+
+
+def test_barrier_fires_once_rules_change_nothing(spark):
+    text = """(n 1) (exec (1 loop) (, (n $x) ((again) $p $t)) (, (m $x) (exec (1 loop) $p $t)))
+    ((again) (, (n $x) ((again) $p $t)) (, (m $x) (exec (1 loop) $p $t)))
+    (exec (quiesce 1) (, (m $x)) (, (done $x)))"""
+    p = Program(Space.from_text(spark, text))
+    p.run(5)
+    assert "(done 1)" in terms(p.space) and any(t.startswith("(exec (1 loop)") for t in terms(p.space))
+
+
+def test_scheduled_bodies(spark):
+    step = lambda space, body: space.transform(*body)[0]
+    bodies = [("(, (e $x $y) (e $y $z))", "(e $x $z)"), ("(e $x $y)", "(r $y $x)")]
+    done = scheduled(bodies, Space.from_text(spark, "(e a b) (e b c) (e c d)"), 10, step)
+    assert done.restrict("(e $x $y)").count() == done.restrict("(r $x $y)").count() == 6
+
+
+def test_visit_in_stored_order(spark):
+    space = Space.from_text(spark, "b (p bb a) $x a (p a) (p b a) (p $y $y) ccc")
+    assert list(space.visit()) == ["(p a)", "(p $0 $0)", "(p b a)", "(p bb a)", "$0", "a", "b", "ccc"]
+
+
+def test_generators_and_readers(spark, tmp_path):
+    assert found(tensor_facts(spark, "w", [[1, 2.5], [0, -1]]).values("(w 0 $j $v)")) == [(0, 1.0), (1, 2.5)]
+    fns = function_tables(spark, 5)
+    assert found(fns.values("(, (addFn $a $b 3) (gtFn $a $b) (invFn $a $i))")) == [(2, 1, 3), (3, 0, 2)]
+    assert fns.values("(lte $a $b)").count() == 21 and found(fns.values("(, (incFn 5 $x) (decFn 5 $y))")) == []
+    (tmp_path / "f.qdimacs").write_text("c x\np cnf 5 3\na 1 0\na 2 0\ne 3 0\n1 -3\n 0 -2 3\n4 0\n5 0\n")
+    prefix, clauses = qdimacs(spark, str(tmp_path / "f.qdimacs"))
+    assert found(prefix.select("block", "quant", "var")) == [(0, "e", 4), (0, "e", 5), (1, "a", 1), (1, "a", 2), (2, "e", 3)]
+    assert found(clauses) == [(0, -3), (0, 1), (1, -2), (1, 3), (1, 4), (2, 5)]
+    (tmp_path / "i.json").write_text('[{"name": "a", "n": 1}, {"name": "b", "n": 2}]')
+    assert json_rows(spark, str(tmp_path / "i.json"), "name string, n int", ["name", "n"], "n > 0").count() == 2
+    for schema, needed, check in (("name string, n int", [], "n > 1"), ("name string, n int, z int", ["z"], None)):
+        with pytest.raises(ValueError):
+            json_rows(spark, str(tmp_path / "i.json"), schema, needed, check)
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        json_rows(spark, str(tmp_path / "i.json"), "name int, n int").collect()
