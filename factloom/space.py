@@ -339,6 +339,14 @@ class Space:
 
         return (r.term for r in in_order(self.atoms.select("term")).toLocalIterator())
 
+    def grounded(self) -> DataFrame:
+        """(display, type): the typed values that relations hold, by what they print; of several types with one display the first in order counts."""
+        parts = [
+            rows.select(text_of(c, k).alias("display"), F.lit(k.simpleString()).alias("type")) for rows in self.relations.values() for c, k in _columns(rows) if not isinstance(k, T.StringType)
+        ]
+        every = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "display string, type string")
+        return every.groupBy("display").agg(F.min("type").alias("type"))
+
     def has_cells(self) -> bool:
         """Whether a term holds a mutable cell."""
         return not self.atoms.where(F.exists(F.map_values("node"), lambda x: x["sym"].startswith(CELL))).isEmpty()

@@ -10,6 +10,7 @@ from factloom.sources.generators import function_tables, tensor_facts
 from factloom.sources.readers import json_rows, qdimacs
 from factloom.session import cut, scratch
 from factloom.space import Space, classify
+from factloom.streaming.relation import StreamedRelation
 from factloom.terms import Var, parse, raw, symbol
 
 
@@ -250,3 +251,22 @@ def test_generators_and_readers(spark, tmp_path):
             json_rows(spark, str(tmp_path / "i.json"), schema, needed, check)
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         json_rows(spark, str(tmp_path / "i.json"), "name int, n int").collect()
+
+
+def test_relation_kept_from_a_stream(spark, tmp_path):
+    for rows in ([(1, "a"), (2, "b")], [(2, "b"), (3, None)], [(4, "c"), (1, "a")]):
+        spark.createDataFrame(rows, "k int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        kept = StreamedRelation(spark, "e", str(tmp_path / "kept"), by="k")
+        assert kept.space().is_empty() or kept.space().count() == 3
+        stream = spark.readStream.schema("k int, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        kept.start(stream, str(tmp_path / "check")).awaitTermination()
+        assert terms(kept.space()) == ["(e 1 a)", "(e 2 b)", "(e 4 c)"]
+    kept.absorb(spark.createDataFrame([(1, "a"), (9, "z")], "k int, v string"), 7)
+    assert found(kept.space().values("(e 9 $v)")) == [("z",)] and kept.space().count() == 4
+
+
+def test_typed_values_and_cells(spark):
+    space = Space.from_columns("n", spark.createDataFrame([(1, 1.5, "x"), (2, 1.5, "&cell:7")], "a int, b double, c string"))
+    assert found(space.grounded()) == [("1", "int"), ("1.5", "double"), ("2", "int")]
+    assert space.has_cells() and not space.restrict("(n 1 $b $c)").has_cells()
