@@ -550,7 +550,7 @@ def q_coverage(spark, d):
     rows = cut(_patterns(spark, d))
     kept = cut(guard.antichain(rows, ["b", "s", "t"]))
     left = guard.uncovered(rows, kept, ["b", "s", "t"])
-    return left.agg(F.count("*").alias("uncovered")).select(F.lit(rows.count()).alias("patterns"), F.lit(kept.count()).alias("kept"), "uncovered")
+    return left.agg(F.count("*").alias("uncovered")).select(F.lit(rows.count()).cast("long").alias("patterns"), F.lit(kept.count()).cast("long").alias("kept"), "uncovered")
 
 
 # ---- orders

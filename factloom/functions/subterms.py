@@ -6,7 +6,7 @@ from pyspark.sql.functions import udtf
 from factloom.terms import canon, nodes, parse
 
 
-@udtf(returnType="path string, kind string, arity int, sym string, sub string")
+@udtf(returnType="path string, kind string, arity int, sym string, sub string", useArrow=True)
 class Subterms:
     """A row for the term and each term inside, before their parts. Null and unreadable texts have none."""
 
