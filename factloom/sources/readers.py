@@ -1,4 +1,4 @@
-"""Readers and writers: fact texts, dumps, named tables, QDIMACS, JSON instances, columns of tables."""
+"""Readers and writers: named tables, QDIMACS, JSON instances."""
 
 from collections.abc import Iterator
 
@@ -11,14 +11,6 @@ from factloom.session import cut
 from factloom.space import Space
 
 
-def facts(spark: SparkSession, path: str) -> Space:
-    return Space.read_text(spark, path)
-
-
-def dump(space: Space, path: str) -> None:
-    space.dump(path)
-
-
 def write_table(rows: DataFrame, root: str, name: str) -> None:
     """A named table (ACT) that programs can match."""
     rows.write.mode("overwrite").parquet(f"{root}/{name}")
@@ -30,6 +22,8 @@ def read_table(spark: SparkSession, root: str, name: str) -> Space:
 
 QDIMACS = T.StructType().add("cid", "long").add("lit", "integer").add("block", "integer").add("quant", "string")
 
+FORMULA = pa.schema([("cid", pa.int64()), ("lit", pa.int32()), ("block", pa.int32()), ("quant", pa.string())])
+
 
 def _formula(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A file's clauses, (cid, lit), and prefix, (block, quant, lit); a clause ends with its 0, wherever lines end."""
@@ -54,7 +48,7 @@ def _formula(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     else:
                         cid += 1
             rows += [(None, v, 0, "e") for v in sorted(used - named)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], QDIMACS.names) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([("cid", pa.int64()), ("lit", pa.int32()), ("block", pa.int32()), ("quant", pa.string())]))
+            yield pa.RecordBatch.from_pylist([dict(zip(QDIMACS.names, r, strict=True)) for r in rows], schema=FORMULA)
 
 
 def qdimacs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +70,3 @@ def json_rows(spark: SparkSession, path: str, schema: str, required: list[str] =
     if wrong:
         raise ValueError(f"an instance that doesn't fit: {wrong[0]}")
     return rows
-
-
-def relation(functor: str, rows: DataFrame) -> Space:
-    return Space.from_columns(functor, rows)
