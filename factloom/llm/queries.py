@@ -130,15 +130,20 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-#: The model file; any SentencePiece model with scores will do.
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: The folder of vocabulary files, unless the session's setting spark.factloom.tokenizers names another, and the model file in it.
+TOKENIZERS, PIECES_FILE = "/opt/tokenizers", "piece_bpe_32k.model"
+PIECES = f"{TOKENIZERS}/{PIECES_FILE}"
+
+
+def pieces_path(spark: SparkSession) -> str:
+    return f"{spark.conf.get('spark.factloom.tokenizers', TOKENIZERS)}/{PIECES_FILE}"
 
 
 @query()
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.sentencepiece import Codec
 
-    codec = Codec(spark, PIECES)
+    codec = Codec(spark, pieces_path(spark))
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     coded = codec.encode(docs).withColumn("back", codec.decode(F.col("ids")))
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.length("back").cast("long").alias("n_decoded"), F.sha2("back", 256).alias("decoded_sha256"))

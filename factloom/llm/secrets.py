@@ -16,7 +16,6 @@ mask() changes text and n_chars alone, whatever the other columns are called.
 """
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -22,7 +22,6 @@ dropped or stays text as browsers do it; importances at `LOW` are kept; repeated
 input's columns only page_id, url and html are read, so no others clash.
 """
 
-import math
 import re
 from collections.abc import Iterator
 from html import unescape

@@ -1,5 +1,6 @@
 import re
 
+from factloom.llm import mixing
 from factloom.llm.mixing import emit, mix
 
 
@@ -66,6 +67,14 @@ def test_columns_that_clash_stay(spark):
     assert mix(df).columns == ["doc_id", "source", "size", "source_size", "target", "rate", "copies"]
 
 
+def test_sources_joined_by_shuffle_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(rows(), "doc_id long, text string, source string")
+    key = lambda out: sorted((r.doc_id is None, r.doc_id or 0, r.size, r.source_size, r.copies) for r in out.collect())
+    want = key(mix(df))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", -1)
+    assert key(mix(df)) == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix(df).count() == 0 and emit(df).count() == 0
