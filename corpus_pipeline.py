@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import langid, mixing, neardup, secrets
 from factloom.llm.columns import numbered
-from factloom.llm.queries import PIECES
+from factloom.llm.queries import pieces_path
 from factloom.llm.sentencepiece import Codec
 from factloom.session import cut
 
@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids (the pieces) and n_tokens of each document; null for a null text."""
-    coded = Codec(spark, PIECES).encode(docs.select("doc_id", "lang", "source", "text"))
+    coded = Codec(spark, pieces_path(spark)).encode(docs.select("doc_id", "lang", "source", "text"))
     return coded.withColumn("n_tokens", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")))
 
 
