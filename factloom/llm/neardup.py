@@ -1,7 +1,8 @@
 """Near-duplicate documents by DartMinHash: word shingles of five, weighted Jaccard similarity of 0.8 or more.
 
-The weight of a shingle is how often a text has it; the similarity of two texts is the sum of the lesser weights over that of the greater ones. It
-is also the plain similarity of their sets of (shingle, n) for the first, second, … occurrence, which is how texts are compared exactly.
+The weight of a shingle is 1, and 1 more each time that the number of its occurrences in a text doubles: so what differs in a line that
+is repeated counts, and a line that many texts repeat doesn't make them alike. The similarity of two texts is the sum of the lesser weights over that of
+the greater ones. It is also the plain similarity of their sets of (shingle, n), n going up to the weight, which is how texts are compared exactly.
 
 Signatures. Darts are thrown at the plane of weight and rank of each element: fixed regions hold a hashed Poisson number
 of them at hashed places. A dart counts if its weight lies below the element's; each belongs to one
@@ -10,7 +11,7 @@ the work depends on the signature and hardly on the text's length; a coordinate
 
 Candidates. BANDS groups of ROWS coordinates give each distinct text its buckets; two texts at similarity 0.8 share none with a
 probability of (1 - 0.8**7)**50 = 8e-6. Within a bucket no pairs are listed:
-1. each text is compared with a few of its buckets' texts, the least ones in four hashed orders;
+1. each text is compared with one text of each of its buckets, the least in one of four hashed orders;
 2. in buckets that still span several classes, with the text that has most links so far, until that brings no more links;
 3. texts of buckets that still span classes are joined exactly: two texts at 0.8 share one of the rarest
    elements of both (prefix filter) at places behind which enough others may follow (position filter), and only pairs of unlike
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.batches import slices
+from factloom.llm.columns import numbered
 from factloom.llm.components import components
 from factloom.session import cut
 
@@ -86,11 +88,17 @@ def shingles(text: str | None) -> np.ndarray:
     return out
 
 
-def occurrences(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A hash for the first, second, … occurrence of each element."""
-    ends = np.cumsum(counts)
-    nth = (np.arange(ends[-1]) - np.repeat(ends - counts, counts)).astype(np.uint64)
-    return mix(np.repeat(elements, counts) ^ nth * _GOLD)
+def weighted(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct elements and their weights."""
+    elements, counts = np.unique(every, return_counts=True)
+    return elements, np.frexp(counts)[1].astype(np.int64)
+
+
+def unit_elements(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A hash for each element and each number up to its weight."""
+    ends = np.cumsum(weights)
+    nth = (np.arange(ends[-1]) - np.repeat(ends - weights, weights)).astype(np.uint64)
+    return mix(np.repeat(elements, weights) ^ nth * _GOLD)
 
 
 @lru_cache(maxsize=None)
@@ -168,10 +176,10 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(every):
                     nodes.append(None), sizes.append(0), bands.append(None), sets.append(None)
                     continue
-                some, counts = np.unique(every, return_counts=True)
+                some, weights = weighted(every)
                 nodes.append(int(xxhash.xxh64_intdigest(every.tobytes())) - 2**63)
-                bands.append(band_keys(dart_minhash(some, counts.astype(np.float64), BANDS * ROWS)).view(np.int64))
-                small = np.unique((occurrences(some, counts) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                bands.append(band_keys(dart_minhash(some, weights.astype(np.float64), BANDS * ROWS)).view(np.int64))
+                small = np.unique((unit_elements(some, weights) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 sizes.append(len(small))
                 sets.append(small)
             yield pa.RecordBatch.from_arrays(
@@ -200,7 +208,7 @@ def _split(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     known = buckets.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # written first: a join whose sides are plain shuffles may split hot keys
     spans = cut(known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"))
-    return known.join(spans, "bucket")
+    return known.join(spans, "bucket", "left_semi")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -213,17 +221,16 @@ def classes(docs: DataFrame) -> DataFrame:
     # equal texts are one node from here on
     sets = cut(signed.where("node is not null").groupBy("node").agg(F.min(F.struct("row", "n", "bands")).alias("x")).select("node", "x.row", "x.n", "x.bands"))
     bands = sets.select("node", F.explode("bands").alias("bucket"))
-    full = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("print"), F.min("node").alias("least")).where("size > 1")
+    # the widest shuffle: a bucket for each band of each text
+    full = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("print"), F.min("node").alias("least")).where("size > 1")
     # buckets with the same members are one
-    full = full.groupBy("size", "print", "least").agg(F.min("bucket").alias("bucket")).select("bucket")
-    buckets = cut(bands.join(full, "bucket"))
+    full = cut(full.groupBy("size", "print", "least").agg(F.min("bucket").alias("bucket")).select("bucket"))
+    buckets = cut(bands.join(full, "bucket", "left_semi"))
     members = buckets.select("node").distinct()
     shingled = cut(signed.where("node is not null").select("row", "node", "n", "sh").join(sets.join(members, "node", "left_semi").select("row"), "row", "left_semi").drop("row"))
 
-    pivots = buckets.groupBy("bucket").agg(*(F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(ORDERS)))
-    order = F.pmod("bucket", F.lit(ORDERS))
-    pivot = F.coalesce(*(F.when(order == i, F.col(f"p{i}")) for i in range(ORDERS)))
-    first = buckets.join(cut(pivots.select("bucket", pivot.alias("p"))), "bucket").where("node <> p").select(*_pair(F.col("node"), F.col("p"))).distinct()
+    pivots = cut(buckets.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS)))).alias("pivot")))
+    first = buckets.join(pivots, "bucket").where("node <> pivot").select(*_pair(F.col("node"), F.col("pivot"))).distinct()
     links = cut(compare(first, shingled))
     labels = components(links)
     tested = cut(first)
@@ -268,5 +275,5 @@ def dedup(docs: DataFrame) -> DataFrame:
     `docs` is read twice and must give the same rows in the same order, as a stored table does.
     """
     gone = cut(classes(docs).where("not is_first").select("row"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(gone.withColumnRenamed("row", "_row"), "_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, named = numbered(docs)
+    return rows.withColumn("row", F.monotonically_increasing_id()).join(gone, "row", "left_anti").transform(named)

@@ -9,8 +9,10 @@ from factloom.llm.neardup import classes, dart_minhash, dedup
 
 
 def shingle_counts(text):
+    """Weights: 1, 2 from two occurrences on, 3 from four on, …"""
     words = re.findall(r"\w+", (text or "").lower())
-    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+    counts = Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else {}
+    return Counter({s: n.bit_length() for s, n in counts.items()})
 
 
 def brute(rows):
@@ -63,9 +65,9 @@ def fixture():
     # a passage that many share, too short to make them alike
     passage = [word() for _ in range(60)]
     texts += [" ".join(passage + [word() for _ in range(30)]) for _ in range(60)]
-    # weights decide: the same lines, but one of them 40, 36 or 4 times; and unlike texts with one line in common 60 times
+    # weights decide: the same lines, but one of them 40, 36, 4 or 1 times; and unlike texts with one line in common 60 times
     line, others = " ".join(word() for _ in range(7)), [" ".join(word() for _ in range(30)) for _ in range(4)]
-    texts += [f"{others[0]} {f'{line} ' * n}" for n in (40, 36, 4)] + [f"{o} {f'{line} ' * 60}" for o in others[1:3]] + [f"{o} {line}" for o in others[1:]]
+    texts += [f"{others[0]} {f'{line} ' * n}" for n in (40, 36, 4, 1)] + [f"{o} {f'{line} ' * 60}" for o in others[1:3]] + [f"{o} {line}" for o in others[1:]]
     texts += [texts[0]] * 5 + ["Short text", "short TEXT!", "other", "", "", None]
     texts += ["x " * 20_000, " ".join(word() for _ in range(20_000))]
     return list(enumerate(texts))
