@@ -15,12 +15,12 @@ from factloom.session import Parts, cut
 def semi_naive(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], fuel: int | None = None) -> DataFrame:
     """The least set that holds `seed` and step(delta, all): only the last round's new rows are matched, and only they are written."""
     every = Parts(seed.distinct())
-    delta, rounds = every.part(0), 0
+    delta, rounds = every.all(), 0
     while fuel is None or rounds < fuel:
         known = every.all()
         delta = every.append(step(delta, known).select(*known.columns).distinct().join(known, known.columns, "left_anti"))
         rounds += 1
-        if delta.isEmpty():
+        if not every.added:
             break
     return every.all()
 
@@ -63,12 +63,12 @@ def recursive_closure(edges: DataFrame, levels: int = 10_000) -> DataFrame:
 def layers(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, depth): breadth-first search from `start` (node); each node once, in the first layer that meets it. A layer is written once."""
     seen = Parts(start.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier, at = seen.part(0), 0
+    frontier, at = seen.all(), 0
     while depth is None or at < depth:
         at += 1
         ahead = frontier.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
         frontier = seen.append(ahead.join(seen.all().select("node"), "node", "left_anti").withColumn("depth", F.lit(at)))
-        if frontier.isEmpty():
+        if not seen.added:
             break
     return seen.all()
 
@@ -84,20 +84,19 @@ def meet(edges: DataFrame, start: DataFrame, goal: DataFrame, half: int) -> Data
 def reduce_terms(equations: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, normal): what flat equations (lhs, rhs) rewrite each term to, all branches, where no equation applies any more.
 
-    Steps are joined with themselves, so rounds grow with the log of a rewriting's length and a chain keeps one row for each term. What only
-    rewrites in a circle has no normal form.
+    Rewritings that aren't done are joined with all, so rounds grow with the log of their length and a chain keeps one row for each term. What only
+    rewrites in a circle has no normal form: it is left after as many rounds as any other rewriting may take.
     """
     edges = cut(equations.select(F.col("lhs").alias("a"), F.col("rhs").alias("b")).distinct())
-    ends = edges.select(F.col("b").alias("a")).unionByName(terms.select(F.col("term").alias("a"))).distinct().join(edges, "a", "left_anti").select("a", F.col("a").alias("b"))
-    ends = cut(ends)
-    step, size = cut(edges.unionByName(ends)), None
-    while True:
-        left = step.join(ends.select("a"), step["b"] == ends["a"], "left_anti")
-        was, size = size, (left.count(), step.count())
-        if not size[0] or size == was and step.exceptAll(before).isEmpty():
+    more = edges.select(F.col("a").alias("b"), F.lit(True).alias("_more")).distinct()
+    step = cut(edges.join(more, "b", "left").select("a", "b", F.col("_more").isNull().alias("done")))
+    for _ in range(max(1, step.count()).bit_length() + 1):
+        left = step.where("not done")
+        if left.isEmpty():
             break
-        before = step
-        x, y = step.alias("x"), step.alias("y")
-        step = cut(x.join(y, F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b")).distinct())
-    done = step.join(ends.select(F.col("a").alias("b")), "b", "left_semi")
-    return terms.select(F.col("term").alias("a")).distinct().join(done, "a").select(F.col("a").alias("term"), F.col("b").alias("normal"))
+        x, y = left.alias("x"), step.alias("y")
+        ahead = x.join(y, F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"), F.col("y.done").alias("done"))
+        step = cut(step.where("done").unionByName(ahead).distinct())
+    asked = terms.select(F.col("term").alias("a")).distinct()
+    found = asked.join(step.where("done"), "a").select(F.col("a").alias("term"), F.col("b").alias("normal"))
+    return found.unionByName(asked.join(edges, "a", "left_anti").select(F.col("a").alias("term"), F.col("a").alias("normal")))

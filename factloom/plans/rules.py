@@ -193,13 +193,13 @@ def rewrite_all(space: Space, terms: DataFrame, fuel: int = 64) -> DataFrame:
     """(term, normal) for each of `terms`. A round unifies all terms reached with the equations that may fit, and only new ones go on."""
     equations = cut(space.query("(= $lhs $rhs)").select(F.format_string("(= %s %s)", "lhs", "rhs").alias("_eq"), "lhs"))
     seen = Parts(terms.select(canonical(F.col("term")).alias("term")).distinct().select("term", F.col("term").alias("at")))
-    frontier, done = seen.part(0), []
+    frontier, done = seen.all(), []
     for _ in range(fuel):
         # the row's own term keeps its variables in `was`
         met = pair_up(frontier, "at", equations, "lhs").withColumn("was", F.col("at"))
         made = cut(unified(met, ("=", Var("at"), Var("_to")), [Var("at")], [Var("_to")], "_eq").select("term", "was", F.col("_to").alias("to")).distinct())
         done.append(cut(frontier.join(made.select("term", F.col("was").alias("at")), ["term", "at"], "left_anti")))
         frontier = seen.append(made.select("term", canonical(F.col("to")).alias("at")).distinct().join(seen.all(), ["term", "at"], "left_anti"))
-        if frontier.isEmpty():
+        if not seen.added:
             break
     return reduce(DataFrame.unionByName, done).select("term", F.col("at").alias("normal")).distinct()

@@ -4,7 +4,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", app: str = "factloom", **conf) -> SparkSession:
@@ -64,23 +65,36 @@ def scratch(spark: SparkSession):
 
 
 class Parts:
-    """A table that grows: each part is written once, and what is read is the list of all parts."""
+    """A table that grows: each part is written once, and what is read is the list of all parts, put together once there are `MANY`."""
+
+    MANY = 16
 
     def __init__(self, df: DataFrame):
-        self.root, self.schema, self.spark, self.n = scratch_dir(df.sparkSession), df.schema, df.sparkSession, 0
+        self.root, self.schema, self.spark = scratch_dir(df.sparkSession), df.schema, df.sparkSession
+        self.paths, self.n, self.added = [], 0, 0
         self.append(df)
 
-    def append(self, df: DataFrame) -> DataFrame:
-        """Writes the rows and returns them as stored."""
-        df.select(*(f"`{c}`" for c in self.schema.names)).write.parquet(f"{self.root}/{self.n}")
-        self.n += 1
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{self.n - 1}")
+    def _write(self, df: DataFrame) -> str:
+        path = f"{self.root}/{self.n}"
+        seen = Observation()
+        df.select(*(f"`{c}`" for c in self.schema.names)).observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        self.n, self.added = self.n + 1, seen.get["rows"]
+        return path
 
-    def part(self, i: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{i}")
+    def _read(self, *paths: str) -> DataFrame:
+        stored = self.spark.read.schema(self.schema).parquet(*paths)
+        stored._factloom_stored = True
+        return stored
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Writes the rows and returns them as stored; `added` is their number."""
+        if len(self.paths) >= self.MANY:
+            self.paths = [self._write(self.all())]
+        self.paths.append(self._write(df))
+        return self._read(self.paths[-1])
 
     def all(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{i}" for i in range(self.n)))
+        return self._read(*self.paths)
 
 
 def cut(df: DataFrame) -> DataFrame:
