@@ -162,7 +162,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
 
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     judged = fresh("_judged", docs.columns)
-    return docs.withColumn(judged, judge("text")).select(*(F.col(f"`{c}`") for c in own), F.col(f"{judged}.lang").alias("lang_pred"), F.col(f"{judged}.score").alias("score"))
+    # said to be non-deterministic so that a filter on its results doesn't have it run twice
+    return docs.withColumn(judged, judge.asNondeterministic()("text")).select(*(F.col(f"`{c}`") for c in own), F.col(f"{judged}.lang").alias("lang_pred"), F.col(f"{judged}.score").alias("score"))
 
 
 def held_out(doc_id) -> F.Column:
