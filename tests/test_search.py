@@ -128,8 +128,8 @@ def test_table_function(spark):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    (tmp_path / "p.mm2").write_text("(edge a b) ; one\n(edge b c)\n(exec 0 (, (edge $x $y) (edge $y $z)) (, (path $x $z)))\n")
-    assert main([str(tmp_path / "p.mm2"), "--steps", "5", "--count", "(path $x $y)", "--count", "$any"]) == 0
+    (tmp_path / "p.txt").write_text("(edge a b) ; one\n(edge b c)\n(exec 0 (, (edge $x $y) (edge $y $z)) (, (path $x $z)))\n")
+    assert main([str(tmp_path / "p.txt"), "--steps", "5", "--count", "(path $x $y)", "--count", "$any"]) == 0
     assert capsys.readouterr().out.splitlines() == ["; 1 rules fired, 3 terms, 0 rejected", "1\t(path $x $y)", "3\t$any"]
-    main([str(tmp_path / "p.mm2")])
+    main([str(tmp_path / "p.txt")])
     assert "(path a c)" in capsys.readouterr().out
