@@ -5,7 +5,7 @@ whose granules hold no coded samples, and the bytes as ancillary data behind it.
 `Info` frame with frame count, byte count and a 100-entry seek table come first.
 
 parse() takes any bytes as an MPEG-1/2/2.5 stream of layers I to III: it reads ID3v2 tags (extended headers and unsynchronisation
-included) and ID3v1 tags, finds frame headers and finds them again after damage (a header counts if the next frame's follows it or the data end), those of
+included) and ID3v1 tags (behind the last frame: a last frame may hold the same bytes), finds frame headers and finds them again after damage (a header counts if the next frame's follows it or the data end), those of
 free format too, whose size is the distance to the next header; checks the CRC-16 of layers I and III where a frame has one and counts those of layer II as
 unchecked; reads Xing, Info and VBRI tables; and returns exact durations and the offset and first sample of every frame. The sample rate may change:
 `rates` has a row for each stretch of one rate, with its first frame and its samples, and the duration is the sum of samples / rate.
@@ -156,11 +156,9 @@ def parse_bytes(data: bytes) -> dict:
         size = sum((b & 127) << 7 * (3 - i) for i, b in enumerate(data[at + 6 : at + 10]))
         out["tags"] |= _tags(data[at + 10 : at + 10 + size], data[at + 3], data[at + 5])
         at += 10 + size + (10 if data[at + 5] & 16 else 0)
-    at = min(at, end)
+    at, whole = min(at, end), end
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-        title = data[end + 3 : end + 33].decode("latin-1").rstrip("\0 ")
-        out["tags"].setdefault("TIT2", title)
 
     def frame_at(pos: int):
         return header(int.from_bytes(data[pos : pos + 4], "big")) if pos + 4 <= end else None
@@ -181,10 +179,20 @@ def parse_bytes(data: bytes) -> dict:
                 return 0
         return free[h[:2] + h[4:5]] + h[8]
 
+    def end_of(pos: int, kind):
+        """Where frames of a kind that follow each other from there on end."""
+        while (h := frame_at(pos)) and (h[:2], h[4]) == kind and (size := size_at(pos, h)):
+            pos += size
+        return pos
+
     synced, first, rate, free = False, True, 0, {}
     while at + 4 <= end:
         h = frame_at(at)
         size = size_at(at, h)
+        if size and at + size > end and end < whole:
+            # frames that go on to the very last byte hold these bytes themselves: then it is no ID3v1 tag
+            end = whole
+            end = whole if end_of(at, (h[:2], h[4])) == whole else whole - 128
         good = size and at + size <= end and (synced or at + size + 4 > end or (n := frame_at(at + size)) and n[:2] == h[:2] and n[4] == h[4])
         if not good:
             synced, free = False, {}
@@ -232,6 +240,8 @@ def parse_bytes(data: bytes) -> dict:
         parts.append(data[body + side : at + size])
         at += size
     out["skipped_bytes"] += max(0, end - at)
+    if end < whole:
+        out["tags"].setdefault("TIT2", data[end + 3 : end + 33].decode("latin-1").rstrip("\0 "))
     out["ancillary"] = parts
     out["seconds"] = math.fsum(s["samples"] / s["rate"] for s in out["rates"])
     return out

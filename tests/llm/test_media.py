@@ -41,6 +41,24 @@ def test_damage_is_skipped_and_found():
     assert tail["skipped_bytes"] == 0 and len(tail["offsets"]) == 10
 
 
+def test_payload_that_looks_like_a_tag():
+    for at in range(0, 576 - 2):
+        payload = bytes(576) + (b"a" * at + b"TAG").ljust(576, b"b")
+        assert stored_payload(parse_bytes(encode_bytes(payload))) == payload
+    # behind such a payload a tag is one, and one that cuts the last frame short too
+    title = b"TAG" + b"A title".ljust(125, b"\0")
+    media = encode_bytes((b"a" * 506 + b"TAG").ljust(576, b"b") * 3)
+    got = parse_bytes(media + title)
+    assert stored_payload(got) == stored_payload(parse_bytes(media)) and len(got["offsets"]) == 3 and got["skipped_bytes"] == 0
+    assert parse_bytes(title)["tags"] == {"TIT2": "A title"}
+    short = parse_bytes(encode_bytes(bytes(576 * 3))[:-100] + title)
+    assert len(short["offsets"]) == 2 and short["skipped_bytes"] == FRAME - 100
+    # frames of 96 bytes, of which several lie in the last 128
+    small = bytearray(frames(0xFFFB1464, 10, 96))
+    small[-128:-125] = b"TAG"
+    assert len(parse_bytes(bytes(small))["offsets"]) == 10
+
+
 def test_headers_and_checksum():
     assert crc16(b"123456789") == 0xAEE7
     assert header(0xFFFB9064)[3:7] == (128, 44100, 1152, 417)
@@ -118,3 +136,14 @@ def test_query_equals_brute_force(spark, tmp_path):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(media).hexdigest()
         assert r.tail_crc32 == zlib.crc32(payload[-32:])
     assert got[2].feature == got[6].feature
+
+
+def test_query_on_tails_of_characters_and_tags(spark, tmp_path):
+    texts = ["é" * 288, "𝜑" * 144, "x" * 540 + "é" * 8, "\ufffd" * 192, "a" * 506 + "TAG", "z" * 576 + "a" * 506 + "TAG" + "q" * 20]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in QUERIES["op5_mpeg_audio"](spark, str(tmp_path)).collect():
+        raw = texts[r.doc_id].encode()
+        payload = raw + b"\xff" * (-len(raw) % 576)
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == want
+        assert f"frames={len(payload) // 576} " in r.feature and "skipped=0 " in r.feature
