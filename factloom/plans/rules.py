@@ -2,7 +2,7 @@
 
 PATTERNS is (, p …) or (I (BTM p) (ACT name p) …). TEMPLATES is (, t …) or (O sink …), the sinks being
 (+ t), (- t), (pure t $v expression), (guard (table key [bound]) fact), (choose (index key) witness), (ACT name t),
-(tensor-op-f32 (op …) (inputs …) (output (name …)) (from p …) (backend …)), and the folds (count t $v),
+(tensor-op-f32 (op …) (inputs …) (output (name …)) (from p …) (backend …)), tensor-op-f64, the same in doubles, and the folds (count t $v),
 (sum t $v $x), (min t $v $x), (max t $v $x), (and t $v $x), which bind $v over all matches with equal other values of t.
 A firing takes the rule out whether or not anything matched; it sees the space as before, rules included. Rules of priority (quiesce …)
 wait until no other rule is left, or those that arm each other again leave the store as it has been before.
@@ -119,8 +119,8 @@ class Program:
                 pairs, stored = (x.withColumn("bound", F.col("bound").cast("bigint")) for x in (pairs, stored))
             left = guard(pairs, stored, bound="bound" if bound else None)
             return self._add(space, left.select(F.col("fact").alias("text")))
-        if kind == "tensor-op-f32":
-            return self._tensor(space, rows, *args)
+        if kind in ("tensor-op-f32", "tensor-op-f64"):
+            return self._tensor(space, rows, kind[-3:], *args)
         if kind == "choose":
             (index, key), witness = args
             pairs = self._pairs(rows, (key, witness))
@@ -137,23 +137,23 @@ class Program:
             return space
         raise ValueError(f"no sink {kind}")
 
-    def _tensor(self, space: Space, rows: DataFrame, *args) -> Space:
+    def _tensor(self, space: Space, rows: DataFrame, kind: str, *args) -> Space:
         """(op einsum SPEC | unary NAME | add), (inputs …), (output (name …)), (from pattern …): patterns hold a tensor's indices and, last, its value."""
         part = {a[0]: a[1:] for a in args}
         if rows.isEmpty():
             return space
-        tensors = []
+        tensors, dtype = [], {"f32": "float", "f64": "double"}[kind]
         for p in part["from"]:
             found = self.space.query(render(p))
             *index, value = found.columns
-            tensors.append(found.select(*(F.col(f"`{c}`").cast("bigint").alias(c) for c in index), F.col(f"`{value}`").cast("float").alias("v")))
+            tensors.append(found.select(*(F.col(f"`{c}`").cast("bigint").alias(c) for c in index), F.col(f"`{value}`").cast(dtype).alias("v")))
         op, *how = part["op"]
         if op == "einsum":
-            made = einsum(how[0], *tensors, dtype="float")
+            made = einsum(how[0], *tensors, dtype=dtype)
         elif op == "unary":
-            made = unary(lambda v: REGISTRY[f"{how[0]}_f32"](v), tensors[0], dtype="float")
+            made = unary(lambda v: REGISTRY[f"{how[0]}_{kind}"](v), tensors[0], dtype=dtype)
         elif op == "add":
-            made = add(tensors[0], tensors[1].toDF(*tensors[0].columns), dtype="float")
+            made = add(tensors[0], tensors[1].toDF(*tensors[0].columns), dtype=dtype)
         else:
             raise ValueError(f"no tensor operation {op}")
         return space.union(Space.from_columns(part["output"][0][0], made, unique=True))

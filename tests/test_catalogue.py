@@ -40,3 +40,13 @@ def test_equals_sql_without_products_and_row_udfs(spark, oracle, name):
 def test_constants_of_patterns_reach_the_files(spark, name, pushed):
     plan = spark._jvm.PythonSQLUtils.explainString(QUERIES[name](spark, DIR)._jdf.queryExecution(), "formatted")
     assert pushed in plan.split("PushedFilters")[1].split("\n")[0] and "EvalPython" not in plan and "Exchange" not in plan
+
+
+def test_large_sums_by_a_rule_keep_their_digits(spark, tmp_path):
+    """Sums of doubles to three places, beyond what a float holds, and from 1e7 on without an exponent."""
+    rows = [(i, [float(d**4 * s) for d in range(64)]) for i, s in enumerate((1, 2, -0.25))] + [(3, [0.123] * 64)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = {r.term for r in QUERIES["q_tensor_sink"](spark, str(tmp_path)).collect()}
+    assert got == {r[0] for r in con.execute(SQL["q_tensor_sink"]).fetchall()} and "(out 63 43320642.873)" in got
