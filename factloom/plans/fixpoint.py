@@ -51,12 +51,12 @@ def closure(edges: DataFrame, doubling: bool = True) -> DataFrame:
 
 def recursive_closure(edges: DataFrame, levels: int = 10_000) -> DataFrame:
     """The same by a recursive query, for acyclic edges with paths of up to `levels` edges: one job. Paths are listed before pairs are taken, so
-    graphs where many paths lead from one node to another are better closed by closure().
+    graphs where many paths lead from one node to another are better closed by closure(). LIMIT ALL lifts the session's limit on a recursion's rows.
     """
     view = f"_factloom_edges_{uuid.uuid4().hex}"
     edges.createOrReplaceTempView(view)
     return edges.sparkSession.sql(
-        f"WITH RECURSIVE p(a, b) MAX RECURSION LEVEL {levels} AS (SELECT a, b FROM {view} UNION ALL SELECT p.a, e.b FROM p JOIN {view} e ON p.b = e.a) SELECT DISTINCT a, b FROM p"
+        f"WITH RECURSIVE p(a, b) MAX RECURSION LEVEL {levels} AS (SELECT a, b FROM {view} UNION ALL SELECT p.a, e.b FROM p JOIN {view} e ON p.b = e.a) SELECT DISTINCT a, b FROM (SELECT a, b FROM p LIMIT ALL)"
     )
 
 

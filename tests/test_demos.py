@@ -75,6 +75,15 @@ def test_closures_agree(spark):
     assert [(r.node, r.total) for r in met.collect()] == [(2, 4)]
 
 
+def test_recursive_closure_has_no_row_limit(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a int, b int")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+    try:
+        assert recursive_closure(edges).count() == 210
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 def test_streamed_closure_equals_batch(spark, tmp_path):
     edges = [(1, 2), (3, 4), (2, 3), (4, 1), (7, 8)]
     for i, e in enumerate(edges):
