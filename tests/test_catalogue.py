@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.catalogue import QUERIES, SQL
 
@@ -50,3 +51,16 @@ def test_large_sums_by_a_rule_keep_their_digits(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     got = {r.term for r in QUERIES["q_tensor_sink"](spark, str(tmp_path)).collect()}
     assert got == {r[0] for r in con.execute(SQL["q_tensor_sink"]).fetchall()} and "(out 63 43320642.873)" in got
+
+
+def test_pairs_of_one_key_are_shared_by_tasks(spark, tmp_path):
+    """All parts of one size, and some of none: cells merge as in SQL, and the pairs don't all come from one task."""
+    spark.createDataFrame([(i, 1 if i % 50 else None) for i in range(400)], "p_partkey long, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = QUERIES["q_merge_cells"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert rows(got[["k1", "k2", "m"]]) == rows(con.execute(SQL["q_merge_cells"]).df()) and got["task"].nunique() > 1

@@ -123,6 +123,16 @@ def test_folds_equal_listing(spark):
         assert aggregate.count_join(factors) == want[0]
 
 
+def test_merged_cells_of_any_value(spark):
+    cells = [None, "u", "0", "1", "*", "=u", "long"]
+    x = spark.createDataFrame([(i, g, c) for i, c in enumerate(cells * 2) for g in (1, 2, None)], "i int, g int, a string")
+    y = spark.createDataFrame([(i, g, c) for i, c in enumerate(cells) for g in (1, 3, None)], "j int, g int, b string")
+    got = guard.merged(x, y, "g", "a", "b").select("i", "j", "m").collect()
+    agree = lambda a, b: b if a == "u" else a if b == "u" or a == b else None
+    want = [(i, j, agree(a, b)) for i, a in enumerate(cells * 2) for j, b in enumerate(cells) if a and b and agree(a, b)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_guards(spark):
     rows = spark.createDataFrame([(1, None), (1, 2), (None, 3), (2, 3), (2, 4)], "x int, y int")
     assert {tuple(r) for r in guard.antichain(rows, ["x", "y"]).collect()} == {(1, None), (None, 3), (2, 4)}
