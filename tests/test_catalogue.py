@@ -64,3 +64,20 @@ def test_pairs_of_one_key_are_shared_by_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert rows(got[["k1", "k2", "m"]]) == rows(con.execute(SQL["q_merge_cells"]).df()) and got["task"].nunique() > 1
+
+
+def test_pairs_take_little_disk_on_their_way(spark, tmp_path):
+    """Parts of one size: what is shuffled are lists, not copies of rows, and the pairs come in an order that a file makes small."""
+    n = 2000
+    spark.createDataFrame([(i, 1) for i in range(n)], "p_partkey long, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = shuffled()
+    QUERIES["q_merge_cells"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    shuffled, written = shuffled() - before, sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    con.execute(f"CREATE VIEW got AS SELECT k1, k2, m FROM '{tmp_path}/out/*.parquet'")
+    sums = "SELECT count(*), sum(hash(k1, k2, m)::HUGEINT) FROM"
+    pairs = con.execute(f"{sums} got").fetchall()
+    assert pairs == con.execute(f"{sums} ({SQL['q_merge_cells']})").fetchall()
+    assert shuffled < 100 * n and written < pairs[0][0] / 3

@@ -133,6 +133,21 @@ def test_merged_cells_of_any_value(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_merged_lists_longer_than_one_are_cut(spark, monkeypatch):
+    """Groups and lists of a few rows, several columns with nulls, none besides key and cell, and equal rows."""
+    monkeypatch.setattr(guard, "LIST", 3)
+    monkeypatch.setattr(guard, "GROUP", 5)
+    x = spark.createDataFrame([(i % 4, 1, "u01"[i % 3]) for i in range(12)], "i int, g int, a string")
+    y = spark.createDataFrame([(1, "u01"[i % 3], i if i % 5 else None, f"t{i % 2}" if i % 7 else None) for i in range(40)], "g int, b string, j int, t string")
+    got = guard.merged(x, y, "g", "a", "b")
+    assert got.columns == ["g", "i", "a", "b", "j", "t", "m"]
+    agree = lambda a, b: b if a == "u" else a if b == "u" or a == b else None
+    want = [(1, p.i, p.a, q.b, q.j, q.t, agree(p.a, q.b)) for p in x.collect() for q in y.collect() if agree(p.a, q.b)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    bare = guard.merged(x, y.select("g", "b"), "g", "a", "b").select("g", "i", "a", "b", "m")
+    assert sorted(map(tuple, bare.collect())) == sorted((g, i, a, b, m) for g, i, a, b, _, _, m in want)
+
+
 def test_guards(spark):
     rows = spark.createDataFrame([(1, None), (1, 2), (None, 3), (2, 3), (2, 4)], "x int, y int")
     assert {tuple(r) for r in guard.antichain(rows, ["x", "y"]).collect()} == {(1, None), (None, 3), (2, 4)}
